@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, linededup, mixing, mpeg, packing
+from . import chat, digest, linededup, mixing, mpeg, ngramjoin, packing, suffixes
 from .common import documents, small_batches
 from .oracles import ORACLES
 
@@ -17,6 +17,10 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.digest(mpeg.probe_audio(mpeg.store_audio(mpeg.payloads(documents(spark, sf_dir))).drop("payload")))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(documents(spark, sf_dir))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix_sources(documents(spark, sf_dir))
     return d.select("doc_id", "size", "source_size", "target", "taken", "shard", F.size("spans").alias("n_spans"))
@@ -35,6 +39,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -42,7 +50,7 @@ def op10_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_examples(chat.expand_prefixes(turns.unionByName(more)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op4_source_mix, op6_exact_digest, op7_line_dedup, op8_best_fit_packing, op10_chat_prefixes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op3_ngram_join, op4_source_mix, op6_exact_digest, op7_line_dedup, op8_best_fit_packing, op9_suffix_dedup, op10_chat_prefixes)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
