@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, linededup, mixing, mpeg, ngramjoin, packing, suffixes
-from .common import documents, small_batches
+from . import chat, digest, linededup, mixing, mpeg, ngramjoin, packing, quality, suffixes, toxicity
+from .common import documents, held_out, small_batches
 from .oracles import ORACLES
 
 
@@ -17,6 +17,12 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.digest(mpeg.probe_audio(mpeg.store_audio(mpeg.payloads(documents(spark, sf_dir))).drop("payload")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    d = toxicity.score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels).withColumnRenamed("toxicity", "score")
+    return d.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(documents(spark, sf_dir))
 
@@ -26,6 +32,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", "taken", "shard", F.size("spans").alias("n_spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    d = quality.score_quality(documents(spark, sf_dir).select("doc_id", "text"), labels).withColumnRenamed("quality", "score")
+    return d.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprint_report(documents(spark, sf_dir))
 
@@ -50,7 +62,7 @@ def op10_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_examples(chat.expand_prefixes(turns.unionByName(more)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op3_ngram_join, op4_source_mix, op6_exact_digest, op7_line_dedup, op8_best_fit_packing, op9_suffix_dedup, op10_chat_prefixes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op2_toxicity, op3_ngram_join, op4_source_mix, op5_quality, op6_exact_digest, op7_line_dedup, op8_best_fit_packing, op9_suffix_dedup, op10_chat_prefixes)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
