@@ -8,10 +8,11 @@ any product is formed. Rows that agree in a block meet in a shuffle on the block
 multiplied with the first row of its block: overlap counts add up block of columns by block of columns, and
 a pair is dropped as soon as the columns that are left cannot bring it to the size-derived bound.
 
-Components come from those products. Only where a product fell below the bound and left a block's rows in several
-components, further rows of that block are multiplied, until no pair of rows in
-different components is left unknown. So no group is expanded into all its pairs, and no link
-between different texts is lost.
+Components come from those products. Where a product fell below the bound and left rows that meet in
+several components, these families of rows are multiplied whole, in tiles of bounded size: each tile
+gives the overlap counts of its rows, of which those above the bound join components; a tile returns
+no more links than it has rows. So no group is expanded into its pairs, and no link between
+different texts is lost.
 
 Nulls and empty texts: an empty set, linked with nothing. Texts with fewer words than an n-gram: one n-gram. Repeated rows
 are copies. Rows without an id join components and get their smallest id (null where none has one).
@@ -32,8 +33,10 @@ from .common import keep, small_batches
 
 #: Up to so many ids are broadcast (64 MB at most); more go through a shuffle join.
 BROADCAST_IDS = 4_000_000
-#: Column blocks of the exact product.
+#: Column blocks of the product of two rows.
 STEPS = 4
+#: Rows on each side of a tile; columns with more rows than LIGHT are multiplied densely, CHUNK at once.
+TILE, LIGHT, CHUNK = 800, 12, 2048
 NO_ID = -(1 << 63)
 
 
@@ -193,13 +196,55 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, star_rounds: int = 3) -> DataFrame:
+def tile_links(sets: list[np.ndarray], side: np.ndarray, roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows that reach the threshold and join components (roots), as few as do: between the sides, or,
+    where all rows are on one, among them."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    h, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    many = np.diff(np.r_[start, len(h)])
+    count = np.zeros((n, n), np.float32)
+    flat = count.reshape(-1)
+    for k in range(2, LIGHT + 1):
+        at = start[many == k]
+        for i in range(k if len(at) else 0):
+            for j in range(i + 1, k):  # rows of a column stand in order
+                np.add.at(flat, row[at + i] * n + row[at + j], 1)
+    heavy = np.flatnonzero(many > LIGHT)
+    for i in range(0, len(heavy), CHUNK):
+        c = heavy[i : i + CHUNK]
+        a = np.zeros((n, len(c)), np.float32)
+        a[row[np.repeat(start[c] - np.cumsum(many[c]) + many[c], many[c]) + np.arange(many[c].sum())], np.repeat(np.arange(len(c)), many[c])] = 1
+        count += np.triu(a @ a.T, 1)
+    good = count * (100 + percent) >= percent * (sizes[:, None] + sizes)
+    good &= np.triu(roots[:, None] != roots, 1)
+    if side.any() and not side.all():
+        good &= side[:, None] != side
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(good).tolist():
+        x, y = find(int(roots[i])), find(int(roots[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (columns doc_id, text)."""
     docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
     rows = keep(summaries(docs, n), "sets")
-    met = keep(meetings(block_keys(docs, n, percent)), "blocks")
-    pairs = keep(met.select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
+    pairs = keep(meetings(block_keys(docs, n, percent)).select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
     # One document for each set that takes part in a product; its set is made again from its text.
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     chosen = keep(rows.join(ids, "sid").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")).select("id").distinct(), "chosen")
@@ -216,8 +261,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, star_roun
     sets = texts_of.mapInArrow(make_sets, "sid long, grams binary")
     links = keep(product(pairs, sets, percent), "links")
     roots = components(links) if not links.isEmpty() else None
-    if roots is not None or not pairs.isEmpty():
-        roots = _rest(met, pairs, links, roots, sets, percent, star_rounds)
+    more = _family_links(pairs, links, roots, sets, percent)
+    if more is not None:
+        roots = components(links.unionByName(more))
     classes = rows.where("n_shingles > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"))
     if roots is not None:
         classes = classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -229,43 +275,46 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, star_roun
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _rest(met: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
-    """Roots after all rows that share a block and lie in different components have been multiplied."""
+def _family_links(pairs: DataFrame, links: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links that join components within families: components whose rows met, though the products that were
+    formed did not link them. A family's rows are tiled, sorted by component; tiles of one component are left out."""
 
     def rooted(df: DataFrame, sid: str, root: str) -> DataFrame:
         if roots is None:
             return df.withColumn(root, F.col(sid))
         return df.join(roots.select(F.col("sid").alias(sid), F.col("root").alias(root)), sid, "left").withColumn(root, F.coalesce(root, sid))
 
-    low = rooted(rooted(pairs.join(links, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("a").alias("leader"), F.col("b").alias("sid"))
-    blocks = met.join(low, ["leader", "sid"], "left_semi").select("key").distinct()
-    members = met.join(blocks, "key", "left_semi")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.first("leader").alias("leader")).where("n > 1")
-    one = sizes.groupBy("n", "x", "leader").agg(F.min("key").alias("key")).select("key")  # blocks of the same rows count once
-    members = members.join(one, "key", "left_semi")
-    members = keep(members.select("key", "sid").union(members.select("key", "leader")).distinct(), "members")
-    done = pairs
-    for turn in range(star_rounds + 1):
-        if members.isEmpty():
-            break
-        m = rooted(members, "sid", "root")
-        block = Window.partitionBy("key")
-        m = m.withColumn("many", F.min("root").over(block) != F.max("root").over(block)).where("many")
-        if turn < star_rounds:
-            hub = F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "root")).over(block)
-            new = m.withColumn("hub", hub).where("root <> hub.root").select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))
-        else:
-            new = m.alias("p").join(m.alias("q"), "key").where("p.root < q.root").select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = keep(new.join(done, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        found = keep(product(new, sets, percent), "links")
-        done = done.unionByName(new)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
-    return roots
+    apart = keep(rooted(rooted(pairs.join(links, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "apart")
+    if apart.isEmpty():
+        return None
+    families = components(apart).select(F.col("sid").alias("root"), F.col("root").alias("family"))
+    single = families.select(F.col("root").alias("sid"), "root", "family")
+    linked = roots.join(families, "root").select("sid", "root", "family") if roots is not None else single.limit(0)
+    members = linked.unionByName(single).distinct()
+    of = Window.partitionBy("family")
+    members = members.withColumn("n", F.count(F.lit(1)).over(of)).where("n > 2")  # of two rows the product is known
+    members = members.withColumn("block", F.floor((F.row_number().over(of.orderBy("root", "sid")) - 1) / TILE).cast("int"))
+    members = keep(members.select("sid", "root", "family", "block"), "families")
+    if members.isEmpty():
+        return None
+    blocks = members.groupBy("family", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    p, q = blocks.alias("p"), blocks.alias("q")
+    tiles = p.join(q, (F.col("p.family") == F.col("q.family")) & (F.col("p.block") <= F.col("q.block"))).where("not (p.low = q.low and p.high = q.high and p.low = p.high)")
+    tiles = tiles.select("p.family", F.col("p.block").alias("i"), F.col("q.block").alias("j"))
+    of_tiles = tiles.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    rows = members.join(of_tiles, ["family", "block"]).join(sets, "sid").select("family", "i", "j", "block", "sid", "root", "grams")
+
+    def multiply(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("block", "ascending"), ("root", "ascending"), ("sid", "ascending")])
+        sid = t["sid"].to_numpy()
+        first = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])  # copies of a text give its set again
+        t, sid = t.take(first), sid[first]
+        got = tile_links([np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()], t["block"].to_numpy() != t["i"].to_numpy(), t["root"].to_numpy(), percent)
+        at = np.array(got, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(sid[at[:, 0]]), pa.array(sid[at[:, 1]])], ["a", "b"])
+
+    found = keep(rows.groupBy("family", "i", "j").applyInArrow(multiply, "a long, b long"), "links")
+    return None if found.isEmpty() else found
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
