@@ -35,7 +35,7 @@ from .common import keep, small_batches
 SEED = 64  # bytes of a representative
 #: Bytes of texts, or of windows, that a task refines at once.
 CHUNK = 1 << 18
-#: Up to so many positions or spans are broadcast (64 MB at most); more go through a shuffle join.
+#: Up to so many spans are broadcast (64 MB at most); more go through a shuffle join.
 BROADCAST_PARTS = 4_000_000
 K = U(0x9E3779B97F4A7C15)
 
@@ -65,35 +65,64 @@ def chunks(items: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarr
             some, total = [], 0
 
 
-def representatives(b: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """item, position, identifier, first and last window of each representative; positions in the item."""
+NONE = tuple(np.empty(0, np.int64) for _ in range(5))
+
+
+def representatives(b: np.ndarray, starts: np.ndarray, length: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of the windows whose representative is the only position in them with its (shortened) identifier: item,
+    position, identifier, first and last window of each run of windows with one representative. Of the other
+    windows, which lie in text that repeats itself at once: item, window, identifier of all its bytes.
+    Positions count from the item's start."""
     if len(b) < length:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
-    (ids,) = refine(b, (SEED,))
+        return NONE, NONE[:3]
+    ids, whole = refine(b, (SEED, length))
     width = length - SEED + 1
     bits = max(1, int(len(ids)).bit_length())
-    order = (ids >> U(bits)) << U(bits) | np.arange(len(ids), dtype=np.uint64)  # ties: the leftmost
-    w = 1
-    while 2 * w <= width:
-        order = np.minimum(order[:-w], order[w:])
-        w *= 2
-    if w < width:
-        order = np.minimum(order[: len(order) - (width - w)], order[width - w :])
-    best = (order & U((1 << bits) - 1)).astype(np.int64)
+    place = np.arange(len(ids), dtype=np.uint64)
+    high = (ids >> U(bits)) << U(bits)
+    low = U((1 << bits) - 1)
+
+    def least(x: np.ndarray) -> np.ndarray:
+        w = 1
+        while 2 * w <= width:
+            x = np.minimum(x[:-w], x[w:])
+            w *= 2
+        return np.minimum(x[: len(x) - (width - w)], x[width - w :]) if w < width else x
+
+    best, back = (least(high | place) & low).astype(np.int64), (low - (least(high | low - place) & low)).astype(np.int64)
     p = np.arange(len(best))
     item = np.searchsorted(starts, p, "right") - 1
     ok = p + length <= starts[item + 1]
-    p, best, item = p[ok], best[ok], item[ok]
+    once = ok & (best == back)
+    tied = np.flatnonzero(ok & (best != back))
+    ties = item[tied], tied - starts[item[tied]], whole[tied].view(np.int64)
+    p, best, item = p[once], best[once], item[once]
     if not len(p):
-        return tuple(np.empty(0, np.int64) for _ in range(5))
-    new = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (item[1:] != item[:-1])])
+        return NONE, ties
+    new = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1)])
     last = np.r_[new[1:], len(p)] - 1
     item, at = item[new], best[new]
-    return item, at - starts[item], ids[at].view(np.int64), p[new] - starts[item], p[last] - starts[item]
+    return (item, at - starts[item], ids[at].view(np.int64), p[new] - starts[item], p[last] - starts[item]), ties
+
+
+def _local(item: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For names within items: the first two rows of each (item, name), and which rows have another like them."""
+    order = np.lexsort((name, item))
+    i, n = item[order], name[order]
+    new = np.r_[True, (i[1:] != i[:-1]) | (n[1:] != n[:-1])] if len(order) else np.empty(0, bool)
+    second = np.r_[False, new[:-1]] & ~new if len(order) else new
+    twin = np.zeros(len(order), bool)
+    twin[order] = ~new | np.r_[~new[1:], False] if len(order) else twin
+    return order[new | second], twin
+
+
+#: Sets keys of whole windows apart from those of representatives.
+APART = np.int64(0x5851F42D4C957F2D)
 
 
 def _seeds(docs: DataFrame, length: int) -> DataFrame:
-    """key, text_id, n, pos: the representatives of each different text (a task gives each once)."""
+    """key, text_id, n, pos: the representatives of each different text (a task gives each once). Windows without
+    one are their own, by the identifier of all their bytes, and have -1 - pos; of equal ones in a text two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -103,9 +132,11 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
                 items.append(t if (k, n) not in seen else b"")
                 seen.add((k, n))
             for some, data, starts in chunks(items):
-                item, pos, key, _, _ = representatives(data, starts, length)
-                row = np.array(some)[item] if len(item) else item
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row]), pa.array(ns[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "text_id", "n", "pos"])
+                (item, pos, key, _, _), (t_item, t_pos, t_name) = representatives(data, starts, length)
+                two, _ = _local(t_item, t_name)
+                row = np.array(some)[np.r_[item, t_item[two]].astype(np.int64)]
+                key, pos = np.r_[key, t_name[two] ^ APART], np.r_[pos, -1 - t_pos[two]]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(own[row]), pa.array(ns[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "text_id", "n", "pos"])
 
     return docs.where(F.col("n") >= length).select("text_id", "n", "text").mapInArrow(run, "key long, text_id long, n int, pos int")
 
@@ -123,27 +154,43 @@ def _meeting(seeds: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """key, text_id, n, start, bytes: for each marked representative, the bytes of its windows."""
+    """key, text_id, n, start, bytes, to: for each marked representative, the bytes of its windows (to is null); for
+    windows that are already known to repeat, no bytes, but where they end."""
+
+    def marked(wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not len(wanted):
+            return np.zeros(len(at), bool)
+        return wanted[np.searchsorted(wanted, at).clip(max=len(wanted) - 1)] == at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, ns, marks, items = column(b, "text_id"), column(b, "n"), b.column("marks").to_pylist(), texts(b.column("text"))
             for some, data, starts in chunks(items):
-                item, pos, key, first, last = representatives(data, starts, length)
-                if not len(item):
-                    continue
-                row = np.array(some)[item]
-                counts = np.array([len(marks[i]) for i in some])
-                wanted = np.concatenate([np.sort(np.array(marks[i], np.int64)) + starts[j] for j, i in enumerate(some)]) if counts.sum() else np.empty(0, np.int64)
-                at = pos + starts[item]
-                i = np.searchsorted(wanted, at)
-                ok = np.zeros(len(at), bool)
-                inside = i < len(wanted)
-                ok[inside] = wanted[i[inside]] == at[inside]
-                got = [items[r][f : z + length] for r, f, z in zip(row[ok].tolist(), first[ok].tolist(), last[ok].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(own[row[ok]]), pa.array(ns[row[ok]]), pa.array(first[ok].astype(np.int32)), pa.array(got, pa.binary())], ["key", "text_id", "n", "start", "bytes"])
-
-    return docs.select("text_id", "n", "text", "marks").mapInArrow(run, "key long, text_id long, n int, start int, bytes binary")
+                (item, pos, key, first, last), (t_item, t_pos, t_name) = representatives(data, starts, length)
+                all_marks = np.concatenate([np.array(marks[i], np.int64) for i in some])
+                owner = np.repeat(np.arange(len(some)), [len(marks[i]) for i in some])
+                plain = all_marks >= 0
+                ok = marked(np.sort(all_marks[plain] + starts[owner[plain]]), pos + starts[item])
+                hit = marked(np.sort(-1 - all_marks[~plain] + starts[owner[~plain]]), t_pos + starts[t_item])
+                _, twin = _local(t_item, t_name)
+                known = np.unique(np.stack([t_item[hit], t_name[hit]], 1), axis=0) if hit.any() else np.empty((0, 2), np.int64)
+                if len(known):  # every window that is like a marked one, in the same text
+                    both = np.r_[known, np.stack([t_item, t_name], 1)]
+                    _, code = np.unique(both, axis=0, return_inverse=True)
+                    hit = np.isin(code.reshape(-1)[len(known) :], code.reshape(-1)[: len(known)])
+                hit |= twin
+                t_item, t_pos = t_item[hit], t_pos[hit]
+                new = np.flatnonzero(np.r_[True, (t_item[1:] != t_item[:-1]) | (t_pos[1:] != t_pos[:-1] + 1)]) if len(t_item) else np.empty(0, np.int64)
+                end = np.r_[new[1:], len(t_item)] - 1 if len(new) else new
+                row, t_row = np.array(some)[item[ok]], np.array(some)[t_item[new]]
+                got = [items[r][f : z + length] for r, f, z in zip(row.tolist(), first[ok].tolist(), last[ok].tolist(), strict=True)]
+                rows = np.r_[row, t_row].astype(np.int64)
+                start = np.r_[first[ok], t_pos[new]].astype(np.int32)
+                to = np.r_[np.zeros(len(row)), t_pos[end] + length].astype(np.int32)
+                keys = np.r_[key[ok], mix(np.arange(len(t_row), dtype=np.uint64)).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(own[rows]), pa.array(ns[rows].astype(np.int32)), pa.array(start), pa.array([*got, *[None] * len(t_row)], pa.binary()), pa.array(to, mask=np.arange(len(to)) < len(row))], ["key", "text_id", "n", "start", "bytes", "to"])
+
+    return docs.select("text_id", "n", "text", "marks").mapInArrow(run, "key long, text_id long, n int, start int, bytes binary, to int")
 
 
 def _spans(windows: DataFrame, length: int) -> DataFrame:
@@ -176,6 +223,10 @@ def _spans(windows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, last = [], 0, None
         for b in batches:
+            known = b.filter(b.column("to").is_valid())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(c) for c in ("text_id", "n", "start", "to")], ["text_id", "n", "from", "to"])
+            b = b.filter(b.column("to").is_null()).select(["key", "text_id", "n", "start", "bytes"])
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if r[:4] == last:  # another task's copy of the same text
                     continue
@@ -220,7 +271,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     small_batches(docs.sparkSession, 256)
     met = _meeting(_seeds(d, length))
     marks = keep(met.groupBy("text_id", "n").agg(F.collect_list("pos").alias("marks")), "marks")
-    spans = _spans(_windows(d.join(_sized(marks, F.size("marks")), ["text_id", "n"]), length), length)
+    spans = _spans(_windows(d.join(marks, ["text_id", "n"]), length), length)
     parts = keep(_merged(spans), "spans").withColumn("copies", F.lit(0).cast("long"))
     none = F.array().cast("array<int>")
     copies = d.where(F.col("n") >= length).groupBy("text_id", "n").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("text_id", "n", none.alias("froms"), none.alias("tos"), "copies")
