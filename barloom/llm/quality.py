@@ -30,12 +30,11 @@ from .words import coded, grams
 BITS, DIM = 18, 10
 
 
-def features(kinds: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the table for each token (its word, its n-grams), how many each has, and 64-bit hashes of the words."""
+def features(kinds: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: the row of its word, rows of its n-grams (one after another) and how many, a hash of its word."""
     flat, sizes = grams(kinds, BITS)
     words = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))
-    at = np.cumsum([0, *sizes[:-1]])
-    return np.insert(flat, at, (words >> np.uint64(64 - BITS)).astype(np.int64)), sizes + 1, words
+    return (words >> np.uint64(64 - BITS)).astype(np.int32), flat, sizes, words
 
 
 def pairs(words: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +64,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, batch: in
         return np.zeros(1 << BITS, np.float32), 0.0
     out[:] = rng.standard_normal((DIM, 2)) / np.sqrt(DIM)
     kinds, codes, sizes = coded(pa.array(texts, pa.string()))
-    flat, many, words = features(kinds)
+    word, flat, many, words = features(kinds)
+    del kinds
     first = np.cumsum(many) - many
     ends = np.cumsum(sizes)
     y = np.eye(2, dtype=np.float32)[np.array(labels)]
@@ -79,7 +79,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, batch: in
             used, where = np.unique(c, return_inverse=True)
             k = many[used]
             rows = flat[np.repeat(first[used] - np.cumsum(k) + k, k) + np.arange(k.sum())]
-            vec = np.add.reduceat(table[rows], np.cumsum(k) - k) / k[:, None] if len(k) else np.zeros((0, DIM), np.float32)
+            vec = (np.add.reduceat(table[rows], np.cumsum(k) - k) + table[word[used]]) / (k + 1)[:, None] if len(k) else np.zeros((0, DIM), np.float32)
             p_rows, p_n = pairs(words, c, n)
             x = sums(vec[where], n) / np.maximum(n, 1)[:, None] + sums(table[p_rows], p_n) / np.maximum(p_n, 1)[:, None]
             z = x @ out + bias
@@ -91,7 +91,9 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, batch: in
             d_token = np.repeat(dx / np.maximum(n, 1)[:, None], n, 0)
             d_vec = np.zeros((len(used), DIM))
             np.add.at(d_vec, where, d_token)
-            np.add.at(table, rows, (-speed * np.repeat(d_vec / k[:, None], k, 0)).astype(np.float32))
+            d_vec *= -speed / (k + 1)[:, None]
+            np.add.at(table, rows, np.repeat(d_vec, k, 0).astype(np.float32))
+            np.add.at(table, word[used], d_vec.astype(np.float32))
             np.add.at(table, p_rows, (-speed * np.repeat(dx / np.maximum(p_n, 1)[:, None], p_n, 0)).astype(np.float32))
             out -= (speed / 30) * (x.T @ g).astype(np.float32)
             bias -= (speed / 30) * g.sum(0)
@@ -106,13 +108,13 @@ class Scorer:
         kinds, codes, sizes = coded(texts)
         if not len(codes):
             return np.full(len(sizes), self.bias)
-        flat, many, words = features(kinds)
-        token = np.add.reduceat(self.weights[flat], np.cumsum(many) - many) / many
+        word, flat, many, words = features(kinds)
+        token = (np.add.reduceat(self.weights[flat], np.cumsum(many) - many) + self.weights[word]) / (many + 1)
         rows, n = pairs(words, codes, sizes)
         return self.bias + sums(token[codes], sizes) / np.maximum(sizes, 1) + sums(self.weights[rows], n) / np.maximum(n, 1)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (2000, 4000), model: tuple[np.ndarray, float] | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (1000, 2000), model: tuple[np.ndarray, float] | None = None) -> DataFrame:
     """`docs` with quality (0 to 1)."""
     spark = docs.sparkSession
     small_batches(spark, 2048)
