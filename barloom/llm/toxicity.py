@@ -93,16 +93,19 @@ class Model:
             h = new
             yield h
 
-    def inputs(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, 3H) for each direction: what token vectors bring to its gates, as logits() reads it. The
-        gates' arguments are halved, since their sigmoid is taken by tanh. A last row: no token."""
-        out = []
-        for d in "fb":
-            x = np.zeros((len(v) + 1, 3 * H), np.float32)
-            np.add(v @ self.p[f"W{d}"], self.p[f"c{d}"], out=x[:-1])
+    def inputs(self, rows: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, 3H) for each direction: what tokens bring to its gates, as logits() reads it. The gates'
+        arguments are halved, since their sigmoid is taken by tanh. A last row: no token."""
+        out = tuple(np.zeros((len(rows) + 1, 3 * H), np.float32) for _ in "fb")
+        ends = np.cumsum(sizes)
+        for i in range(0, len(rows), 8192):  # some at a time: n-grams are many
+            j = min(len(rows), i + 8192)
+            v = self.vectors(rows[i:j], flat[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j])
+            for d, x in zip("fb", out, strict=True):
+                x[i:j] = v @ self.p[f"W{d}"] + self.p[f"c{d}"]
+        for x in out:
             x[:, : 2 * H] *= 0.5
-            out.append(x)
-        return tuple(out)
+        return out
 
     def logits(self, table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
         """Of windows ids (windows, time); -1: no token. Both directions step together: the columns of a
@@ -240,11 +243,13 @@ def windows(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     counts = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1)
     owner = np.repeat(np.arange(len(sizes)), counts)
     start = (np.arange(len(owner)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)) * STRIDE
-    at = start[:, None] + np.arange(WINDOW)
-    ok = at < sizes[owner][:, None]
-    at += np.cumsum([0, *sizes[:-1]])[owner][:, None]
-    padded = np.r_[codes, -1]
-    return padded[np.where(ok, at, len(codes))], counts
+    left = (sizes[owner] - start).clip(max=WINDOW)
+    out = np.full((len(owner), WINDOW), -1, np.int32)
+    first = np.cumsum([0, *sizes[:-1]])[owner] + start
+    for t in range(WINDOW):
+        some = left > t
+        out[some, t] = codes[first[some] + t]
+    return out, counts
 
 
 class Scorer:
@@ -268,7 +273,7 @@ class Scorer:
             fresh = [k for k, i in zip(kinds, out.tolist(), strict=True) if i >= old]
             while len(at) >= len(self.table[0]):  # the last row stays empty: no token
                 self.table = tuple(np.vstack([t, np.zeros_like(t)]) for t in self.table)
-            for t, x in zip(self.table, self.m.inputs(self.m.vectors(*self.m.lookup(fresh))), strict=True):
+            for t, x in zip(self.table, self.m.inputs(*self.m.lookup(fresh)), strict=True):
                 t[old : len(at)] = x[:-1]
         return out
 
@@ -288,9 +293,13 @@ def log_odds(one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
     return np.clip(np.log(one + 4 / n) - np.log(other + 4 / n), -3, 3) / 3
 
 
-def _gram_counts(seen: Counter) -> tuple[np.ndarray, np.ndarray]:
-    flat, sizes = grams(list(seen), GRAM_BITS)
-    return flat, np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), sizes)
+def gram_counts(seen: Counter) -> np.ndarray:
+    """Documents for each n-gram hash, a token's counted for all its n-grams."""
+    out, kinds = np.zeros(GRAMS), list(seen.items())
+    for i in range(0, len(kinds), 20_000):
+        flat, sizes = grams([k for k, _ in kinds[i : i + 20_000]], GRAM_BITS)
+        out += np.bincount(flat, np.repeat([float(n) for _, n in kinds[i : i + 20_000]], sizes), GRAMS)
+    return out
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = 5, train_windows: int = 64, rate: float = 0.01, seed: int = 0) -> Model:
@@ -300,15 +309,16 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, train_win
     names = [normal(k) for k in kinds]
     seen: list[Counter] = [Counter(), Counter()]
     for part, label in zip(np.split(codes, np.cumsum(sizes)[:-1]), labels, strict=True):
-        seen[int(label)].update({names[k] for k in np.unique(part)})
+        seen[int(label)].update({names[k] for k in np.unique(part).tolist()})
     words = sorted(w for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 2)
     model = Model({w: i + 1 for i, w in enumerate(words)}, seed)
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
     if words:  # how much more often toxic documents have a word: where learning starts
         model.p["word"][1:, 0] = log_odds(np.array([seen[1][w] for w in words]) / n1, np.array([seen[0][w] for w in words]) / n0, n0 + n1)
-        model.p["char"][:, 0] = log_odds(np.bincount(*_gram_counts(seen[1]), GRAMS) / n1, np.bincount(*_gram_counts(seen[0]), GRAMS) / n0, n0 + n1)
+        model.p["char"][:, 0] = log_odds(gram_counts(seen[1]) / n1, gram_counts(seen[0]) / n0, n0 + n1)
     if len(set(labels)) < 2:
         return model
+    del words, names, seen
     parts = model.lookup(kinds)
     every, counts = windows(codes, sizes)
     wins = np.split(every, np.cumsum(counts)[:-1])
@@ -319,7 +329,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, train_win
         for i in range(0, len(order), 64):
             some = order[i : i + 64]
             if i % 512 == 0:  # the strongest windows are looked for with the weights of some steps ago
-                table = model.inputs(model.vectors(*parts))
+                table = model.inputs(*parts)
             ids = np.concatenate([wins[k] for k in some])
             whose = np.repeat(np.arange(len(some)), [len(wins[k]) for k in some])
             logit = model.logits(table, ids)
@@ -339,7 +349,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[
     return [r.text for r in got], [r.y for r in got]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (4500, 1500), model: Model | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (2400, 800), model: Model | None = None) -> DataFrame:
     """`docs` with toxicity (0 to 1) and toxicity_logit."""
     spark = docs.sparkSession
     small_batches(spark, 2048)

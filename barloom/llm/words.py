@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 
 #: Tokens longer than this are read in pieces, so no character is left out.
 LONGEST = 24
+#: Tokens whose n-grams are made at once.
+SOME = 20_000
 
 
 def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -42,19 +44,23 @@ def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def grams(kinds: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (of `bits` bits) of the 3- to 6-grams of the characters of each (marked) token, one after
     another, and how many each has."""
+    parts = [_grams(kinds[i : i + SOME], bits) for i in range(0, len(kinds), SOME)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _grams(kinds: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     data = [f"<{k}>" for k in kinds]
     sizes = np.array([len(x) for x in data])
     b = np.frombuffer("".join(data).encode("utf-32-le", "surrogatepass"), np.uint32)
     b = np.r_[b, np.zeros(6, np.uint32)]
     left = np.repeat(sizes, sizes) - (np.arange(len(b) - 6) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes))
-    h, out, ok = np.zeros(len(left), np.uint32), [], []
+    h, hs, ok = np.zeros(len(left), np.uint32), np.empty((len(left), 4), np.int32), np.empty((len(left), 4), bool)
     for n in range(6):
         h = (h ^ b[n : n + len(left)]) * np.uint32(2654435761)
         h ^= h >> np.uint32(15)
         if n >= 2:
-            out.append(((h * np.uint32(2246822519)) >> np.uint32(32 - bits)).astype(np.int64))
-            ok.append(left > n)
-    hs, ok = np.stack(out, 1), np.stack(ok, 1)
+            hs[:, n - 2] = (h * np.uint32(2246822519)) >> np.uint32(32 - bits)
+            ok[:, n - 2] = left > n
     ok[left == 2, 0] = sizes[np.repeat(np.arange(len(sizes)), sizes)[left == 2]] == 2  # an empty token has one
     count = np.add.reduceat(ok.sum(1), np.cumsum([0, *sizes[:-1]])) if len(sizes) else np.empty(0, np.int64)
     return hs[ok], count
