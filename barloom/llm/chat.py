@@ -4,7 +4,7 @@ Every assistant turn becomes an example: all turns before it as context, its rep
 trainable span. A conversation that does not end with an assistant turn gets one more example, with
 all turns and nothing to train on, so the output always holds the whole conversation.
 
-A turn is `### <role>:\n<text></turn>\n`. In texts and roles a backslash goes before every
+A turn is `### <role>:\n<text></turn>\n`. In texts and roles a backslash goes after every
 backslash, # and < (in roles also :), so no marker can stand inside them; reading removes it.
 
 Nulls: a null text or role is empty; null turns come first; turns of equal number go by role, then
@@ -20,11 +20,11 @@ END = "</turn>\n"
 
 
 def _escaped(column: str, chars: str) -> str:
-    return rf"regexp_replace({column}, '([{chars}])', '\\\\$1')"
+    return rf"regexp_replace({column}, '([{chars}])', '$1\\\\')"
 
 
 def _plain(column: str) -> str:
-    return rf"regexp_replace({column}, '(?s)\\\\(.)', '$1')"
+    return rf"regexp_replace({column}, '([\\\\#<:])\\\\', '$1')"
 
 
 def expand_prefixes(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
@@ -48,7 +48,7 @@ def expand_prefixes(turns: DataFrame, assistant: str = "assistant") -> DataFrame
 
 def read_examples(examples: DataFrame) -> DataFrame:
     """Contract columns of op10, from the formatted examples alone."""
-    piece = r"regexp_extract(p, '(?s)^### ((?:[^\\\\:]|\\\\.)*):\n(.*)$', {})"
+    piece = r"regexp_extract(p, '(?s)^### (.*?):\n(.*)$', {})"
     pieces = r"filter(split(text, '</turn>\n', -1), (p, i) -> i < size(split(text, '</turn>\n', -1)) - 1)"
     whole = F.when(F.col("last"), F.expr(f"transform({pieces}, p -> concat({_plain(piece.format(1))}, '\\n', {_plain(piece.format(2))}, '\\n'))"))
     loss = F.expr(_plain("substring(text, loss_start + 1, loss_chars)"))

@@ -37,8 +37,8 @@ def _hex(h1, h2):
     return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0"))
 
 
-def bucket_conflicts(df: DataFrame, canonical: str) -> DataFrame:
-    """h1, h2, canonical, suffix: texts that differ inside a bucket of equal hashes. Empty, but for chance.
+def bucket_conflicts(df: DataFrame, canonical: str) -> DataFrame | None:
+    """h1, h2, canonical, suffix (or None): texts that differ inside a bucket of equal hashes. Empty, but for chance.
 
     Only rows in buckets of two or more rows move their texts; copies meet in partial aggregation."""
     h = df.select(*wide_hash(canonical), F.col(canonical).alias("canonical"))
@@ -56,9 +56,9 @@ def with_fingerprint(df: DataFrame, canonical: str, out: str, conflicts: DataFra
     h1, h2 = wide_hash(canonical)
     if conflicts is None:
         return df.withColumn(out, _hex(h1, h2))
-    c = conflicts.withColumnRenamed("canonical", "canonical_")
-    d = df.withColumns({"h1": h1, "h2": h2}).join(c, (F.col("h1") == c["h1"]) & (F.col("h2") == c["h2"]) & (F.col(canonical) == c["canonical_"]), "left")
-    return d.withColumn(out, F.concat(_hex(df["h1"], df["h2"]), F.coalesce(F.concat(F.lit("."), F.col("suffix")), F.lit("")))).select(*df.columns, out)
+    c = conflicts.toDF("h1_", "h2_", "canonical_", "suffix_")
+    d = df.join(c, (h1 == F.col("h1_")) & (h2 == F.col("h2_")) & (F.col(canonical) == F.col("canonical_")), "left")
+    return d.withColumn(out, F.concat(_hex(h1, h2), F.coalesce(F.concat(F.lit("."), F.col("suffix_").cast("string")), F.lit("")))).select(*df.columns, out)
 
 
 def exact_digest(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
