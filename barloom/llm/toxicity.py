@@ -302,7 +302,12 @@ def gram_counts(seen: Counter) -> np.ndarray:
     return out
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 5, train_windows: int = 64, rate: float = 0.01, seed: int = 0) -> Model:
+def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: int = 200, train_windows: int = 64, rate: float = 0.01, seed: int = 0) -> Model:
+    """At least so many epochs, and so many steps of 64 documents."""
+    if len(set(labels)) < 2:
+        model = Model({}, seed)
+        model.p["out"][:] = 0
+        return model
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     kinds, codes, sizes = coded(pa.array(texts, pa.string()))
@@ -316,13 +321,12 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, train_win
     if words:  # how much more often toxic documents have a word: where learning starts
         model.p["word"][1:, 0] = log_odds(np.array([seen[1][w] for w in words]) / n1, np.array([seen[0][w] for w in words]) / n0, n0 + n1)
         model.p["char"][:, 0] = log_odds(gram_counts(seen[1]) / n1, gram_counts(seen[0]) / n0, n0 + n1)
-    if len(set(labels)) < 2:
-        return model
     del words, names, seen
     parts = model.lookup(kinds)
     every, counts = windows(codes, sizes)
     wins = np.split(every, np.cumsum(counts)[:-1])
     wins = [w if len(w) <= train_windows else w[np.sort(rng.choice(len(w), train_windows, replace=False))] for w in wins]
+    epochs = max(epochs, -(-steps // -(-len(y) // 64)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         speed = rate * (1 - 0.8 * epoch / max(1, epochs - 1))
