@@ -50,13 +50,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit
     return s.select("source", "source_size", "rank", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, block: int = 16, docs_per_shard: int = 4000, seed: int = 0) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, block: int = 16, docs_per_shard: int = 1000, seed: int = 0) -> DataFrame:
     """Adds to `docs`: size, source_size, target, taken, shard, repeats (whole times), spans.
 
     spans: the word ranges [from, to) of the document that are taken once more than `repeats`."""
     shards = max(1, math.ceil(docs.count() / docs_per_shard))
+    # Columns travel under names of their own, so that what nobody reads is not moved.
+    own = {c: f"doc_{i}_" for i, c in enumerate(docs.columns)}
     d = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *[F.col(f"`{c}`").alias(n) for c, n in own.items()], "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (_seeded(SHARD, seed) % shards).alias("shard"), _seeded(ORDER, seed).alias("place"),
     )
     mine = d.groupBy("shard", "source").agg(F.sum("size").alias("words"))
@@ -83,13 +85,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: in
     d = d.withColumn("end", F.sum("size").over(stream)).withColumn("start", F.col("end") - F.col("size"))
     d = d.alias("d").join(quotas.alias("q"), (F.col("d.shard") == F.col("q.shard")) & F.col("d.source").eqNullSafe(F.col("q.source")))
     blocks = F.greatest("blocks", F.lit(1))
-    d = d.select("row", "size", "source_size", "target", "d.shard", "start", "end", "rank", blocks.alias("blocks"), F.floor(F.col("quota") / blocks).alias("repeats"), F.pmod(F.col("quota"), blocks).alias("extra"))
+    d = d.select(*own.values(), "size", "source_size", "target", "d.shard", "start", "end", "rank", blocks.alias("blocks"), F.floor(F.col("quota") / blocks).alias("repeats"), F.pmod(F.col("quota"), blocks).alias("extra"))
     chosen = f"pmod(b * {PRIME} + shard * 7919 + rank * 104729 + {seed}, blocks) < extra"
     d = d.withColumn("spans", F.expr(f"""if(size > 0 and extra > 0, transform(filter(sequence(start div {block}, (end - 1) div {block}), b -> {chosen}),
         b -> named_struct('from', greatest(start, b * {block}) - start, 'to', least(end, (b + 1) * {block}) - start)), array())"""))
     d = d.withColumn("taken", F.expr("size * repeats + aggregate(spans, 0L, (a, s) -> a + s.to - s.from)"))
-    own = ["size", "source_size", "target", "taken", "shard", "repeats", "spans"]
-    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in own], *own)
+    new = ["size", "source_size", "target", "taken", "shard", "repeats", "spans"]
+    return d.select(*[F.col(n).alias(c) for c, n in own.items() if c not in new], *new)
 
 
 def take_mixed(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ MIX = f"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size,
     ((((coalesce(doc_id, -1) % 2147483647) + 2147483647) % 2147483647) * 1103515245 + 12345) % 2147483647 as sh,
     ((((coalesce(doc_id, -1) % 2147483647) + 2147483647) % 2147483647) * 48271 + 104729) % 2147483647 as place from documents),
-d2 as (select *, sh % greatest(1, cast(ceil((select count(*) from documents) / 4000.0) as bigint)) as shard from d),
+d2 as (select *, sh % greatest(1, cast(ceil((select count(*) from documents) / 1000.0) as bigint)) as shard from d),
 m as (select shard, source, sum(size)::bigint as words from d2 group by all),
 s0 as (select source, sum(words)::bigint as source_size from m group by all),
 s1 as (select *, row_number() over (order by source nulls last) as rank from s0),
