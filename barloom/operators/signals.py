@@ -10,19 +10,17 @@ from barloom.functions.recursive import with_sequential
 from barloom.params import Params, level_name
 from barloom.sources.bars import require
 
-W = ind.W
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, 0)
-
 
 def with_active_leg(df: DataFrame) -> DataFrame:
     """swing_low, swing_high: the last up-leg that is known at a bar. A leg is made when a high is confirmed
     whose bar comes after that of the last confirmed low, and stays until the next one. The events stand on
     the bars where they are confirmed, so nothing looks ahead, and no join is needed."""
     require(df, {"confirmed_pivot", "confirmed_pivot_idx", "confirmed_price"}, "legs")
-    low = F.last(F.when(F.col("confirmed_pivot") == 1, F.struct(F.col("confirmed_price").alias("price"), F.col("confirmed_pivot_idx").alias("idx"))), ignorenulls=True).over(SO_FAR)
+    so_far = ind.by_bar().rowsBetween(Window.unboundedPreceding, 0)
+    low = F.last(F.when(F.col("confirmed_pivot") == 1, F.struct(F.col("confirmed_price").alias("price"), F.col("confirmed_pivot_idx").alias("idx"))), ignorenulls=True).over(so_far)
     df = df.withColumn("low_", low)
     valid = (F.col("confirmed_pivot") == -1) & (F.col("confirmed_pivot_idx") > F.col("low_.idx")) & (F.col("confirmed_price") > F.col("low_.price"))
-    leg = F.last(F.when(valid, F.struct(F.col("low_.price").alias("low"), F.col("confirmed_price").alias("high"))), ignorenulls=True).over(SO_FAR)
+    leg = F.last(F.when(valid, F.struct(F.col("low_.price").alias("low"), F.col("confirmed_price").alias("high"))), ignorenulls=True).over(so_far)
     return df.withColumn("leg_", leg).withColumns({"swing_low": F.col("leg_.low"), "swing_high": F.col("leg_.high")}).drop("leg_", "low_")
 
 
@@ -63,7 +61,7 @@ def with_flags(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Flags are 0 or 1; a null operand gives 0."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     c = F.col
-    before = {k: F.lag(k).over(W) for k in ("rsi", "macd_hist")}
+    before = {k: F.lag(k).over(ind.by_bar()) for k in ("rsi", "macd_hist")}
     df = df.withColumns({
         "trend_up": flag((c("ma20") > c("ma50")) & (c("ma50") > c("ma200"))),
         "rsi_reversal": flag((before["rsi"] < p.rsi_oversold) & (c("rsi") - before["rsi"] > 0)),
