@@ -15,7 +15,6 @@ row of zeros and empty lists. Equal payloads give equal media.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np

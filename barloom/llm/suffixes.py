@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, column, mix, several, signed, texts
+from .arrays import U, column, mix, several, texts
 from .common import keep, small_batches
 
 SEED = 64  # bytes of a representative
