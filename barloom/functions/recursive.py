@@ -46,6 +46,11 @@ def pivots(close: np.ndarray, pct: float, confirm_bars: int) -> list[tuple[int,
     return out
 
 
+def in_utc(t: pa.Table) -> pa.Table:
+    """Timestamps that pass through carry the session's time zone; what is returned must say UTC."""
+    return t.cast(pa.schema([pa.field(f.name, pa.timestamp("us", "UTC")) if pa.types.is_timestamp(f.type) and f.type.tz else f for f in t.schema]))
+
+
 ADDED = T.StructType(
     [T.StructField(c, T.DoubleType()) for c in ("ema_fast", "ema_slow", "macd", "macd_sig", "macd_hist", "rsi")]
     + [T.StructField("pivot", T.IntegerType()), T.StructField("pivot_confirmed_at", T.LongType()), T.StructField("confirmed_pivot", T.IntegerType()), T.StructField("confirmed_pivot_idx", T.LongType()), T.StructField("confirmed_price", T.DoubleType())]
@@ -57,7 +62,7 @@ def with_sequential(bars: DataFrame, p: Params = Params(), by: tuple[str, ...] =
     schema = T.StructType([*bars.schema.fields, *ADDED.fields])
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("bar_idx")
+        t = in_utc(t).sort_by("bar_idx")
         close, n = t["close"].to_numpy(), len(t)
         fast, slow = ema(close, p.macd_fast), ema(close, p.macd_slow)
         line = fast - slow

@@ -33,5 +33,7 @@ def test_equal(name, spark, duck, sf):
     got = QUERIES[name](spark, sf)
     cols = sorted(got.columns)
     rows = sorted([str([plain(r[c]) for c in cols]) for r in got.collect()])
-    want = duck.execute(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall()
-    assert rows == sorted(str([plain(x) for x in r]) for r in want)
+    cur = duck.execute(ORACLES[name])
+    at = {c[0]: i for i, c in enumerate(cur.description)}
+    assert sorted(at) == cols
+    assert rows == sorted(str([plain(r[at[c]]) for c in cols]) for r in cur.fetchall())
