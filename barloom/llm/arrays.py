@@ -37,6 +37,12 @@ def column(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).to_numpy(zero_copy_only=False)
 
 
+def in_utc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Timestamps that pass through carry the session's time zone; what is returned must say UTC."""
+    for b in batches:
+        yield b.cast(pa.schema([pa.field(f.name, pa.timestamp("us", "UTC")) if pa.types.is_timestamp(f.type) and f.type.tz else f for f in b.schema]))
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 

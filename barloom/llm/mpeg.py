@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import in_utc
+
 # Fixed values of the MPEG audio standard: bit rates in kbit/s by (version 1 or 2, layer), sample
 # rates by version, and the CRC polynomial.
 KBPS = {
@@ -200,7 +202,7 @@ def store_audio(df: DataFrame, payload: str = "payload", media: str = "media") -
     names = [x.name for x in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_utc(batches):
             got = pa.array([write_mpeg(x or b"") for x in b.column(payload).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([got if n == media else b.column(n) for n in names], names)
 
@@ -220,7 +222,7 @@ def probe_audio(df: DataFrame, media: str = "media", audio: str = "audio", drop_
     names = schema[audio].dataType.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_utc(batches):
             rows = [read_mpeg(x) for x in b.column(media).to_pylist()]
             cols = [pa.array([list(r[f].items()) if f == "tags" else r[f] for r in rows], kind) for f, kind in zip(fields, kinds, strict=True)]
             got = pa.StructArray.from_arrays(cols, names)

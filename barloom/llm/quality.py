@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import in_utc
 from .common import small_batches
 from .toxicity import labelled_sample, sigmoid
 from .words import coded, grams
@@ -126,7 +127,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(*sent.value)
-        for b in batches:
+        for b in in_utc(batches):
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sigmoid(score(b.column("text"))))], schema.names)
 
     return docs.select(*names).mapInArrow(run, schema)

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import in_utc
 from .common import held_out, small_batches
 from .words import coded, grams
 
@@ -366,7 +367,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(sent.value)
-        for b in batches:
+        for b in in_utc(batches):
             logit = score(b.column("text")).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sigmoid(logit)), pa.array(logit)], schema.names)
 
