@@ -8,8 +8,8 @@ any product is formed. Rows that agree in a block meet in a shuffle on the block
 multiplied with the first row of its block: overlap counts add up block of columns by block of columns, and
 a pair is dropped as soon as the columns that are left cannot bring it to the size-derived bound.
 
-Components come from those products. Where a product fell below the bound and left rows that meet in
-several components, these families of rows are multiplied whole, in tiles of bounded size: each tile
+Components come from those products. Where three or more rows share a block and lie in several
+components, not all their products are known: these families of rows are multiplied whole, in tiles of bounded size: each tile
 gives the overlap counts of its rows, of which those above the bound join components; a tile returns
 no more links than it has rows. So no group is expanded into its pairs, and no link between
 different texts is lost.
@@ -36,7 +36,7 @@ BROADCAST_IDS = 4_000_000
 #: Column blocks of the product of two rows.
 STEPS = 4
 #: Rows on each side of a tile; columns with more rows than LIGHT are multiplied densely, CHUNK at once.
-TILE, LIGHT, CHUNK = 800, 12, 2048
+TILE, LIGHT, CHUNK = 1200, 12, 2048
 NO_ID = -(1 << 63)
 
 
@@ -244,7 +244,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
     rows = keep(summaries(docs, n), "sets")
-    pairs = keep(meetings(block_keys(docs, n, percent)).select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
+    met = keep(meetings(block_keys(docs, n, percent)), "blocks")
+    pairs = keep(met.select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
     # One document for each set that takes part in a product; its set is made again from its text.
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     chosen = keep(rows.join(ids, "sid").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")).select("id").distinct(), "chosen")
@@ -261,7 +262,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     sets = texts_of.mapInArrow(make_sets, "sid long, grams binary")
     links = keep(product(pairs, sets, percent), "links")
     roots = components(links) if not links.isEmpty() else None
-    more = _family_links(pairs, links, roots, sets, percent)
+    more = _family_links(met, roots, sets, percent)
     if more is not None:
         roots = components(links.unionByName(more))
     classes = rows.where("n_shingles > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"))
@@ -275,16 +276,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _family_links(pairs: DataFrame, links: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links that join components within families: components whose rows met, though the products that were
-    formed did not link them. A family's rows are tiled, sorted by component; tiles of one component are left out."""
+def _family_links(met: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links that join components within families: components whose rows met in a block of three or more rows
+    (of two rows in a block the product is known). A family's rows are tiled, sorted by component; tiles of one component are left out."""
 
     def rooted(df: DataFrame, sid: str, root: str) -> DataFrame:
         if roots is None:
             return df.withColumn(root, F.col(sid))
         return df.join(roots.select(F.col("sid").alias(sid), F.col("root").alias(root)), sid, "left").withColumn(root, F.coalesce(root, sid))
 
-    apart = keep(rooted(rooted(pairs.join(links, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "apart")
+    several_rows = met.groupBy("key").agg(F.count_distinct("sid").alias("n")).where("n > 1").select("key")
+    wide = met.join(several_rows, "key", "left_semi").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
+    apart = keep(rooted(rooted(wide, "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "apart")
     if apart.isEmpty():
         return None
     families = components(apart).select(F.col("sid").alias("root"), F.col("root").alias("family"))
