@@ -418,8 +418,9 @@ def propose_rules(spark, sf_dir):
     return rules.propose(nb(spark, sf_dir), min_ratio=0.5, purity=0.3)
 
 
-# -- learning: few shallow trees, so that a run is short
+# -- learning
 
+#: Few shallow trees, for tests only.
 FEW = {"maxIter": 5, "maxDepth": 3}
 
 
@@ -431,18 +432,18 @@ def learning_panel(spark, sf_dir) -> DataFrame:
 
 @query
 def walkforward_oof(spark, sf_dir):
-    return learning.walk_forward_scores(learning_panel(spark, sf_dir), n_splits=3, embargo=20, min_train=200, params=FEW, unit="date")
+    return learning.walk_forward_scores(learning_panel(spark, sf_dir), unit="date")
 
 
 @query
 def rolling_oof(spark, sf_dir):
-    return learning.rolling_scores(learning_panel(spark, sf_dir), min_train=1500, refit_every=400, max_train=504, params=FEW)
+    return learning.rolling_scores(learning_panel(spark, sf_dir))
 
 
 def final_model(spark, sf_dir):
     d = learning_panel(spark, sf_dir)
     cols = [c for c in panel.feature_columns(d) if c != "pos"]
-    return learning.fit(d, cols, FEW), d
+    return learning.fit(d, cols), d
 
 
 @query
@@ -459,7 +460,7 @@ def model_attribution(spark, sf_dir):
 
 @query
 def failure_clusters(spark, sf_dir):
-    got = learning.cluster_failures(nb(spark, sf_dir), ["rsi", "atr_pct", "macd_hist", "vol_z"], seeds=3)
+    got = learning.cluster_failures(nb(spark, sf_dir), ["rsi", "atr_pct", "macd_hist", "vol_z"])
     return notebook.cluster_summary(got)
 
 

@@ -1,5 +1,7 @@
 """Sources and sinks, insights, rules, learning and streaming."""
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -125,6 +127,42 @@ def test_learning(spark, sf):
     assert np.ptp(both.s - margin) < 1e-6
 
 
+def test_learning_queries_run_the_defaults(spark, sf, monkeypatch):
+    """Of what the queries pass to the operators, nothing makes the job smaller than the operators' defaults."""
+    got = {}
+
+    def seen(name, out):
+        f = getattr(learning, name)
+
+        def stub(*a, **k):
+            b = inspect.signature(f).bind(*a, **k)
+            b.apply_defaults()
+            got[name] = {x: b.arguments[x] for x, v in inspect.signature(f).parameters.items() if v.default is not v.empty}, {x: v.default for x, v in inspect.signature(f).parameters.items() if v.default is not v.empty}
+            return out
+
+        monkeypatch.setattr(learning, name, stub)
+
+    frame = spark.createDataFrame([("A", 0, 0, 0.0)], "ticker string, bar_idx long, label int, rsi double")
+    monkeypatch.setattr(queries, "learning_panel", lambda *_: frame)
+    monkeypatch.setattr(queries, "nb", lambda *_: frame)
+    monkeypatch.setattr(notebook, "cluster_summary", lambda d: d)
+    for name in ("walk_forward_scores", "rolling_scores", "fit", "cluster_failures"):
+        seen(name, frame)
+    for f in (queries.walkforward_oof, queries.rolling_oof, queries.failure_clusters):
+        f(spark, sf)
+    queries.final_model(spark, sf)
+    assert len(got) == 4
+    for name, (passed, default) in got.items():
+        assert passed == default | ({"unit": "date"} if name == "walk_forward_scores" else {}), name
+
+
+def test_many_folds_are_not_one_plan(spark):
+    rows = spark.range(400).selectExpr("'A' as ticker", "id as bar_idx", "timestamp_seconds(id * 86400) as bar_ts", "cast(id % 2 as int) as label", "cast(id % 7 as double) as rsi", "id as pos")
+    got = learning.rolling_scores(rows, min_train=380, refit_every=5, params={"maxIter": 1, "maxDepth": 1})
+    assert got.count() == 20 and got.select("fold").distinct().count() == 4
+    assert "Union" not in got._jdf.queryExecution().toString()
+
+
 def test_clusters(nb):
     got = learning.cluster_failures(nb, ["rsi", "vol_z"], n_clusters=3, seeds=2)
     assert got.where("mistake_type = 'TP' and cluster_id is not null").count() == 0
