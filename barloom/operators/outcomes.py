@@ -37,14 +37,19 @@ def with_outcomes(df: DataFrame, p: Params = Params(), by: tuple[str, ...] = ("t
     return d.drop("ahead_", "open_", "close_", "entry_", "stop_", "take_", "s_", "t_")
 
 
+def trade_rows(outcomes: DataFrame, signal, by: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """The trade that each signal would be."""
+    return outcomes.where(signal & F.col("entry_price").isNotNull()).select(
+        *by, (F.col("bar_idx") + 1).alias("entry_idx"), (F.col("bar_idx") + 1 + F.col("forward_bars")).alias("exit_idx"), "entry_price", "exit_price", F.col("forward_return").alias("ret"),
+        F.col("forward_bars").alias("bars_held"), F.col("confluence_count").alias("confluence"), F.col("barrier_touched").alias("exit_reason"), F.col("nearest_fib_level").alias("nearest_fib"),
+    )
+
+
 def trades(outcomes: DataFrame, signal, by: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """One position at a time: a signal counts only after the exit of the trade before it.
 
     Signals are few; they are filtered before they are grouped."""
-    s = outcomes.where(signal & F.col("entry_price").isNotNull()).select(
-        *by, (F.col("bar_idx") + 1).alias("entry_idx"), (F.col("bar_idx") + 1 + F.col("forward_bars")).alias("exit_idx"), "entry_price", "exit_price", F.col("forward_return").alias("ret"),
-        F.col("forward_bars").alias("bars_held"), F.col("confluence_count").alias("confluence"), F.col("barrier_touched").alias("exit_reason"), F.col("nearest_fib_level").alias("nearest_fib"),
-    )
+    s = trade_rows(outcomes, signal, by)
 
     def pick(t: pa.Table) -> pa.Table:
         t = t.sort_by("entry_idx")

@@ -5,10 +5,13 @@ re-selects signals among the bars that can become one at all."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.outcomes import trades
+from barloom.operators.outcomes import trade_rows
 from barloom.operators.signals import FLAGS, entry_signal
 from barloom.params import Params
 
@@ -30,20 +33,39 @@ def candidates(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
     return d.where(F.col("other_flags") >= p.min_confluence - 1).select("ticker", "bar_idx", "close", "swing_high", "swing_low", "atr", "trend_up", "regime_ok", "other_flags", "entry_price", "exit_price", "forward_return", "forward_bars", "barrier_touched", "nearest_fib_level")
 
 
-def draw_trades(cand: DataFrame, draws: list[tuple[int, list[float]]], p: Params = Params()) -> DataFrame:
-    """Trades of every draw. Draws are few and small: a literal array, exploded on the candidates and filtered
-    at once; only the hits are grouped by (draw, ticker)."""
-    literal = F.array(*[F.struct(F.lit(i).cast("long").alias("draw_id"), F.array(*map(F.lit, r)).alias("ratios")) for i, r in draws])
-    near = F.exists("d.ratios", lambda r: F.abs(F.col("close") - (F.col("swing_high") - r * (F.col("swing_high") - F.col("swing_low")))) / F.col("close") < p.proximity_pct)
-    hits = cand.withColumn("d", F.explode(literal)).where(near)
-    hits = hits.select("*", "d.draw_id", F.lit(1).alias("fib_near"), (F.col("other_flags") + 1).alias("confluence_count"))
-    return trades(hits, entry_signal(p), ("draw_id", "ticker"))
+def draw_table(spark, draws: DataFrame | list[tuple[int, list[float]]]) -> DataFrame:
+    """draw_id, ratios."""
+    return draws if isinstance(draws, DataFrame) else spark.createDataFrame(draws, "draw_id long, ratios array<double>")
+
+
+def draw_trades(cand: DataFrame, draws: DataFrame | list[tuple[int, list[float]]], p: Params = Params()) -> DataFrame:
+    """Trades of every draw. The draws (`n_permutations` rows of a few numbers) are broadcast and meet the candidates
+    in a filtered join; the hits of a draw and ticker follow one another in a sorted partition, so that a draw costs
+    no group of its own."""
+    near = F.exists("ratios", lambda r: F.abs(F.col("close") - (F.col("swing_high") - r * (F.col("swing_high") - F.col("swing_low")))) / F.col("close") < p.proximity_pct)
+    hits = cand.join(F.broadcast(draw_table(cand.sparkSession, draws)), near).drop("ratios")
+    hits = hits.withColumns({"fib_near": F.lit(1), "confluence_count": F.col("other_flags") + 1})
+    s = trade_rows(hits, entry_signal(p), ("draw_id", "ticker"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, free = None, -1
+        for b in batches:
+            kept = []
+            for i, (draw, ticker, start, end) in enumerate(zip(*[b.column(c).to_pylist() for c in ("draw_id", "ticker", "entry_idx", "exit_idx")], strict=True)):
+                if (draw, ticker) != last:
+                    last, free = (draw, ticker), -1
+                if start - 1 > free:
+                    kept.append(i)
+                    free = end
+            yield b.take(pa.array(kept, pa.int64()))
+
+    return s.repartition("draw_id", "ticker").sortWithinPartitions("draw_id", "ticker", "entry_idx").mapInArrow(pick, s.schema)
 
 
-def draw_metrics(t: DataFrame, draws: list[tuple[int, list[float]]]) -> DataFrame:
+def draw_metrics(t: DataFrame, draws: DataFrame | list[tuple[int, list[float]]]) -> DataFrame:
     """draw_id, trades, avg_ret over all tickers; a draw without trades counts 0."""
     m = t.groupBy("draw_id").agg(F.count(F.lit(1)).alias("trades"), F.avg("ret").alias("avg_ret"))
-    every = t.sparkSession.createDataFrame([(i,) for i, _ in draws], "draw_id long")
+    every = draw_table(t.sparkSession, draws).select("draw_id")
     return every.join(m, "draw_id", "left").select("draw_id", F.coalesce("trades", F.lit(0)).alias("trades"), F.coalesce("avg_ret", F.lit(0.0)).alias("avg_ret"))
 
 

@@ -11,7 +11,7 @@ from barloom.functions import indicators as ind
 from barloom.functions.recursive import with_sequential
 from barloom.operators import altdata, insight, learning, metrics, notebook, outcomes, panel, permutation, rules, signals, universe
 from barloom.params import Params
-from barloom.scratch import new_path
+from barloom.scratch import keep, new_path
 from barloom.sources import fixtures
 from barloom.sources.bars import normalise, with_bar_index
 from barloom.streaming import live
@@ -217,6 +217,7 @@ def dollar_volume(spark, sf_dir):
 
 # -- permutation test
 
+#: The SQL of the two queries that have it runs as many fixed sets; the whole job is permutation_*_full.
 DRAWS = 20
 
 
@@ -235,6 +236,25 @@ def permutation_test(spark, sf_dir):
     return rounded(permutation.permutation_summary(m, base))
 
 
+def drawn(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The metrics of all P.n_permutations random draws, and the candidates."""
+    cand = keep(permutation.candidates(with_results(spark, sf_dir), P), "candidates")
+    draws = permutation.random_draws(spark, P)
+    return keep(permutation.draw_metrics(permutation.draw_trades(cand, draws, P), draws), "draws"), cand
+
+
+@query
+def permutation_metrics_full(spark, sf_dir):
+    return rounded(drawn(spark, sf_dir)[0])
+
+
+@query
+def permutation_test_full(spark, sf_dir):
+    m, cand = drawn(spark, sf_dir)
+    base = permutation.draw_trades(cand, [(0, list(P.ratios))], P).agg(F.avg("ret").alias("avg_ret"))
+    return rounded(permutation.permutation_summary(m, base))
+
+
 # -- alternative data
 
 
@@ -425,8 +445,6 @@ FEW = {"maxIter": 5, "maxDepth": 3}
 
 
 def learning_panel(spark, sf_dir) -> DataFrame:
-    from barloom.scratch import keep
-
     return keep(panel.with_position(panel.dataset(with_results(spark, sf_dir))), "panel")
 
 
