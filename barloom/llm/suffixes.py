@@ -37,6 +37,8 @@ SEED = 64  # bytes of a representative
 CHUNK = 1 << 18
 #: Up to so many spans are broadcast (64 MB at most); more go through a shuffle join.
 BROADCAST_PARTS = 4_000_000
+#: Rows of a bucket from which it is dealt over several tasks.
+BIG = 4096
 K = U(0x9E3779B97F4A7C15)
 
 
@@ -141,14 +143,30 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
     return docs.where(F.col("n") >= length).select("text_id", "n", "text").mapInArrow(run, "key long, text_id long, n int, pos int")
 
 
-def _meeting(seeds: DataFrame) -> DataFrame:
-    """text_id, n, pos of the representatives in buckets of two or more."""
+def _meeting(seeds: DataFrame, big: int = 0) -> DataFrame:
+    """text_id, n, pos of the representatives in buckets of two or more. With `big`, a bucket also gives its key as
+    text_id, with n = -1, for each `big` rows that it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["text_id", "n", "pos"]
-        for _, first, other in several(batches, "key", names):
+        names, over = ["text_id", "n", "pos"], [np.empty(0, np.int64)]
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            last, n = None, 0
+            for b in batches:
+                if big and b.num_rows:
+                    k = column(b, "key")
+                    start = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], np.arange(len(k)), 0))
+                    rank = np.arange(len(k)) - start + np.where((start == 0) & (k == last), n, 0) + 1
+                    over.append(k[rank % big == 0])
+                    last, n = k[-1], rank[-1]
+                yield b
+
+        for _, first, other in several(counted(), "key", names):
             f = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in first])])
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[x[f], y]) for x, y in zip(first, other, strict=True)], names)
+        keys = np.concatenate(over)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), -1, np.int32)), pa.array(np.zeros(len(keys), np.int32))], names)
 
     return seeds.repartition("key").sortWithinPartitions("key", "text_id", "n", "pos").mapInArrow(run, "text_id long, n int, pos int")
 
@@ -193,10 +211,14 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text_id", "n", "text", "marks").mapInArrow(run, "key long, text_id long, n int, start int, bytes binary, to int")
 
 
-def _spans(windows: DataFrame, length: int) -> DataFrame:
-    """text_id, n, from, to: bytes covered by windows that start more than once."""
+def _spans(windows: DataFrame, length: int, shards: DataFrame | None = None) -> DataFrame:
+    """text_id, n, from, to: bytes covered by windows that start more than once.
 
-    def repeated(rows: list[tuple]) -> pa.RecordBatch:
+    shards: key, shards of the buckets that one task should not hold. Their texts are dealt over so many tasks, which
+    refine them in pieces: what repeats in a piece is settled there, and one window of each identifier goes on to meet
+    those of the other pieces."""
+
+    def repeated(rows: list[tuple], piece: bool = False) -> pa.RecordBatch:
         ids, whose, at = [], [], []
         for some, data, starts in chunks([r[4] for r in rows]):
             (name,) = refine(data, (length,)) if len(data) >= length else (np.empty(0, np.uint64),)
@@ -212,13 +234,35 @@ def _spans(windows: DataFrame, length: int) -> DataFrame:
         same = np.r_[False, s[1:] == s[:-1]]
         hit = np.zeros(len(ids), bool)
         hit[order] = same | np.r_[same[1:], False]
+        one = order[~same] if piece else order[:0]
+        one_name, one_row, one_at = ids[one].view(np.int64), whose[one], at[one]
         whose, at = whose[hit], at[hit]
         new = np.flatnonzero(np.r_[True, (whose[1:] != whose[:-1]) | (at[1:] != at[:-1] + 1)]) if len(whose) else np.empty(0, np.int64)
         last = np.r_[new[1:], len(whose)] - 1 if len(new) else new
-        r = whose[new]
+        r = np.r_[whose[new], one_row].astype(np.int64)
         col = lambda k, t: np.array([x[k] for x in rows], t)[r]
         start = col(3, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(col(1, np.int64)), pa.array(col(2, np.int32)), pa.array((start + at[new]).astype(np.int32)), pa.array((start + at[last] + length).astype(np.int32))], ["text_id", "n", "from", "to"])
+        cols = [col(1, np.int64), col(2, np.int32), (start + np.r_[at[new], one_at]).astype(np.int32), (start + np.r_[at[last], one_at] + length).astype(np.int32)]
+        names = ["text_id", "n", "from", "to"]
+        if piece:
+            cols.append(pa.array(np.r_[np.zeros(len(new), np.int64), one_name], mask=np.arange(len(r)) < len(new)))
+            names.append("name")
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, last = [], 0, None
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if r[:4] == last:  # another task's copy of the same text
+                    continue
+                if held >= 4 * CHUNK:
+                    yield repeated(rows, True)
+                    rows, held = [], 0
+                rows.append(r)
+                held += len(r[4])
+                last = r[:4]
+        if rows:
+            yield repeated(rows, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, last = [], 0, None
@@ -239,7 +283,15 @@ def _spans(windows: DataFrame, length: int) -> DataFrame:
         if rows:
             yield repeated(rows)
 
-    return windows.repartition("key").sortWithinPartitions("key", "text_id", "n", "start").mapInArrow(run, "text_id long, n int, from int, to int")
+    schema, order = "text_id long, n int, from int, to int", ["key", "text_id", "n", "start"]
+    if shards is None:
+        return windows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
+    w = keep(windows.join(F.broadcast(shards), "key", "left"), "windows")
+    small = w.where("shards is null or `to` is not null").drop("shards").repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
+    large = w.where("shards is not null and `to` is null").withColumn("shard", F.pmod(F.xxhash64("text_id"), "shards")).repartition("key", "shard").sortWithinPartitions("key", "shard", *order[1:])
+    found = keep(large.select(*order, "bytes").mapInArrow(pieces, f"{schema}, name long"), "pieces")
+    met = _meeting(found.where("name is not null").select(F.col("name").alias("key"), "text_id", "n", F.col("from").alias("pos")))
+    return small.unionByName(found.where("name is null").drop("name")).unionByName(met.select("text_id", "n", F.col("pos").alias("from"), (F.col("pos") + length).cast("int").alias("to")))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -265,13 +317,15 @@ def _sized(parts: DataFrame, weight) -> DataFrame:
     return F.broadcast(parts) if (parts.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_PARTS else parts
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, big: int = BIG) -> DataFrame:
     """text_id, n, froms, tos: what is removed from each text that loses something."""
     d = _named(docs)
     small_batches(docs.sparkSession, 256)
-    met = _meeting(_seeds(d, length))
+    met = _meeting(_seeds(d, length), big)
     marks = keep(met.groupBy("text_id", "n").agg(F.collect_list("pos").alias("marks")), "marks")
-    spans = _spans(_windows(d.join(marks, ["text_id", "n"]), length), length)
+    shards = marks.where("n < 0").select(F.col("text_id").alias("key"), (F.size("marks") + 1).alias("shards"))
+    windows = _windows(d.join(marks.where("n >= 0"), ["text_id", "n"]), length)
+    spans = _spans(windows, length, None if shards.isEmpty() else shards)
     parts = keep(_merged(spans), "spans").withColumn("copies", F.lit(0).cast("long"))
     none = F.array().cast("array<int>")
     copies = d.where(F.col("n") >= length).groupBy("text_id", "n").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("text_id", "n", none.alias("froms"), none.alias("tos"), "copies")
@@ -285,9 +339,9 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_id"), F.octet_length(text).alias("n"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, big: int = BIG) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, froms, tos for every row of `docs`."""
-    spans = repeated_spans(docs, length)
+    spans = repeated_spans(docs, length, big)
     d = _named(docs).join(_sized(spans, F.size("froms") + 1), ["text_id", "n"], "left").select("doc_id", "n", "text", "froms", "tos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

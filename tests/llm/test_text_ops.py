@@ -129,6 +129,21 @@ def test_removal_equals_brute_force(spark, monkeypatch, chunk):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, 200)
 
 
+def test_large_buckets_are_dealt_over_tasks(spark, monkeypatch):
+    """A short passage common to all texts: its windows differ, but for those that some texts share."""
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("abcdé") for _ in range(k))
+    a, tails = word(120), [word(100) for _ in range(40)]
+    texts = [word(150) + a + rng.choice(tails) + word(rng.randrange(60)) for _ in range(120)] + [word(260) for _ in range(5)] + ["ab" * 150]
+    kept, keep = {}, suffixes.keep
+    monkeypatch.setattr(suffixes, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs(spark, texts), big=10).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts, 200)
+    w = kept["windows"].where("`to` is null")
+    most = lambda *by: w.groupBy(*by).count().agg(F.max("count")).first()[0]
+    assert most("key") >= 100 and most("key", F.expr("pmod(xxhash64(text_id), coalesce(shards, 1))")) <= 40
+
+
 def test_removal_of_nothing(spark):
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
     assert suffixes.remove_repeats(docs(spark, [None, "", "short"])).agg(F.sum("n_removed")).first()[0] == 0
