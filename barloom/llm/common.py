@@ -1,39 +1,18 @@
-"""Helpers that the operators share: scratch tables in the shared folder, and size-checked filters."""
+"""Helpers that the operators share: tables in the shared folder, the documents, row hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.scratch import forget as forget
+from barloom.scratch import keep as keep
 from barloom.session import ship
 
 #: Characters that separate words: \x20 and \x09-\x0D. The rest of a text is words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="barloom-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests on one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or _own_folder()).rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it back: cuts lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/barloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows: a batch then holds few megabytes even when some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -99,6 +99,57 @@ def test_one_of_each(spark):
     assert got.columns == d.columns and {r.doc_id for r in got.collect()} == want
     again = ngramjoin.one_of_each(docs(spark, ["a b", "a b", "c d"], ids=[1, 1, None]))
     assert sorted(str(r.doc_id) for r in again.collect()) == ["1", "None"]
+    # Different texts under one id are rows of their own; a copy without an id goes, and of two without one stays.
+    more = ngramjoin.one_of_each(docs(spark, ["a b", "c d", "c d", "e f", "e f", ""], ids=[1, 1, None, None, None, None]))
+    assert sorted((str(r.doc_id), r.text) for r in more.collect()) == [("1", "a b"), ("1", "c d"), ("None", ""), ("None", "e f")]
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_components_of_a_table_equal_brute_force(spark, sf, n, percent):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in d.collect()}
+    order = sorted(texts)
+    want = {order[i]: (size, order[c]) for i, (size, c) in brute_components([texts[i] for i in order], n, percent).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(d, n, percent).collect()} == want
+
+
+def test_near_misses_in_shared_buckets(spark, monkeypatch):
+    """Many texts just under and over the threshold that share blocks: pairs and whole tiles, in several parts."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for i in rng.sample(range(150), rng.choice([2, 4, 5, 6])):
+            w[i] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    want = brute_components(texts, 4, 85)
+    assert 1 < len({c for _, c in want.values()}) < 90
+    kept = {}
+    keep_ = ngramjoin.keep
+    monkeypatch.setattr(ngramjoin, "forget", lambda *t: None)
+    monkeypatch.setattr(ngramjoin, "keep", lambda df, name: kept.setdefault(f"{name}{len(kept)}", keep_(df, name)))
+    for tile, most in ((1024, 4), (16, 0)):
+        monkeypatch.setattr(ngramjoin, "TILE", tile)
+        monkeypatch.setattr(ngramjoin, "DENSE", most)
+        kept.clear()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(docs(spark, texts)).collect()} == want
+        got = next(v for k, v in kept.items() if k.startswith("candidates"))
+        assert got.count() > 0 and (most > 0 or got.where("a is null").count() > 0 and got.agg(F.max("j")).first()[0] > 0)
+        assert most > 0 or any(k.startswith("tiles") and v.count() for k, v in kept.items())
+
+
+def test_sketches_lose_no_pair():
+    rng, words = random.Random(1), WordHashes()
+    for size in (5, 40, 300, 2000):
+        sets = [ngramjoin.ngram_set(t.encode(), 4, words) for t in family(rng, 12, size, max(1, size // 40))]
+        k = min(len(ngramjoin.sketch(s, 85)) for s in sets)
+        bits = ngramjoin.folded([ngramjoin.sketch(s, 85) for s in sets], k)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 85 * (len(a) + len(b) - both):
+                    assert ngramjoin.may_reach(bits[i : i + 1], bits[j : j + 1], np.array([len(a)]), np.array([len(b)]), 85)[0]
 
 
 # -- op9
