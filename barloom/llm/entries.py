@@ -29,7 +29,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix_sources(documents(spark, sf_dir))
-    return d.select("doc_id", "size", "source_size", "target", "taken", "shard", F.size("spans").alias("n_spans"))
+    return d.select("doc.doc_id", "size", "source_size", "target", "taken", "shard", F.size("spans").alias("n_spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

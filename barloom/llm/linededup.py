@@ -1,8 +1,8 @@
 r"""Line dedup over the corpus, exact and within one edit, by a deletion-neighbourhood join.
 
 Lines are what \n separates. A line goes when an equal line stands earlier (smaller doc_id, then
-line number), or an earlier line differs by one inserted, deleted or replaced character and both
-have at least `min_chars` characters. Lines of white space only always stay. Documents stay, too,
+line number), or an earlier line differs by one inserted, deleted or replaced character, whatever its
+length. Lines of white space only always stay. Documents stay, too,
 even when no line is left (their text is then empty).
 
 The neighbourhood of a line is all its variants with one character deleted, as hashed keys with
@@ -54,13 +54,13 @@ def variants(lines: DataFrame) -> DataFrame:
     return d.selectExpr("pos", "xxhash64(around, i, left(mid, i), substring(mid, i + 2 - more)) as key")
 
 
-def near_lines(lines: DataFrame, min_chars: int) -> DataFrame:
+def near_lines(lines: DataFrame) -> DataFrame:
     """pos of each distinct line that has an earlier line within one edit."""
-    long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
-    keyed = long.select("h1", F.explode(F.expr(halves())).alias("key"))
+    sized = lines.withColumn("n", F.length("line"))
+    keyed = sized.select("h1", F.explode(F.expr(halves())).alias("key"))
     shared = keep(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"), "line-halves")
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    some = long.withColumn("key", F.explode(F.expr(halves()))).join(shared, "key", "left_semi")
+    some = sized.withColumn("key", F.explode(F.expr(halves()))).join(shared, "key", "left_semi")
     some = keep(some.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.any_value("line").alias("line")), "near-lines")
     group = Window.partitionBy("key")
     pairs = variants(some).withColumn("first", F.min("pos").over(group)).where("pos > first").select("pos", "first").distinct()
@@ -68,13 +68,13 @@ def near_lines(lines: DataFrame, min_chars: int) -> DataFrame:
     return pairs.join(a, "pos").join(b, "first").where("levenshtein(line, earlier, 1) between 0 and 1").select("pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with its later lines removed; n_chars, where there is one, follows the new text.
 
     What is kept travels as line numbers, one row per distinct line; texts move once."""
     lines = lines_of(docs)
     first = lines.groupBy("h1", "h2").agg(F.min("pos").alias("pos")).select("pos")
-    first = first.join(near_lines(lines, min_chars), "pos", "left_anti")
+    first = first.join(near_lines(lines), "pos", "left_anti")
     kept = first.select("pos.*").groupBy("id", "row").agg(F.collect_list("no").alias("nos"))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), row_hash(docs).alias("row"))
     d = d.dropDuplicates(["id", "row"]).join(kept, ["id", "row"], "left")

@@ -3,11 +3,14 @@
 The documents of a shard and source, in a seeded order, form one stream of words that is cut into
 blocks of equal size. Each shard gives its blocks to sources by highest quotients target/(2k+1);
 the quota is an integer. A source with more quota than blocks repeats all of them whole times; the
-rest of the quota goes to blocks chosen by a seeded permutation. Document-level results follow from
+rest of the quota goes to the blocks with the least seeded hashes. Document-level results follow from
 where a document lies in its stream.
 
-Nulls: a null text has size 0; a null source is a source of its own, after the others; a null id
-sorts as -1. Repeated rows are documents of their own. No rows in, no rows out.
+Shards, orders and choices go by md5 of a seeded name, which other engines have, too. A document's name is
+its id, and without one its text's md5.
+
+Nulls: a null text has size 0; a null source is a source of its own, after the others. Repeated rows are
+documents of their own. Columns of any name are kept, in the struct `doc`. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -19,14 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 
-#: A prime above any shard's number of blocks, and the multipliers of the seeded orders.
-PRIME = 2147483647
-SHARD, ORDER = (1103515245, 12345), (48271, 104729)
-
 
-def _seeded(mult: tuple[int, int], seed: int) -> Column:
-    i = F.pmod(F.coalesce("doc_id", F.lit(-1)), F.lit(PRIME))
-    return F.pmod(i * mult[0] + mult[1] * (seed + 1), F.lit(PRIME))
+def _seeded(what: str, seed: int, *parts) -> Column:
+    """60 bits of the md5 of `what`, the seed and the parts."""
+    name = F.concat_ws(" ", F.lit(what), F.lit(str(seed)), *[F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3) -> DataFrame:
@@ -51,15 +51,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, block: int = 16, docs_per_shard: int = 1000, seed: int = 0) -> DataFrame:
-    """Adds to `docs`: size, source_size, target, taken, shard, repeats (whole times), spans.
+    """doc (all columns of `docs`), size, source_size, target, taken, shard, repeats (whole times), spans.
 
     spans: the word ranges [from, to) of the document that are taken once more than `repeats`."""
     shards = max(1, math.ceil(docs.count() / docs_per_shard))
     # Columns travel under names of their own, so that what nobody reads is not moved.
     own = {c: f"doc_{i}_" for i, c in enumerate(docs.columns)}
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     d = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in own.items()], "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (_seeded(SHARD, seed) % shards).alias("shard"), _seeded(ORDER, seed).alias("place"),
+        (_seeded("shard", seed, name) % shards).alias("shard"), _seeded("order", seed, name).alias("place"),
     )
     mine = d.groupBy("shard", "source").agg(F.sum("size").alias("words"))
     per_source = source_targets(mine.groupBy("source").agg(F.sum("words").alias("source_size")), weights, limit)
@@ -80,25 +81,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: in
     won = F.row_number().over(of_shard.orderBy(quotient.desc(), "rank", "k")) <= F.col("open")
     quotas = bids.withColumn("won", (won & (F.col("k") >= 0)).cast("long")).groupBy("shard", "source", "rank", "source_size", "target", "blocks", "low").agg(F.sum("won").alias("won"))
     quotas = quotas.select("shard", "source", "source_size", "target", "rank", "blocks", (F.col("low") + F.col("won")).alias("quota"))
+    blocks = F.greatest("blocks", F.lit(1))
+    quotas = quotas.select("shard", "source", "source_size", "target", "rank", F.floor(F.col("quota") / blocks).alias("repeats"), F.pmod(F.col("quota"), blocks).alias("extra"), "blocks")
+    # The rest of a quota: so many blocks have a hash up to this one.
+    hashed = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: _seeded("block", seed, "shard", "rank", b))
+    quotas = quotas.withColumn("upto", F.when(F.col("extra") > 0, F.element_at(F.array_sort(hashed), F.col("extra").cast("int")))).drop("blocks")
     # Where each document lies in its stream; rows alike in all of the order may change places.
     stream = Window.partitionBy("shard", "source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("end", F.sum("size").over(stream)).withColumn("start", F.col("end") - F.col("size"))
     d = d.alias("d").join(quotas.alias("q"), (F.col("d.shard") == F.col("q.shard")) & F.col("d.source").eqNullSafe(F.col("q.source")))
-    blocks = F.greatest("blocks", F.lit(1))
-    d = d.select(*own.values(), "size", "source_size", "target", "d.shard", "start", "end", "rank", blocks.alias("blocks"), F.floor(F.col("quota") / blocks).alias("repeats"), F.pmod(F.col("quota"), blocks).alias("extra"))
-    chosen = f"pmod(b * {PRIME} + shard * 7919 + rank * 104729 + {seed}, blocks) < extra"
-    d = d.withColumn("spans", F.expr(f"""if(size > 0 and extra > 0, transform(filter(sequence(start div {block}, (end - 1) div {block}), b -> {chosen}),
-        b -> named_struct('from', greatest(start, b * {block}) - start, 'to', least(end, (b + 1) * {block}) - start)), array())"""))
+    d = d.select(*own.values(), "size", "source_size", "target", "d.shard", "start", "end", "rank", "repeats", "extra", "upto")
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
+    chosen = F.filter(F.sequence(first, last), lambda b: _seeded("block", seed, "shard", "rank", b) <= F.col("upto"))
+    span = lambda b: F.struct((F.greatest("start", b * block) - F.col("start")).alias("from"), (F.least("end", (b + 1) * block) - F.col("start")).alias("to"))
+    d = d.withColumn("spans", F.when((F.col("size") > 0) & (F.col("extra") > 0), F.transform(chosen, span)).otherwise(F.array()))
     d = d.withColumn("taken", F.expr("size * repeats + aggregate(spans, 0L, (a, s) -> a + s.to - s.from)"))
-    new = ["size", "source_size", "target", "taken", "shard", "repeats", "spans"]
-    return d.select(*[F.col(n).alias(c) for c, n in own.items() if c not in new], *new)
+    doc = F.struct(*[F.col(n).alias(c) for c, n in own.items()]).alias("doc")
+    return d.select(doc, "size", "source_size", "target", "taken", "shard", "repeats", "spans")
 
 
-def take_mixed(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents that a mix takes: a row for each whole repeat, and a row with the words of the spans."""
-    words = f"regexp_extract_all(text, '{WORD}', 0)".replace("\\", "\\\\")
+def take_mixed(mixed: DataFrame) -> DataFrame:
+    """The documents that a mix takes, in their own columns: a row for each whole repeat, and a row with the words of
+    the spans. A document without words stays once."""
+    columns = mixed.schema["doc"].dataType.names
+    words = f"regexp_extract_all(doc.text, '{WORD}', 0)".replace("\\", "\\\\")
     part = F.expr(f"concat_ws(' ', flatten(transform(spans, s -> slice({words}, cast(s.from + 1 as int), cast(s.to - s.from as int)))))")
-    whole = mixed.where("repeats > 0 or size = 0").withColumn("copy", F.explode(F.expr("sequence(1, greatest(cast(repeats as int), 1))")))
-    partly = mixed.where("size(spans) > 0").withColumn("text", part)
-    partly = partly.withColumn("n_chars", F.length("text").cast(mixed.schema["n_chars"].dataType)) if "n_chars" in columns else partly
-    return whole.select(*columns).unionByName(partly.select(*columns))
+    own = [F.col("doc")[c].alias(c) for c in columns]
+    whole = mixed.where("repeats > 0 or size = 0").select("doc", F.explode(F.expr("sequence(1, greatest(cast(repeats as int), 1))"))).select(*own)
+    new = {"text": F.col("part"), "n_chars": F.length("part")}
+    partly = mixed.where("size(spans) > 0").select("doc", part.alias("part"))
+    partly = partly.select(*[new[c].cast(whole.schema[c].dataType).alias(c) if c in new else F.col("doc")[c].alias(c) for c in columns])
+    return whole.unionByName(partly)

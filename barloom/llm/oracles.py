@@ -3,9 +3,8 @@
 WORD = r"[^\x20\x09-\x0D]+"
 
 MIX = f"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size,
-    ((((coalesce(doc_id, -1) % 2147483647) + 2147483647) % 2147483647) * 1103515245 + 12345) % 2147483647 as sh,
-    ((((coalesce(doc_id, -1) % 2147483647) + 2147483647) % 2147483647) * 48271 + 104729) % 2147483647 as place from documents),
+with d0 as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size, coalesce(doc_id::varchar, '-' || md5(coalesce(text, ''))) as name from documents),
+d as (select *, ('0x' || md5('shard 0 ' || name)[1:15])::bigint as sh, ('0x' || md5('order 0 ' || name)[1:15])::bigint as place from d0),
 d2 as (select *, sh % greatest(1, cast(ceil((select count(*) from documents) / 1000.0) as bigint)) as shard from d),
 m as (select shard, source, sum(size)::bigint as words from d2 group by all),
 s0 as (select source, sum(words)::bigint as source_size from m group by all),
@@ -27,9 +26,11 @@ b as (select *, unnest(case when high > low then range(low, high) else [-1] end)
 w as (select *, row_number() over (partition by shard order by case when k >= 0 then share / (2 * k + 1) else -1 end desc, rank, k) <= open and k >= 0 as won from b),
 q as (select shard, source, source_size, target, rank, greatest(blocks, 1) as blocks, low + count(*) filter (won) as quota from w group by shard, source, source_size, target, rank, blocks, low),
 e as (select *, (sum(size) over (partition by shard, source order by place, doc_id, size rows between unbounded preceding and current row))::bigint as "end" from d2),
-t as (select e.doc_id, e.size, q.source_size, q.target, e.shard, "end" - size as start, "end", blocks, rank, quota // blocks as repeats, quota % blocks as extra
-    from e join q on e.shard = q.shard and e.source is not distinct from q.source),
-c as (select *, list_filter(range(start // 16, case when size > 0 and extra > 0 then ("end" - 1) // 16 + 1 else start // 16 end), lambda x: (x * 2147483647 + shard * 7919 + rank * 104729) % blocks < extra) as got from t)
+u as (select *, quota // blocks as repeats, quota % blocks as extra, case when quota % blocks > 0
+    then list_sort(list_transform(range(blocks), lambda x: ('0x' || md5('block 0 ' || shard || ' ' || rank || ' ' || x)[1:15])::bigint))[quota % blocks] end as upto from q),
+t as (select e.doc_id, e.size, q.source_size, q.target, e.shard, "end" - size as start, "end", rank, repeats, extra, upto
+    from e join u q on e.shard = q.shard and e.source is not distinct from q.source),
+c as (select *, list_filter(range(start // 16, case when size > 0 and extra > 0 then ("end" - 1) // 16 + 1 else start // 16 end), lambda x: ('0x' || md5('block 0 ' || shard || ' ' || rank || ' ' || x)[1:15])::bigint <= upto) as got from t)
 select doc_id, size::bigint as size, source_size, target, (size * repeats + coalesce(list_sum(list_transform(got, lambda x: least("end", (x + 1) * 16) - greatest(start, x * 16))), 0))::bigint as taken, shard, len(got)::int as n_spans from c
 """
 
@@ -37,7 +38,7 @@ LINES = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as no from documents),
 b as (select *, regexp_matches(line, '[^ \t\n\f\r\x0B]') as solid from l),
 f as (select line, min((doc_id, no)) as pos, length(line) as n from b where solid group by line),
-near as (select distinct x.line from f x join f y on y.n between x.n - 1 and x.n + 1 and y.pos < x.pos and x.n >= 16 and y.n >= 16
+near as (select distinct x.line from f x join f y on y.n between x.n - 1 and x.n + 1 and y.pos < x.pos
     and (left(x.line, (greatest(x.n, y.n) - 1) // 2) = left(y.line, (greatest(x.n, y.n) - 1) // 2)
       or right(x.line, greatest(x.n, y.n) - 1 - (greatest(x.n, y.n) - 1) // 2) = right(y.line, greatest(x.n, y.n) - 1 - (greatest(x.n, y.n) - 1) // 2))
     where len(list_filter(range(1, greatest(x.n, y.n) + 1), lambda i: left(x.line, i - 1) = left(y.line, i - 1)

@@ -3,7 +3,8 @@
 Documents are cut into pieces of at most `capacity` words. Pieces are dealt over shards by a hash;
 a shard's pieces go, largest first, into the bin with the least room that holds the piece and does
 not conflict: bins carry bitmaps of their duplicate clusters (no cluster twice) and of their sources
-(none more than `per_source` times). Bins stand in order of their room; the search goes from the
+(none above its limit: twice the pieces it would have in a full bin of average content, `per_source` at
+least, so no source crowds a bin and few sources still fill one). Bins stand in order of their room; the search goes from the
 tightest to its successors until one is compatible, and opens a bin if none is.
 
 Nulls: a null text or one without words has no pieces: one row, with null bin. A null source or
@@ -23,29 +24,38 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 
-def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int) -> tuple[list[int], list[int]]:
-    """Bin and place in it of each piece; sizes fall. sources and clusters: small numbers, bits of the bitmaps."""
+def source_limits(sizes: list[int], sources: list[int], capacity: int, per_source: int) -> list[int]:
+    """How often each source may stand in a bin."""
+    total = sum(sizes)
+    return [max(per_source, -(-2 * n * capacity // total)) for n in np.bincount(sources).tolist()] if sizes else []
+
+
+def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, limits: list[int]) -> tuple[list[int], list[int]]:
+    """Bin and place in it of each piece; sizes fall. sources and clusters: small numbers, bits of the bitmaps;
+    limits: how often each source may stand in a bin."""
     order: list[tuple[int, int]] = []  # (room, bin)
     seen: list[int] = []  # clusters of a bin
     full: list[list[int]] = []  # sources that a bin has at least once, twice, ...
     bins, places = [], []
     for size, source, cluster in zip(sizes, sources, clusters, strict=True):
-        s, c = 1 << source, 1 << cluster
+        s, c, most = 1 << source, 1 << cluster, limits[source]
         i = bisect_left(order, (size, -1))
-        while i < len(order) and (seen[order[i][1]] & c or full[order[i][1]][-1] & s):
+        while i < len(order) and (seen[order[i][1]] & c or len(full[order[i][1]]) >= most and full[order[i][1]][most - 1] & s):
             i += 1
         if i < len(order):
             room, k = order.pop(i)
         else:
             room, k = capacity, len(seen)
             seen.append(0)
-            full.append([0] * per_source)
+            full.append([])
         seen[k] |= c
         level = full[k]
-        for j in range(per_source):
-            if not level[j] & s:
-                level[j] |= s
-                break
+        j = 0
+        while j < len(level) and level[j] & s:
+            j += 1
+        if j == len(level):
+            level.append(0)
+        level[j] |= s
         bins.append(k)
         places.append(capacity - room)
         if room > size:
@@ -71,7 +81,8 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, cluster=Non
     def pack_shard(t: pa.Table) -> pa.Table:
         t = t.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")])
         number = lambda c: np.asarray(t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices).tolist()
-        bins, places = best_fit(t["n_words"].to_pylist(), number("source"), number("cluster"), capacity, per_source)
+        sizes, sources = t["n_words"].to_pylist(), number("source")
+        bins, places = best_fit(sizes, sources, number("cluster"), capacity, source_limits(sizes, sources, capacity, per_source))
         out = t.select(["doc_id", "source", "piece", "first_word", "n_words", "shard"])
         return out.append_column("bin", pa.array(bins, pa.int32())).append_column("place", pa.array(places, pa.int64()))
 

@@ -6,10 +6,11 @@ hash (a word said twice shares one). A document is the mean of its tokens plus t
 tells its quality. Table and outputs are learned in numpy by stochastic gradient descent.
 
 Training: a bounded sample of labelled documents, at most sample[0] of label 0 and sample[1] of label 1
-(in order of a hash of the id, never held-out ones), read whole. Scoring reads every whole text: as the
+(in order of a hash of the id, never held-out ones; one row of each id), read whole. Scoring reads every whole text: as the
 model is linear in its vectors, the table is sent as one number per row.
 
-Nulls and empty texts score by the outputs' bias alone. Equal texts score alike. Without labels of
+Nulls and empty texts score by the outputs' bias alone. Equal texts, and repeated rows, have equal scores, bit
+for bit: a text's sums depend on nothing else in its batch. A column named quality is replaced. Without labels of
 both kinds the score is 0.5.
 """
 
@@ -50,10 +51,11 @@ def pairs(words: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.n
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of runs of so many values; 0 of none."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, 0, dtype=np.float64)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    """Of runs of so many values, each added up in its own order; 0 of none."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    if values.ndim == 1:
+        return np.bincount(owner, values, len(sizes))
+    return np.stack([np.bincount(owner, v, len(sizes)) for v in values.T], 1)
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = 5, batch: int = 32, rate: float = 150.0, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -110,7 +112,7 @@ class Scorer:
         if not len(codes):
             return np.full(len(sizes), self.bias)
         word, flat, many, words = features(kinds)
-        token = (np.add.reduceat(self.weights[flat], np.cumsum(many) - many) + self.weights[word]) / (many + 1)
+        token = (sums(self.weights[flat], many) + self.weights[word]) / (many + 1)
         rows, n = pairs(words, codes, sizes)
         return self.bias + sums(token[codes], sizes) / np.maximum(sizes, 1) + sums(self.weights[rows], n) / np.maximum(n, 1)
 
@@ -122,12 +124,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     if model is None:
         model = train(*labelled_sample(docs, labels, "quality", sample))
     sent = spark.sparkContext.broadcast(model)  # a number for each row of the table: of fixed size
-    names = [c for c in docs.columns if c != "quality"]
-    schema = docs.select(*names, F.lit(0.0).alias("quality")).schema
+    names = [c for c in docs.columns if c.lower() != "quality"]
+    schema = docs.select(*[f"`{c}`" for c in names], F.lit(0.0).alias("quality")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(*sent.value)
         for b in in_utc(batches):
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sigmoid(score(b.column("text"))))], schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)

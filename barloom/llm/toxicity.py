@@ -3,14 +3,15 @@
 A token is a vector of its word (embedded if the training sample has it twice or more) and one of its
 characters: attention pools the embeddings of its hashed 3- to 6-grams. Two GRUs read a window of tokens, forwards and backwards; attention
 pools their states into the window's logit. A document's logit is the largest of its windows, which
-overlap by a quarter and cover the whole text.
+overlap by half (a passage of up to 33 tokens is whole in one) and cover the whole text.
 
 Training: a bounded sample of labelled documents, at most sample[0] clean and sample[1] toxic ones (in
-order of a hash of the id, never held-out ones), all their windows up to `train_windows` a document; each step pushes the
-document's strongest window. Scoring covers every window of every document.
+order of a hash of the id, never held-out ones; one row of each id), read whole: each step looks through all
+windows of its documents and pushes each document's strongest. Scoring covers every window of every document.
 
-Nulls and empty texts score as one window of no tokens. Equal texts score alike. Without any labels
-of one kind the score is the prior, 0.5.
+Nulls and empty texts score as one window of no tokens. Equal texts, and repeated rows, score alike: windows
+are read in batches of one shape, and logits are rounded to 4 places. Without labels of both kinds all
+texts have one score, from the numbers of labels (1/3 without any, so nothing is rejected). Columns of `docs` named like the results are replaced; `out` names the results.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from .arrays import in_utc
 from .common import held_out, small_batches
 from .words import coded, grams
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 DW, DC, H = 8, 8, 8
 GRAM_BITS = 17
 GRAMS = 1 << GRAM_BITS
-#: Windows that are read together.
-BATCH = 512
+#: Windows that are read together, and n-grams whose vectors are pooled at once (a token more at most).
+BATCH, POOL = 512, 400_000
 
 
 def normal(token: str) -> str:
@@ -98,12 +99,13 @@ class Model:
         """(tokens, 3H) for each direction: what tokens bring to its gates, as logits() reads it. The gates'
         arguments are halved, since their sigmoid is taken by tanh. A last row: no token."""
         out = tuple(np.zeros((len(rows) + 1, 3 * H), np.float32) for _ in "fb")
-        ends = np.cumsum(sizes)
-        for i in range(0, len(rows), 8192):  # some at a time: n-grams are many
-            j = min(len(rows), i + 8192)
+        ends, i = np.cumsum(sizes), 0
+        while i < len(rows):  # some at a time: n-grams are many
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + POOL, "right")))
             v = self.vectors(rows[i:j], flat[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j])
             for d, x in zip("fb", out, strict=True):
                 x[i:j] = v @ self.p[f"W{d}"] + self.p[f"c{d}"]
+            i = j
         for x in out:
             x[:, : 2 * H] *= 0.5
         return out
@@ -150,6 +152,12 @@ class Model:
         a = np.exp(a - a.max(0)) * mask
         return (a * s[:, :, 1]).sum(0) / np.maximum(a.sum(0), 1e-9) + self.p["bias"][0]
 
+    def window_logits(self, table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """logits() of any number of windows, in batches of one shape."""
+        n = len(ids)
+        ids = np.concatenate([ids, np.full((-n % BATCH, ids.shape[1]), -1, ids.dtype)])
+        return np.concatenate([self.logits(table, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])[:n]
+
     # -- training
 
     def step(self, ids: np.ndarray, parts: tuple[np.ndarray, ...], y: np.ndarray, rate: float) -> float:
@@ -285,8 +293,7 @@ class Scorer:
         if len(codes):
             codes = self.rows(kinds)[codes]
         ids, counts = windows(codes, sizes)
-        logits = [self.m.logits(self.table, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)]
-        return np.maximum.reduceat(np.concatenate(logits), np.cumsum([0, *counts[:-1]]))
+        return np.maximum.reduceat(self.m.window_logits(self.table, ids), np.cumsum([0, *counts[:-1]]))
 
 
 def log_odds(one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
@@ -303,11 +310,12 @@ def gram_counts(seen: Counter) -> np.ndarray:
     return out
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: int = 200, train_windows: int = 64, rate: float = 0.01, seed: int = 0) -> Model:
+def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: int = 200, rate: float = 0.01, seed: int = 0) -> Model:
     """At least so many epochs, and so many steps of 64 documents."""
     if len(set(labels)) < 2:
         model = Model({}, seed)
         model.p["out"][:] = 0
+        model.p["bias"][:] = np.log((1 + sum(map(int, labels))) / (2 + len(labels) - sum(map(int, labels))))
         return model
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
@@ -326,7 +334,6 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
     parts = model.lookup(kinds)
     every, counts = windows(codes, sizes)
     wins = np.split(every, np.cumsum(counts)[:-1])
-    wins = [w if len(w) <= train_windows else w[np.sort(rng.choice(len(w), train_windows, replace=False))] for w in wins]
     epochs = max(epochs, -(-steps // -(-len(y) // 64)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
@@ -337,7 +344,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
                 table = model.inputs(*parts)
             ids = np.concatenate([wins[k] for k in some])
             whose = np.repeat(np.arange(len(some)), [len(wins[k]) for k in some])
-            logit = model.logits(table, ids)
+            logit = model.window_logits(table, ids)
             best = np.lexsort((-logit, whose))
             best = best[np.r_[True, np.diff(whose[best]) > 0]]
             model.step(ids[best], parts, y[some], speed)
@@ -345,30 +352,30 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of at most most[y] documents of label y, none of them held out."""
+    """Texts and labels of at most most[y] documents of label y, none of them held out. One row of each id."""
     ids = labels.where(~held_out() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     some = [ids.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])  # at most sum(most) rows: a bound for the broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), r.doc_id, r.text or ""))
     return [r.text for r in got], [r.y for r in got]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (2400, 800), model: Model | None = None) -> DataFrame:
-    """`docs` with toxicity (0 to 1) and toxicity_logit."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (2400, 800), model: Model | None = None, out: str = "toxicity") -> DataFrame:
+    """`docs` with toxicity (0 to 1) and toxicity_logit, or what `out` calls them."""
     spark = docs.sparkSession
     small_batches(spark, 2048)
     if model is None:
         model = train(*labelled_sample(docs, labels, "toxic", sample))
     model.moment = {}
     sent = spark.sparkContext.broadcast(model)  # at most some megabytes: the sample bounds the vocabulary
-    names = [c for c in docs.columns if c not in ("toxicity", "toxicity_logit")]
-    schema = docs.select(*names, F.lit(0.0).alias("toxicity"), F.lit(0.0).alias("toxicity_logit")).schema
+    names = [c for c in docs.columns if c.lower() not in (out, f"{out}_logit")]
+    schema = docs.select(*[f"`{c}`" for c in names], F.lit(0.0).alias(out), F.lit(0.0).alias(f"{out}_logit")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(sent.value)
         for b in in_utc(batches):
-            logit = score(b.column("text")).astype(np.float64)
+            logit = np.round(score(b.column("text")).astype(np.float64), 4)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sigmoid(logit)), pa.array(logit)], schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)

@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Tokens longer than this are read in pieces, so no character is left out.
-LONGEST = 24
-#: Tokens whose n-grams are made at once.
-SOME = 20_000
+#: Runs of characters longer than this are read as several tokens (this bounds a task's memory). They overlap by
+#: one character less than the longest n-gram, so no n-gram is lost.
+LONGEST, OVERLAP = 4096, 5
+#: Tokens, and characters (a token more at most), whose n-grams are made at once.
+SOME, CHARS = 20_000, 400_000
 
 
 def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -26,10 +27,11 @@ def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(sizes)), sizes)
         sizes = sizes - np.bincount(owner[codes == empty], minlength=len(sizes))
         codes = codes[codes != empty]
-    pieces = np.array([max(1, -(-len(k) // LONGEST)) for k in kinds], np.int64)
+    starts = [range(0, max(1, len(k) - OVERLAP), LONGEST - OVERLAP) if len(k) > LONGEST else range(1) for k in kinds]
+    pieces = np.array([len(x) for x in starts], np.int64)
     if len(kinds) and pieces.max() > 1:
         first = np.cumsum([0, *pieces[:-1]])
-        kinds = [k[i : i + LONGEST] for k in kinds for i in range(0, max(1, len(k)), LONGEST)]
+        kinds = [k[i : i + LONGEST] for k, x in zip(kinds, starts, strict=True) for i in x]
         n = pieces[codes]
         ends = np.cumsum(n)
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -44,7 +46,14 @@ def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def grams(kinds: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (of `bits` bits) of the 3- to 6-grams of the characters of each (marked) token, one after
     another, and how many each has."""
-    parts = [_grams(kinds[i : i + SOME], bits) for i in range(0, len(kinds), SOME)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+    cuts, chars = [0], 0
+    for i, k in enumerate(kinds):
+        chars += len(k)
+        if i + 1 - cuts[-1] == SOME or chars >= CHARS:
+            cuts.append(i + 1)
+            chars = 0
+    cuts.append(len(kinds))
+    parts = [_grams(kinds[i:j], bits) for i, j in zip(cuts, cuts[1:], strict=False) if j > i] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 

@@ -7,6 +7,7 @@ last return the columns of `documents`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm import linededup, mixing, ngramjoin, packing, toxicity
 from barloom.llm.common import documents, keep
@@ -16,7 +17,10 @@ from barloom.session import ship
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score 0.5 or more) go."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score_toxicity(docs, labels).where("toxicity < 0.5").select(*docs.columns)
+    score = "toxicity"
+    while score in map(str.lower, docs.columns):  # a column of this name is the document's own
+        score += "_"
+    return toxicity.score_toxicity(docs, labels, out=score).where(F.col(score) < 0.5).select(*[f"`{c}`" for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target shares: whole repeats of a document, and a part of chosen blocks."""
-    return mixing.take_mixed(mixing.mix_sources(docs), docs.columns)
+    return mixing.take_mixed(mixing.mix_sources(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,10 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import ngramjoin, quality, suffixes, toxicity
+from barloom.llm import ngramjoin, quality, suffixes, toxicity, words
 from barloom.llm.arrays import WordHashes
 from barloom.llm.common import held_out
-from barloom.llm.words import LONGEST, coded
+from barloom.llm.words import LONGEST, coded, grams
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, sid string, marks string"
 
@@ -204,16 +204,30 @@ def test_removal_of_nothing(spark):
 
 
 def test_tokens_are_whole():
-    text = "a  b\n" + "z" * (3 * LONGEST + 5) + " é "
+    text = "a  b\n" + "z" * (LONGEST - 1) + " é "
     kinds, codes, sizes = coded(pa.array([text, None, "", " ", "b"]))
-    assert sizes.tolist() == [7, 0, 0, 0, 1] and len(set(kinds)) == len(kinds)
-    assert "".join(kinds[c] for c in codes[:7]) == text.replace(" ", "").replace("\n", "")
+    assert sizes.tolist() == [4, 0, 0, 0, 1] and len(set(kinds)) == len(kinds)
+    assert "".join(kinds[c] for c in codes[:4]) == text.replace(" ", "").replace("\n", "")
+
+
+def test_long_runs_lose_no_ngram(monkeypatch):
+    rng = random.Random(2)
+    run = "".join(rng.choice("abcdefgh") for _ in range(3 * LONGEST + 7))
+    kinds, codes, sizes = coded(pa.array([run]))
+    pieces = [kinds[c] for c in codes]
+    assert sizes.tolist() == [len(pieces)] and max(map(len, pieces)) == LONGEST
+    for n in (3, 4, 5, 6):
+        assert {run[i : i + n] for i in range(len(run) - n + 1)} == {p[i : i + n] for p in pieces for i in range(len(p) - n + 1)}
+    whole = words.grams(["ab", "", "x" * 50, *pieces], 16)
+    monkeypatch.setattr(words, "CHARS", 60)
+    parts = words.grams(["ab", "", "x" * 50, *pieces], 16)
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
 
 
 def test_windows_cover_every_token():
     sizes = np.array([0, 1, toxicity.WINDOW, toxicity.WINDOW + 1, 500])
     ids, counts = toxicity.windows(np.arange(sizes.sum()), sizes)
-    assert counts[:4].tolist() == [1, 1, 1, 2] and set(ids[ids >= 0].tolist()) == set(range(sizes.sum()))
+    assert counts[:4].tolist() == [1, 1, 1, 2] and toxicity.STRIDE * 2 == toxicity.WINDOW and set(ids[ids >= 0].tolist()) == set(range(sizes.sum()))
 
 
 def test_network_gradient():
@@ -246,6 +260,80 @@ def test_network_gradient():
         assert want == pytest.approx((up - down) / (2 * step), abs=3e-4)
 
 
+def plain_score(m, text):
+    """The network token by token, window by window."""
+    p, sig = m.p, lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.H
+
+    def vector(token):
+        flat, _ = grams([toxicity.normal(token)], toxicity.GRAM_BITS)
+        e = p["char"][flat].astype(np.float64)
+        a = np.exp(e @ p["look"])
+        return np.concatenate([p["word"][m.vocab.get(toxicity.normal(token), 0)], (e * (a / a.sum())[:, None]).sum(0)])
+
+    def read(xs, d):
+        s, out = np.zeros(h), []
+        for x in xs:
+            i, g = x @ p[f"W{d}"] + p[f"c{d}"], s @ p[f"U{d}"]
+            z, r = sig(i[:h] + g[:h]), sig(i[h : 2 * h] + g[h : 2 * h])
+            s = z * s + (1 - z) * np.tanh(i[2 * h :] + r * g[2 * h :])
+            out.append(s)
+        return out
+
+    tokens = (text or "").split()
+    starts = [0]
+    while starts[-1] + toxicity.WINDOW < len(tokens):
+        starts.append(starts[-1] + toxicity.STRIDE)
+    logits = []
+    for i in starts:
+        xs = [vector(t) for t in tokens[i : i + toxicity.WINDOW]]
+        if not xs:
+            return float(p["bias"][0])
+        hs = np.hstack([np.array(read(xs, "f")), np.array(read(xs[::-1], "b"))[::-1]])
+        a = np.exp(hs @ p["att"])
+        logits.append(float((a / a.sum()) @ (hs @ p["out"]) + p["bias"][0]))
+    return max(logits)
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark):
+    rng = random.Random(12)
+    m = toxicity.Model({w: i + 1 for i, w in enumerate(["moron", "the", "on"])}, 5)
+    for k in ("att", "out"):
+        m.p[k] *= 3
+    texts = [*ODD, "the moron", " ".join(r[1] for r in planted(rng, 12)), *[r[1] for r in planted(rng, 6)]]
+    texts += [texts[9], texts[9], "moron " * 4000, "y" * 3000]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs(spark, texts), spark.createDataFrame([], "doc_id long, toxic int"), model=m).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].toxicity_logit == pytest.approx(plain_score(m, t), abs=2e-3), i
+    assert got[9].toxicity == got[len(texts) - 4].toxicity == got[len(texts) - 3].toxicity
+
+
+def test_quality_scores_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    weights = rng.standard_normal(1 << quality.BITS).astype(np.float32)
+    texts = [*ODD, "on on the", " ".join(["word"] * 20_000), *[r[1] for r in planted(random.Random(1), 40)], "z" * 3000]
+    texts += texts[7:20]
+    d = docs(spark, texts).withColumn("Quality", F.lit("clash"))
+    got = {r.doc_id: r.quality for r in quality.score_quality(d, spark.createDataFrame([], "doc_id long, quality int"), model=(weights, 0.25)).repartition(3).collect()}
+
+    def plain(text):
+        tokens = (text or "").split()
+        one = []
+        for t in tokens:
+            flat, _ = grams([t], quality.BITS)
+            word = quality.features([t])[0]
+            one.append((weights[flat].astype(np.float64).sum() + weights[word[0]]) / (len(flat) + 1))
+        codes = np.arange(len(tokens))
+        rows, _ = quality.pairs(quality.features(tokens)[3], codes, np.array([len(tokens)])) if tokens else (codes, 0)
+        z = 0.25 + (np.mean(one) if one else 0) + (weights[rows].astype(np.float64).mean() if len(rows) else 0)
+        return 1 / (1 + np.exp(-z))
+
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain(t), abs=1e-6), i
+    for i in range(7, 20):  # equal texts in other batches: bit for bit
+        assert got[i] == got[len(texts) - 13 + i - 7]
+
+
 def planted(rng, n):
     rows = []
     for i in range(n):
@@ -270,7 +358,7 @@ def test_toxicity_learns_and_generalises(spark):
 def test_held_out_rows_are_not_learned_from(spark):
     rows = [(i, "bad words" if i % 2 else "good words", i % 2) for i in range(200)]
     d, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, y int")
-    texts, ys = toxicity.labelled_sample(d, labels, "y", (1000, 1000))
+    texts, ys = toxicity.labelled_sample(d.union(d), labels, "y", (1000, 1000))  # ids that repeat count once
     assert len(texts) == labels.where(~held_out()).count() < 200 and len(toxicity.labelled_sample(d, labels, "y", (7, 9))[1]) == 16
 
 
@@ -298,17 +386,55 @@ def test_quality_learns(spark):
 # -- pipeline
 
 
+def test_stages_of_odd_tables(spark, sf):
+    """Empty tables, nulls in any column, empty and very long texts, repeated rows, names that clash."""
+    import corpus_pipeline as p
+
+    odd = docs(spark, [*ODD, "word " * 30_000, "one two three", "one two three"], ids=[None, None, *range(len(ODD) + 1)])
+    odd = odd.withColumn("source", F.when(F.col("doc_id") > 2, F.col("source"))).withColumns({c: F.lit(c) for c in ("size", "toxicity", "sid", "row", "doc", "id", "shard", "spans", "bin", "place", "root", "line", "nos")})
+    for d in (odd, odd.limit(0)):
+        for name, stage in p.STAGES:
+            got = stage(spark, d, sf)
+            if name == "best-fit packing":
+                assert got.agg(F.sum("n_words")).first()[0] == d.select(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))).first()[0]
+            else:
+                assert got.columns == d.columns and got.select("size", "sid", "row", "doc", "spans").distinct().count() == min(1, d.count())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
     d = p.documents(spark, sf)
-    kept = p.drop_toxic(spark, d, sf)
+    kept = p.keep(p.drop_toxic(spark, d, sf), "kept")
     assert kept.columns == d.columns and 0 < kept.count() < d.count()
-    lines = p.dedup_lines(spark, kept, sf)
-    one = p.drop_near_duplicates(spark, lines, sf)
+    lines = p.keep(p.dedup_lines(spark, kept, sf), "lines")
+    one = p.keep(p.drop_near_duplicates(spark, lines, sf), "one")
     texts = {r.doc_id: r.text for r in lines.collect()}
     order = sorted(texts)
     want = {order[c] for _, c in brute_components([texts[i] for i in order], 5, 80).values()}
+    assert p.drop_toxic(spark, d.limit(9).withColumn("toxicity", F.lit(7)), sf).select("toxicity").distinct().collect() == [(7,)]
     assert lines.count() == kept.count() and {r.doc_id for r in one.collect()} == want
-    packed = p.run(spark, sf)
-    assert packed.agg(F.sum("n_words")).first()[0] > 0 and [n for n, _ in p.STAGES] == ["toxicity", "line dedup", "near duplicates", "source mix", "best-fit packing"]
+    mixed = p.keep(p.mix(spark, one, sf), "mixed")
+    sizes = Counter()
+    for r in one.collect():
+        sizes[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    names, targets, open_, left = sorted(sizes), {}, set(sizes), sum(sizes.values())
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    while open_:  # a target stops at three times its source
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) >= 3 * sizes[s]]
+        if not over:
+            targets |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+            break
+        targets |= {s: 3 * sizes[s] for s in over}
+        open_ -= set(over)
+        left = sum(sizes.values()) - sum(targets.values())
+    took, known = Counter(), {r.doc_id: Counter((r.text or "").split()) for r in one.collect()}
+    for r in mixed.collect():
+        took[r.source] += len(r.text.split()) if r.text else 0
+        assert not Counter((r.text or "").split()) - known[r.doc_id]
+    assert mixed.columns == d.columns and all(abs(took[s] - targets[s]) <= 0.02 * targets[s] + 64 for s in names)
+    packed = p.keep(p.run(spark, sf), "packed")
+    assert packed.agg(F.sum("n_words")).first()[0] == sum(took.values()) == p.pack(spark, mixed, sf).agg(F.sum("n_words")).first()[0]
+    room = packed.where("bin is not null").groupBy("shard", "bin").agg(F.sum("n_words").alias("n"), F.max(F.col("place") + F.col("n_words")).alias("end"))
+    assert room.where("n <> `end` or n > 2048").count() == 0 and packed.where("bin is null and n_words > 0").count() == 0
+    assert [n for n, _ in p.STAGES] == ["toxicity", "line dedup", "near duplicates", "source mix", "best-fit packing"]
