@@ -104,11 +104,12 @@ def take_mixed(mixed: DataFrame) -> DataFrame:
     """The documents that a mix takes, in their own columns: a row for each whole repeat, and a row with the words of
     the spans. A document without words stays once."""
     columns = mixed.schema["doc"].dataType.names
-    words = f"regexp_extract_all(doc.text, '{WORD}', 0)".replace("\\", "\\\\")
-    part = F.expr(f"concat_ws(' ', flatten(transform(spans, s -> slice({words}, cast(s.from + 1 as int), cast(s.to - s.from as int)))))")
-    own = [F.col("doc")[c].alias(c) for c in columns]
-    whole = mixed.where("repeats > 0 or size = 0").select("doc", F.explode(F.expr("sequence(1, greatest(cast(repeats as int), 1))"))).select(*own)
+    whole = F.greatest(F.col("repeats"), (F.col("size") == 0).cast("long"))
+    copies = F.concat(F.when(whole > 0, F.sequence(F.lit(1).cast("long"), whole)).otherwise(F.array().cast("array<long>")), F.when(F.size("spans") > 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")))
+    d = mixed.select("doc", "spans", F.explode(copies).alias("copy"))
+    words = F.array(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)))  # found once for all spans
+    taken = lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
+    d = d.withColumn("part", F.when(F.col("copy") == 0, F.element_at(F.transform(words, taken), 1)))
     new = {"text": F.col("part"), "n_chars": F.length("part")}
-    partly = mixed.where("size(spans) > 0").select("doc", part.alias("part"))
-    partly = partly.select(*[new[c].cast(whole.schema[c].dataType).alias(c) if c in new else F.col("doc")[c].alias(c) for c in columns])
-    return whole.unionByName(partly)
+    kinds = {f.name: f.dataType for f in mixed.schema["doc"].dataType.fields}
+    return d.select(*[F.when(F.col("copy") == 0, new[c].cast(kinds[c])).otherwise(F.col("doc")[c]).alias(c) if c in new else F.col("doc")[c].alias(c) for c in columns])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .arrays import in_utc
 from .common import small_batches
-from .toxicity import labelled_sample, sigmoid
+from .toxicity import fit, labelled_sample, sigmoid
 from .words import coded, grams
 
 BITS, DIM = 18, 10
@@ -122,7 +122,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     spark = docs.sparkSession
     small_batches(spark, 2048)
     if model is None:
-        model = train(*labelled_sample(docs, labels, "quality", sample))
+        model = fit(labelled_sample(docs, labels, "quality", sample), train)
     sent = spark.sparkContext.broadcast(model)  # a number for each row of the table: of fixed size
     names = [c for c in docs.columns if c.lower() != "quality"]
     schema = docs.select(*[f"`{c}`" for c in names], F.lit(0.0).alias("quality")).schema

@@ -16,8 +16,9 @@ texts have one score, from the numbers of labels (1/3 without any, so nothing is
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from string import punctuation
 
 import numpy as np
@@ -348,17 +349,30 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
             best = np.lexsort((-logit, whose))
             best = best[np.r_[True, np.diff(whose[best]) > 0]]
             model.step(ids[best], parts, y[some], speed)
+    model.moment = {}
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of at most most[y] documents of label y, none of them held out. One row of each id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> DataFrame:
+    """doc_id, text, y of at most most[y] documents of label y, none of them held out. One row of each id."""
     ids = labels.where(~held_out() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     some = [ids.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])  # at most sum(most) rows: a bound for the broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
-    got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), r.doc_id, r.text or ""))
-    return [r.text for r in got], [r.y for r in got]
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+
+
+def fit(sample: DataFrame, train: Callable):
+    """What `train` makes of the sample's texts and labels, in one task: the sample is bounded, and the driver
+    gets nothing but the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"]))
+        model = train([r["text"] for r in rows], [r["y"] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else train([], [])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (2400, 800), model: Model | None = None, out: str = "toxicity") -> DataFrame:
@@ -366,8 +380,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     spark = docs.sparkSession
     small_batches(spark, 2048)
     if model is None:
-        model = train(*labelled_sample(docs, labels, "toxic", sample))
-    model.moment = {}
+        model = fit(labelled_sample(docs, labels, "toxic", sample), train)
     sent = spark.sparkContext.broadcast(model)  # at most some megabytes: the sample bounds the vocabulary
     names = [c for c in docs.columns if c.lower() not in (out, f"{out}_logit")]
     schema = docs.select(*[f"`{c}`" for c in names], F.lit(0.0).alias(out), F.lit(0.0).alias(f"{out}_logit")).schema
