@@ -37,6 +37,14 @@ def column(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).to_numpy(zero_copy_only=False)
 
 
+def columns(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """One array of the columns' values together."""
+    out = np.empty(b.num_rows, [(n, np.int64) for n in names])
+    for n in names:
+        out[n] = column(b, n)
+    return out
+
+
 def in_utc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Timestamps that pass through carry the session's time zone; what is returned must say UTC."""
     for b in batches:
@@ -47,14 +55,14 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def several(batches: Iterator[pa.RecordBatch], key: str, members: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+def several(batches: Iterator[pa.RecordBatch], key: str | list[str], members: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
     """From batches sorted by key and members: for each key with two or more different members, its
     members but the first, with that first one. Yields key, first members, other members; holds one batch."""
     last = None  # key, first member, latest member
     for b in batches:
         if not b.num_rows:
             continue
-        k, ms = column(b, key), [column(b, m) for m in members]
+        k, ms = column(b, key) if isinstance(key, str) else columns(b, key), [column(b, m) for m in members]
         if last is not None:
             k, ms = np.concatenate([last[0], last[0], k]), [np.concatenate([f, x, m]) for f, x, m in zip(last[1], last[2], ms, strict=True)]
         new = np.r_[True, k[1:] != k[:-1]]

@@ -1,22 +1,26 @@
 r"""Suffix-array dedup: removes every byte covered by a string of `length` bytes that starts more than once.
 
-Bucket-pointer refinement: positions are put into buckets by their first q bytes, and a bucket is
-refined by the bucket identifiers of positions further on; the refined identifiers serve the next
-step, so 8 bytes become 16, 32, 64, 128 and at last `length`. Identifiers are 64-bit hashes of pairs
-of identifiers, so they agree between tasks without a shared table.
+Bucket-pointer refinement: positions stand in buckets by their first q bytes; a bucket is refined by sorting it on
+the bucket pointers of the positions q bytes further on, and the pointers that this updates serve the next step, so
+8 bytes become 16, 32, 64, 128 and at last `length`. A bucket of one position is final and sorted no more. Pointers
+are ranks, not hashes: equal ones mean equal bytes.
 
-Only what can repeat is refined to the end. Every window of `length` bytes is represented by one of
-its 64-byte positions (that with the least identifier; equal windows choose alike). Those
-representatives (about 1.5 in 100 positions) are sorted by identifier over the cluster; a window whose
-representative's bucket has one position cannot repeat. The others are sent, with the bytes of their
-windows, to the task of their bucket, which refines and sorts them.
+Over the cluster, only what can repeat is refined. Every window of `length` bytes is represented by one of its
+64-byte positions (that with the least hash; equal windows choose alike). These initial buckets (about 1.5 in 100
+positions) are formed by a shuffle; a window whose representative has no company cannot repeat. The others are
+sent, with the bytes of their windows, to the task of their bucket, which refines it.
+
+Where a hash decides: windows of text that repeats itself within 64 bytes (they have no single representative) go by a
+64-bit hash of all their bytes; windows that meet across the pieces of a bucket of BIG rows or more, by 128 bits.
+All other equality is of bytes. Texts are named by a 64-bit hash and their length; SHA-256 of all texts shows whether
+two have one name, and then names are drawn again.
 
 Copies of a whole document count once in that sort (any copy of at least `length` bytes is removed
 whole, as each of its windows starts elsewhere, too). Matches never cross documents; what is removed
 is judged on the input.
 
-Nulls: a null text is empty. Empty and short texts lose nothing. Repeated rows are copies. Texts are
-told apart by a 64-bit hash and their length.
+Nulls: a null text is empty. Empty and short texts lose nothing. Repeated rows are copies. Other columns are not
+read. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -30,20 +34,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, column, mix, several, texts
-from .common import keep, small_batches
+from .common import forget, keep, small_batches
 
 SEED = 64  # bytes of a representative
 #: Bytes of texts, or of windows, that a task refines at once.
 CHUNK = 1 << 18
-#: Up to so many spans are broadcast (64 MB at most); more go through a shuffle join.
-BROADCAST_PARTS = 4_000_000
+#: Spans of so many bytes (about 120 for each text and 8 for each span) are broadcast; more go through a shuffle join.
+BROADCAST_BYTES = 32 << 20
 #: Rows of a bucket from which it is dealt over several tasks.
 BIG = 4096
 K = U(0x9E3779B97F4A7C15)
 
 
+def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the windows of `length` bytes inside items (which begin at starts; the last entry is the end),
+    and the bucket of each: equal numbers for equal windows. By bucket-pointer refinement."""
+    n = len(data)
+    p = np.arange(n)
+    item = np.searchsorted(starts, p, "right") - 1
+    windows = np.flatnonzero(p + length <= starts[item + 1])
+    if not len(windows):
+        return windows, windows
+    first = np.zeros(n, np.uint64)  # the first 8 bytes of each position, as a number
+    wide = np.r_[data, np.zeros(8, np.uint8)]
+    for i in range(8):
+        first = first << U(8) | wide[i : n + i]
+    pointer, active, q = np.zeros(n, np.int64), p, 0
+
+    def refined(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts the positions of each bucket by key. New pointers: where the parts of a bucket begin; and which parts have company."""
+        order = np.lexsort((key, pointer[at])) if q else np.argsort(key, kind="stable")
+        bucket, key = pointer[at][order], key[order]
+        new = np.r_[True, bucket[1:] != bucket[:-1]]
+        part = new | np.r_[True, key[1:] != key[:-1]]
+        rank = np.arange(len(at))
+        begins = lambda x: np.maximum.accumulate(np.where(x, rank, 0))
+        out, company = np.empty(len(at), np.int64), np.empty(len(at), bool)
+        out[order] = bucket + begins(part) - begins(new)
+        company[order] = ~(part & np.r_[part[1:], True])
+        return out, company
+
+    pointer, company = refined(p, first)
+    active, q = p[company], 8
+    while 2 * q <= length:
+        some = active[active + q < n]
+        moved, company = refined(some, pointer[some + q])
+        pointer[some] = moved  # at once: all keys of this step were of q bytes
+        active, q = some[company], 2 * q
+    if q < length:  # windows alone: the last two strings of q bytes overlap
+        moved, _ = refined(windows, pointer[windows + length - q])
+        return windows, moved
+    return windows, pointer[windows]
+
+
 def refine(b: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Bucket identifiers of the strings of each size at each position (sizes rise; 64 or more)."""
+    """Hashes of the strings of each size at each position, doubled like buckets (sizes rise; 64 or more)."""
     ids = b.astype(np.uint64)
     for q in (1, 2, 4):
         ids = ids[:-q] | ids[q:] << U(8 * q)
@@ -144,8 +189,9 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _meeting(seeds: DataFrame, big: int = 0) -> DataFrame:
-    """text_id, n, pos of the representatives in buckets of two or more. With `big`, a bucket also gives its key as
-    text_id, with n = -1, for each `big` rows that it has."""
+    """text_id, n, pos of the representatives in buckets (of a key, or of key and key2) of two or more. With `big`, a
+    bucket also gives its key as text_id, with n = -1, for each `big` rows that it has."""
+    keys = [c for c in ("key", "key2") if c in seeds.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, over = ["text_id", "n", "pos"], [np.empty(0, np.int64)]
@@ -161,14 +207,14 @@ def _meeting(seeds: DataFrame, big: int = 0) -> DataFrame:
                     last, n = k[-1], rank[-1]
                 yield b
 
-        for _, first, other in several(counted(), "key", names):
+        for _, first, other in several(counted(), keys, names):
             f = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in first])])
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[x[f], y]) for x, y in zip(first, other, strict=True)], names)
-        keys = np.concatenate(over)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), -1, np.int32)), pa.array(np.zeros(len(keys), np.int32))], names)
+        large = np.concatenate(over)
+        if len(large):
+            yield pa.RecordBatch.from_arrays([pa.array(large), pa.array(np.full(len(large), -1, np.int32)), pa.array(np.zeros(len(large), np.int32))], names)
 
-    return seeds.repartition("key").sortWithinPartitions("key", "text_id", "n", "pos").mapInArrow(run, "text_id long, n int, pos int")
+    return seeds.repartition("key").sortWithinPartitions(*keys, "text_id", "n", "pos").mapInArrow(run, "text_id long, n int, pos int")
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
@@ -219,23 +265,16 @@ def _spans(windows: DataFrame, length: int, shards: DataFrame | None = None) ->
     those of the other pieces."""
 
     def repeated(rows: list[tuple], piece: bool = False) -> pa.RecordBatch:
-        ids, whose, at = [], [], []
-        for some, data, starts in chunks([r[4] for r in rows]):
-            (name,) = refine(data, (length,)) if len(data) >= length else (np.empty(0, np.uint64),)
-            p = np.arange(len(name))
-            j = np.searchsorted(starts, p, "right") - 1
-            ok = p + length <= starts[j + 1]
-            ids.append(name[ok])
-            whose.append(np.array(some)[j[ok]])
-            at.append((p - starts[j])[ok])
-        ids, whose, at = np.concatenate(ids), np.concatenate(whose), np.concatenate(at)
-        order = np.argsort(ids, kind="stable")
-        s = ids[order]
-        same = np.r_[False, s[1:] == s[:-1]]
-        hit = np.zeros(len(ids), bool)
-        hit[order] = same | np.r_[same[1:], False]
+        data, starts = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), np.cumsum([0, *[len(r[4]) for r in rows]])
+        p, bucket = repeated_windows(data, starts, length)
+        whose = np.searchsorted(starts, p, "right") - 1
+        at = p - starts[whose]
+        order = np.argsort(bucket, kind="stable")
+        same = np.r_[False, bucket[order][1:] == bucket[order][:-1]] if len(order) else np.empty(0, bool)
+        hit = np.zeros(len(p), bool)
+        hit[order] = same | np.r_[same[1:], False] if len(order) else same
         one = order[~same] if piece else order[:0]
-        one_name, one_row, one_at = ids[one].view(np.int64), whose[one], at[one]
+        one_row, one_at, one_p = whose[one], at[one], p[one]
         whose, at = whose[hit], at[hit]
         new = np.flatnonzero(np.r_[True, (whose[1:] != whose[:-1]) | (at[1:] != at[:-1] + 1)]) if len(whose) else np.empty(0, np.int64)
         last = np.r_[new[1:], len(whose)] - 1 if len(new) else new
@@ -245,8 +284,10 @@ def _spans(windows: DataFrame, length: int, shards: DataFrame | None = None) ->
         cols = [col(1, np.int64), col(2, np.int32), (start + np.r_[at[new], one_at]).astype(np.int32), (start + np.r_[at[last], one_at] + length).astype(np.int32)]
         names = ["text_id", "n", "from", "to"]
         if piece:
-            cols.append(pa.array(np.r_[np.zeros(len(new), np.int64), one_name], mask=np.arange(len(r)) < len(new)))
-            names.append("name")
+            for name, b in (("name", data), ("name2", mix(data + U(7)))):
+                of = refine(b, (length,))[0].view(np.int64)[one_p] if len(one_p) else np.empty(0, np.int64)
+                cols.append(pa.array(np.r_[np.zeros(len(new), np.int64), of], mask=np.arange(len(r)) < len(new)))
+                names.append(name)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +330,9 @@ def _spans(windows: DataFrame, length: int, shards: DataFrame | None = None) ->
     w = keep(windows.join(F.broadcast(shards), "key", "left"), "windows")
     small = w.where("shards is null or `to` is not null").drop("shards").repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
     large = w.where("shards is not null and `to` is null").withColumn("shard", F.pmod(F.xxhash64("text_id"), "shards")).repartition("key", "shard").sortWithinPartitions("key", "shard", *order[1:])
-    found = keep(large.select(*order, "bytes").mapInArrow(pieces, f"{schema}, name long"), "pieces")
-    met = _meeting(found.where("name is not null").select(F.col("name").alias("key"), "text_id", "n", F.col("from").alias("pos")))
-    return small.unionByName(found.where("name is null").drop("name")).unionByName(met.select("text_id", "n", F.col("pos").alias("from"), (F.col("pos") + length).cast("int").alias("to")))
+    found = keep(large.select(*order, "bytes").mapInArrow(pieces, f"{schema}, name long, name2 long"), "pieces")
+    met = _meeting(found.where("name is not null").select(F.col("name").alias("key"), F.col("name2").alias("key2"), "text_id", "n", F.col("from").alias("pos")))
+    return small.unionByName(found.where("name is null").drop("name", "name2")).unionByName(met.select("text_id", "n", F.col("pos").alias("from"), (F.col("pos") + length).cast("int").alias("to")))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -313,13 +354,26 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 
 def _sized(parts: DataFrame, weight) -> DataFrame:
-    """`parts`, marked for broadcast if it has few enough entries."""
-    return F.broadcast(parts) if (parts.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_PARTS else parts
+    """`parts`, marked for broadcast if its rows weigh few enough bytes."""
+    return F.broadcast(parts) if (parts.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_BYTES else parts
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_id, n: no two different texts share text_id and n."""
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("n"))
+    seed = 0
+    while True:
+        named = d.withColumn("text_id", F.xxhash64(F.lit(seed), "text"))
+        sha = named.groupBy("text_id", "n").agg(F.min(F.sha2(F.col("text").cast("binary"), 256)).alias("low"), F.max(F.sha2(F.col("text").cast("binary"), 256)).alias("high"))
+        if sha.where("low <> high").isEmpty():
+            return named
+        seed += 1
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, big: int = BIG) -> DataFrame:
-    """text_id, n, froms, tos: what is removed from each text that loses something."""
-    d = _named(docs)
+    """text_id, n, froms, tos: what is removed from each text that loses something. docs: see _named."""
+    d = docs
     small_batches(docs.sparkSession, 256)
     met = _meeting(_seeds(d, length), big)
     marks = keep(met.groupBy("text_id", "n").agg(F.collect_list("pos").alias("marks")), "marks")
@@ -331,18 +385,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, big: int = BIG) -> DataFr
     copies = d.where(F.col("n") >= length).groupBy("text_id", "n").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("text_id", "n", none.alias("froms"), none.alias("tos"), "copies")
     both = parts.unionByName(copies).groupBy("text_id", "n").agg(F.max("copies").alias("copies"), F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
     whole = F.col("copies") > 1
-    return keep(both.select("text_id", "n", F.when(whole, F.array(F.lit(0))).otherwise(F.col("froms")).alias("froms"), F.when(whole, F.array("n")).otherwise(F.col("tos")).alias("tos")), "removed")
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_id"), F.octet_length(text).alias("n"))
+    out = keep(both.select("text_id", "n", F.when(whole, F.array(F.lit(0))).otherwise(F.col("froms")).alias("froms"), F.when(whole, F.array("n")).otherwise(F.col("tos")).alias("tos")), "removed")
+    forget(marks, parts)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, big: int = BIG) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, froms, tos for every row of `docs`."""
-    spans = repeated_spans(docs, length, big)
-    d = _named(docs).join(_sized(spans, F.size("froms") + 1), ["text_id", "n"], "left").select("doc_id", "n", "text", "froms", "tos")
+    named = _named(docs)
+    spans = repeated_spans(named, length, big)
+    d = named.join(_sized(spans, F.lit(120) + 8 * F.size("froms")), ["text_id", "n"], "left").select("doc_id", "n", "text", "froms", "tos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

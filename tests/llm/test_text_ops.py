@@ -169,6 +169,23 @@ def brute_removed(texts, length):
     return out
 
 
+@pytest.mark.parametrize("length", [200, 64, 16, 100])
+def test_refinement_equals_brute_force(length):
+    """Buckets of windows, by the sort alone: no hash takes part."""
+    rng = random.Random(length)
+    a = bytes(rng.choices(b"ab", k=3 * length))
+    items = [a, a[: length + 3], b"ab" * length, bytes(rng.choices(b"abc", k=500)) + a[5 : 5 + length], b"\0" * (length + 9), b"\xff" * length, b"short", b"", a[1:]]
+    data, starts = np.frombuffer(b"".join(items), np.uint8), np.cumsum([0, *map(len, items)])
+    at, bucket = suffixes.repeated_windows(data, starts, length)
+    want = [(s + i, x[i : i + length]) for s, x in zip(starts.tolist(), items, strict=False) for i in range(len(x) - length + 1)]
+    assert at.tolist() == [p for p, _ in want]
+    names: dict[bytes, set] = {}
+    for (_, x), k in zip(want, bucket.tolist(), strict=True):
+        names.setdefault(x, set()).add(k)
+    assert all(len(k) == 1 for k in names.values()) and len(set.union(*names.values())) == len(names)
+    assert len(suffixes.repeated_windows(data[:3], np.array([0, 3]), length)[0]) == 0
+
+
 @pytest.mark.parametrize("chunk", [1 << 18, 700])
 def test_removal_equals_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
@@ -195,6 +212,15 @@ def test_large_buckets_are_dealt_over_tasks(spark, monkeypatch):
     assert most("key") >= 100 and most("key", F.expr("pmod(xxhash64(text_id), coalesce(shards, 1))")) <= 40
 
 
+def test_names_are_drawn_again_when_two_texts_share_one(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(suffixes.F, "xxhash64", lambda seed, *c: F.when(seed == 0, F.lit(5).cast("long")).otherwise(real(seed, *c)))
+    texts = ["a" * 230, "b" * 230, "a" * 230, "c"]
+    got = suffixes._named(docs(spark, texts)).collect()
+    assert len({(r.text_id, r.n) for r in got}) == 3
+    assert suffixes._named(docs(spark, texts[:1] * 3)).select("text_id").distinct().collect() == [(5,)]
+
+
 def test_removal_of_nothing(spark):
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
     assert suffixes.remove_repeats(docs(spark, [None, "", "short"])).agg(F.sum("n_removed")).first()[0] == 0
