@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators.permutation import cohens_d
+from barloom.operators.rules import BINARY, NUMERIC
+from barloom.operators.signals import FLAGS
+from barloom.scratch import keep
 
-FEATURES = ("rsi", "atr_pct", "macd_hist", "vol_z", "confluence_count", "retracement_depth", "nearest_fib_dist", "trend_up", "regime_ok", "fib_near", "rsi_reversal", "macd_confirm", "bb_confirm", "vol_confirm", "nearest_fib_level")
+#: What rules are mined from, the flags that confluence counts, and the nearest level.
+FEATURES = tuple(dict.fromkeys((*NUMERIC, *BINARY, *FLAGS, "nearest_fib_level")))
 
 
 def feature_kinds(nb: DataFrame, cols: list[str]) -> dict[str, str]:
@@ -143,6 +147,7 @@ SUMMARY = "feature string, kind string, effect_size double, effect_label string,
 def insights(nb: DataFrame, failure: str = "FP", reference: tuple[str, ...] = ("TP", "TN"), features: tuple[str, ...] = FEATURES, correct: bool = True) -> DataFrame:
     """One row per feature that can be tested, with corrected p-values; largest effect first. Empty if a group is."""
     spark, cols = nb.sparkSession, [c for c in features if c in nb.columns]
+    nb = keep(nb.select("mistake_type", *cols), "notebook")  # read three times
     g, kinds = grouped(nb, failure, reference), feature_kinds(nb, cols)
     numbers = [c for c in cols if kinds[c] != "categorical"]
     texts = [c for c in cols if kinds[c] == "categorical"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.scratch import keep
+
 
 def binary_metrics(scored: DataFrame, by: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
     """n, accuracy, f1, roc_auc (ties count half), pr_auc (average precision), pos_rate per group.
@@ -17,7 +19,7 @@ def binary_metrics(scored: DataFrame, by: tuple[str, ...] = (), threshold: float
     s = scored.where("proba is not null and label is not null").groupBy(*keys, "proba").agg(
         F.sum(y).cast("long").alias("p"), F.sum(1 - y).cast("long").alias("q"), F.sum(y * pred).cast("long").alias("tp"), F.sum((1 - y) * pred).cast("long").alias("fp"),
     )
-    s = s.withColumn("range", F.floor(F.col("proba") * 4096))
+    s = keep(s.withColumn("range", F.floor(F.col("proba") * 4096)), "score-counts")  # used twice
     above = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     r = s.groupBy(*keys, "range").agg(F.sum("p").alias("rp"), F.sum("q").alias("rq"))
     r = r.select(*keys, "range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("rp", "rq")])
@@ -35,5 +37,6 @@ def binary_metrics(scored: DataFrame, by: tuple[str, ...] = (), threshold: float
 
 def oof_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The metrics over all scored rows, with the number of folds and rows."""
+    scored = keep(scored.select("fold", "label", "proba"), "scores")
     folds = scored.where("proba is not null").agg(F.countDistinct("fold").alias("folds"))
     return binary_metrics(scored, (), threshold).withColumnRenamed("n", "n_oof").join(F.broadcast(folds), F.lit(True))  # one row each

@@ -6,6 +6,8 @@ re-selects signals among the bars that can become one at all."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,9 +20,9 @@ from barloom.params import Params
 
 def random_draws(spark, p: Params = Params(), n: int | None = None) -> DataFrame:
     """draw_id, ratios: twice as many uniform ratios as needed, rounded to 3 places, distinct, sorted, the
-    first of them; draws with too few are left out."""
+    first of them; draws with too few are left out. Uniform numbers are 32 bits of an md5, as any engine has it."""
     size, span = len(p.ratios), p.random_ratio_high - p.random_ratio_low
-    unit = lambda k: F.pmod(F.xxhash64("id", F.lit(p.random_seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    unit = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(p.random_seed)), F.col("id").cast("string"), F.lit(str(k)))), 1, 8), 16, 10).cast("long") / float(1 << 32)
     ratios = F.array_sort(F.array_distinct(F.array(*[F.round(p.random_ratio_low + span * unit(k), 3) for k in range(2 * size)])))
     d = spark.range(n if n is not None else p.n_permutations).select(F.col("id").alias("draw_id"), ratios.alias("all"))
     return d.where(F.size("all") >= size).select("draw_id", F.slice("all", 1, size).alias("ratios"))
@@ -42,7 +44,9 @@ def draw_trades(cand: DataFrame, draws: DataFrame | list[tuple[int, list[float]]
     """Trades of every draw. The draws (`n_permutations` rows of a few numbers) are broadcast and meet the candidates
     in a filtered join; the hits of a draw and ticker follow one another in a sorted partition, so that a draw costs
     no group of its own."""
-    near = F.exists("ratios", lambda r: F.abs(F.col("close") - (F.col("swing_high") - r * (F.col("swing_high") - F.col("swing_low")))) / F.col("close") < p.proximity_pct)
+    # As many terms as there are ratios: inside generated code, as a higher-order function is not.
+    level = lambda k: F.col("swing_high") - F.get("ratios", F.lit(k)) * (F.col("swing_high") - F.col("swing_low"))
+    near = reduce(or_, [F.coalesce(F.abs(F.col("close") - level(k)) / F.col("close") < p.proximity_pct, F.lit(False)) for k in range(len(p.ratios))])
     hits = cand.join(F.broadcast(draw_table(cand.sparkSession, draws)), near).drop("ratios")
     hits = hits.withColumns({"fib_near": F.lit(1), "confluence_count": F.col("other_flags") + 1})
     s = trade_rows(hits, entry_signal(p), ("draw_id", "ticker"))

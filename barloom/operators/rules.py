@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +14,18 @@ NUMERIC = ("rsi", "atr_pct", "macd_hist", "vol_z", "confluence_count", "retracem
 BINARY = ("trend_up", "regime_ok", "fib_near")
 
 
+#: Words of a rule's expression that are no columns.
+WORDS = {"and", "or", "not", "is", "null", "in", "between", "like", "true", "false", "case", "when", "then", "else", "end"}
+
+
 def usable(df: DataFrame, expr: str) -> bool:
-    """Whether the expression can be resolved on these columns."""
+    """Whether the expression names only columns that are there, and is a condition."""
+    names = re.findall(r"[A-Za-z_]\w*(?!\w|\s*\()", re.sub(r"'[^']*'|\d\w*(?:\.\d\w*)?", "", expr))
+    if {n.lower() for n in names} - WORDS - {c.lower() for c in df.columns}:
+        return False
     try:
         return dict(df.select(F.expr(expr).alias("x")).dtypes)["x"] == "boolean"
-    except Exception:
+    except AnalysisException:  # not a well-formed expression
         return False
 
 
@@ -57,8 +65,7 @@ def tree_paths(debug: str, features: list[str]) -> list[list[tuple[str, str, flo
 
 def condition(feature: str, op: str, threshold: float) -> str:
     if feature in BINARY:
-        low = 0 if threshold <= 0.5 else 1
-        return f"{feature} == {low if op == '<=' else 1 - low}"
+        return f"{feature} == {int(op == '>')}"  # a split of zeros and ones: zeros go left
     return f"{feature} {op} {round(threshold, 4)}"
 
 

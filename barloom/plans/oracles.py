@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.sources.fixtures import METRICS, draw_sets
+from barloom.params import Params
+from barloom.sources.fixtures import METRICS
 
 CHAIN = r"""
 with recursive
@@ -139,12 +140,14 @@ KEEP = "n_bars >= min_bars and median_dollar_volume >= min_dollar_volume and med
 KEPT = "n_bars >= 252 and median_dollar_volume >= 300000 and median_close >= 1 and median_atr_pct between 0.005 and 0.10"
 
 
-def draw_hits(sets: list[tuple[int, list[float]]]) -> str:
-    rows = ", ".join(f"({i}, [{', '.join(f'{x!r}::double' for x in xs)}])" for i, xs in sets)
+def draw_hits(p: Params = Params()) -> str:
+    """The random draws, and -1 for the ratios under test."""
+    size, span, own = len(p.ratios), p.random_ratio_high - p.random_ratio_low, ", ".join(f"{x!r}::double" for x in p.ratios)
     return f"""
-draws(grp, ratios) as (values {rows}),
+rd as (select id as grp, list_sort(list_distinct(list_transform(range({2 * size}), lambda k: round({p.random_ratio_low!r}::double + {span!r}::double * (('0x' || md5('{p.random_seed}:' || id || ':' || k)[1:8])::bigint / 4294967296.0::double), 3)))) as every from range({p.n_permutations}) t(id)),
+draws as materialized (select grp, every[1:{size}] as ratios from rd where len(every) >= {size} union all select -1, [{own}]),
 hits as materialized (select s.ticker, d.grp, s.bar_idx as t, o.exit_idx, o.entry_price, o.exit_price, o.forward_return as ret, o.forward_bars as bars_held, 0 as confluence, o.barrier_touched as exit_reason, '' as nearest_fib
-    from feat s join outc o using (ticker, bar_idx) join draws d on len(list_filter(d.ratios, lambda x: abs(s.close - (s.swing_high - x*(s.swing_high - s.swing_low)))/s.close < 0.005)) > 0
+    from feat s join outc o using (ticker, bar_idx) join draws d on {" or ".join(f"abs(s.close - (s.swing_high - d.ratios[{k + 1}]*(s.swing_high - s.swing_low)))/s.close < {p.proximity_pct!r}" for k in range(size))}
     where s.trend_up = 1 and s.regime_ok = 1 and s.swing_high is not null and s.trend_up + s.rsi_reversal + s.macd_confirm + s.bb_confirm + s.vol_confirm + 1 >= 3),"""
 
 
@@ -182,6 +185,11 @@ reg as (select name, e1.blocked_fp + e2.blocked_fp as cumulative_blocked_fp, e1.
 
 ORACLES = {
     "bars_long": sql("select * from bars"),
+    "bars_csv": sql("select * from bars"),
+    "altdata_csv": f"""select 'S'||lpad(cast(o_custkey % (select count(*) from supplier) as varchar), 5, '0') as ticker, case o_orderpriority {" ".join(f"when '{k}' then '{v}'" for k, v in METRICS.items())} else 'other' end as metric, count(*) as n, round(sum(o_totalprice::double), 2) as total, min(cast(o_orderdate as date)) as first_date, max(cast(o_orderdate as date)) as last_date from orders group by 1, 2""",
+    "panel_saved": sql("select strftime(bar_date, '%Y-%m') as month, count(*) as n, sum(label)::bigint as wins, sum(confluence_count)::bigint as confluence, sum(bar_idx)::bigint as sum_bar_idx from sc group by 1", SCORED),
+    "notebook_with_scores": sql(f"select ticker, bar_idx, {r('proba')}, pred, label::int as label, mistake_type, {r('forward_return')} from nb", SCORED),
+    "notebook_saved": sql(f"select mistake_type, count(*) as n, round(avg(forward_return), 6) as mean_forward_return, max(confluence_count)::bigint as most_confluence from nb group by 1", SCORED),
     "moving_averages": sql(f"select ticker, bar_idx, {r('ma20 ma50 ma200', 7)} from inds"),
     "bollinger": sql(f"select ticker, bar_idx, {r('bb_mid bb_up bb_low')} from (select ticker, bar_idx, case when sd20 is not null then ma20 end as bb_mid, ma20 + 2*sd20 as bb_up, ma20 - 2*sd20 as bb_low from inds)"),
     "atr": sql(f"select ticker, bar_idx, {r('true_range atr atr_pct')} from (select *, atr/close as atr_pct from inds)"),
@@ -211,10 +219,10 @@ ORACLES = {
     "survivorship": sql("select *, case when first_spread_days < 30 and last_spread_days < 30 then 'likely biased' when last_spread_days > 365 then 'varied ends' else 'unclear' end as verdict from (select max(first_date) - min(first_date) as first_spread_days, max(last_date) - min(last_date) as last_spread_days from cov)", STATS),
     "short_history": sql("select ticker, n_rows from cov where n_rows < 0.98 * (select median(n_rows) from cov)", STATS),
     "dollar_volume": sql(f"select ticker, {r('median_dollar_volume')} from stats", STATS),
-    "permutation_metrics": sql("select d.grp as draw_id, count(ret) as trades, round(coalesce(avg(ret), 0), 6) as avg_ret from draws d left join tr on tr.grp = d.grp group by 1", draw_hits(draw_sets(20)), PICK),
+    "permutation_metrics": sql("select d.grp as draw_id, count(ret) as trades, round(coalesce(avg(ret), 0), 6) as avg_ret, round(list_sum(any_value(ratios)), 6) as ratio_sum from draws d left join tr on tr.grp = d.grp where d.grp >= 0 group by 1", draw_hits(), PICK),
     "permutation_test": sql("""select round(baseline, 6) as baseline, round(perm_mean, 6) as perm_mean, round(perm_std, 6) as perm_std, n_perms, round(avg((abs(x - perm_mean) >= abs(baseline - perm_mean))::int), 6) as p_value, round((baseline - perm_mean)/perm_std, 6) as effect
         from xs, (select avg(x) as perm_mean, stddev_samp(x) as perm_std, count(*) as n_perms from xs), (select avg(ret) as baseline from tr where grp = -1) group by all""",
-        draw_hits([*draw_sets(20), (-1, [0.236, 0.382, 0.5, 0.618, 0.786])]), PICK, "xs as materialized (select d.grp, coalesce(avg(ret), 0) as x from draws d left join tr on tr.grp = d.grp where d.grp >= 0 group by 1),"),
+        draw_hits(), PICK, "xs as materialized (select d.grp, coalesce(avg(ret), 0) as x from draws d left join tr on tr.grp = d.grp where d.grp >= 0 group by 1),"),
     "altdata_wide": sql("select * from altw", ALT),
     "altdata_lagged": sql("select * exclude (source) from altl", ALT),
     "asof_altdata": sql("select b.ticker, b.bar_idx, b.bar_date, a.* exclude (ticker, date, source) from bars b asof left join altl a on a.ticker = b.ticker and a.date <= b.bar_date", ALT),
@@ -236,11 +244,18 @@ ORACLES = {
     "mean_attribution": sql("select feature, round(avg(abs(value)), 6) as mean_abs, round(avg(value), 6) + 0.0 as mean_signed from att group by 1", SCORED, attributions()),
     "insight_numeric": sql("select feature, n1, round(mean1, 6) as mean1, round(sd1, 6) as sd1, n2, round(mean2, 6) as mean2, round(sd2, 6) as sd2, round((mean1 - mean2)/sqrt(((n1 - 1)*sd1*sd1 + (n2 - 1)*sd2*sd2)/(n1 + n2 - 2)), 6) as cohens_d from s", SCORED, two_groups("rsi atr_pct macd_hist vol_z")),
     "insight_binary": sql("select feature, n1, k1, n2, k2, round(mean1 - mean2, 6) as delta from s", SCORED, two_groups("trend_up fib_near macd_confirm vol_confirm")),
+    "insight_effects": sql("""select feature, kind, round(e, 6) as effect_size, label as effect_label, case when kind = 'categorical' then 'shift' when e > 0 then '↑ in FP' when e < 0 then '↓ in FP' else 'no shift' end as direction from (
+        select feature, 'numeric' as kind, (mean1 - mean2)/sqrt(((n1 - 1)*sd1*sd1 + (n2 - 1)*sd2*sd2)/(n1 + n2 - 2)) as e, 'Cohen''s d' as label from s where not flag and n1 > 1 and n2 > 1
+        union all select feature, 'binary', mean1 - mean2, 'Δ proportion' from s where flag and n1 > 0 and n2 > 0
+        union all select 'nearest_fib_level', 'categorical', sqrt(sum(pow(a - ea, 2)/ea + pow(b - eb, 2)/eb)/any_value(aa + bb)), 'Cramer''s V'
+        from (select *, (a + b)*aa/(aa + bb) as ea, (a + b)*bb/(aa + bb) as eb from (select *, sum(a) over () as aa, sum(b) over () as bb from (select nearest_fib_level as v, count(*) filter (mistake_type = 'FP') as a, count(*) filter (mistake_type in ('TP', 'TN')) as b from nb where nearest_fib_level is not null and mistake_type in ('FP', 'TP', 'TN') group by 1))))""",
+        SCORED, two_groups("rsi atr_pct macd_hist vol_z confluence_count retracement_depth nearest_fib_dist trend_up regime_ok fib_near rsi_reversal macd_confirm bb_confirm vol_confirm").replace("sum(x) filter (grp = 2) as k2", "sum(x) filter (grp = 2) as k2, feature in ('trend_up', 'regime_ok', 'fib_near', 'rsi_reversal', 'macd_confirm', 'bb_confirm', 'vol_confirm') as flag")),
     "insight_categorical": sql("""select 'nearest_fib_level' as feature, aa::bigint as n1, bb::bigint as n2, round(sum(pow(a - ea, 2)/ea + pow(b - eb, 2)/eb), 6) as chi2, count(*) - 1 as dof, round(sqrt(sum(pow(a - ea, 2)/ea + pow(b - eb, 2)/eb)/(aa + bb)), 6) as cramers_v, round(max(a)/aa, 6) as share1, round(max(b)/bb, 6) as share2
         from (select *, (a + b)*aa/(aa + bb) as ea, (a + b)*bb/(aa + bb) as eb from (select *, sum(a) over () as aa, sum(b) over () as bb from (select nearest_fib_level as v, count(*) filter (mistake_type = 'FP') as a, count(*) filter (mistake_type in ('TP', 'TN')) as b from nb where nearest_fib_level is not null and mistake_type in ('FP', 'TP', 'TN') group by 1))) group by aa, bb """, SCORED),
     "holm": """with p as (select o_orderpriority as feature, (sum(o_orderkey) % 1000)/20000.0::double as p_value from orders group by 1), a as (select *, least(1, (count(*) over () - row_number() over (order by p_value, feature) + 1)*p_value) as adj from p)
         select feature, round(p_value, 6) as p_value, round(max(adj) over (order by p_value, feature rows unbounded preceding), 6) as p_value_corrected from a""",
     "rule_scores": sql(f"select name, blocked_fp, blocked_tp, n_blocked, round(blocked_avg_return, 6) as blocked_avg_return, round(blocked_fp/greatest(1, blocked_fp + blocked_tp), 6) as purity, round(blocked_fp/greatest(1, blocked_tp), 6) as ratio from {rule_counts()}", SCORED),
+    "rules_saved": sql(f"select name, blocked_fp::bigint as n_blocked_fp, blocked_tp::bigint as n_blocked_tp, round(blocked_fp/greatest(1, blocked_tp), 6) as fp_tp_ratio, round(blocked_avg_return, 6) as blocked_avg_return, name <> 'far' as enabled from {rule_counts()}", SCORED),
     "apply_rules": sql("select ticker, bar_idx from sig where signal and not (coalesce(rsi > 60, false) or coalesce(atr_pct <= 0.02 and trend_up = 1, false) or coalesce(vol_z > 99, false))"),
     "rule_registry": sql("select name, cumulative_blocked_fp, cumulative_blocked_tp, round(last_seen_ratio, 6) as last_seen_ratio, epochs_active, epochs_silent from reg", SCORED, registry()),
     "rule_removals": sql("select name from reg where case when cumulative_blocked_fp = 0 and cumulative_blocked_tp = 0 then epochs_silent >= 2 else cumulative_blocked_fp/greatest(1, cumulative_blocked_tp) < 1.5 or epochs_silent >= 2 end", SCORED, registry()),

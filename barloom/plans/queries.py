@@ -12,8 +12,8 @@ from barloom.functions.recursive import with_sequential
 from barloom.operators import altdata, insight, learning, metrics, notebook, outcomes, panel, permutation, rules, signals, universe
 from barloom.params import Params
 from barloom.scratch import keep, new_path
-from barloom.sources import fixtures
-from barloom.sources.bars import normalise, with_bar_index
+from barloom.sources import fixtures, sinks
+from barloom.sources.bars import normalise, read_altdata, read_long_bars, read_rules, read_stage, with_bar_index
 from barloom.streaming import live
 
 P = Params()
@@ -54,10 +54,51 @@ def nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sources and indicators
 
 
+def exported(spark, sf_dir) -> DataFrame:
+    """Bars under the names of an export."""
+    return fixtures.bars(spark, sf_dir).select(F.col("ticker").alias("Ticker"), F.col("bar_ts").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
+
+
+def numbered(bars: DataFrame) -> DataFrame:
+    return with_bar_index(bars).select("ticker", F.to_date("bar_ts").alias("bar_date"), "open", "high", "low", "close", "volume", "bar_idx")
+
+
 @query
 def bars_long(spark, sf_dir):
-    b = fixtures.bars(spark, sf_dir).select(F.col("ticker").alias("Ticker"), F.col("bar_ts").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
-    return with_bar_index(normalise(b, "ticker")).select("ticker", F.to_date("bar_ts").alias("bar_date"), "open", "high", "low", "close", "volume", "bar_idx")
+    return numbered(normalise(exported(spark, sf_dir), "ticker"))
+
+
+@query
+def bars_csv(spark, sf_dir):
+    """Bars written as CSV and read back."""
+    path = new_path(spark, "bars") + ".csv"
+    sinks.write_csv(exported(spark, sf_dir), path)
+    return numbered(read_long_bars(spark, path, "Ticker"))
+
+
+@query
+def altdata_csv(spark, sf_dir):
+    """Alternative data written as CSV and read back."""
+    path = new_path(spark, "altdata") + ".csv"
+    d = fixtures.altdata(spark, sf_dir).select(F.col("ticker").alias("Ticker"), F.col("date").alias("Date"), "metric", "value")
+    sinks.write_csv(d, path)
+    got = read_altdata(spark, path)
+    return got.groupBy(F.col("Ticker").alias("ticker"), "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.min("Date").alias("first_date"), F.max("Date").alias("last_date"))
+
+
+@query
+def panel_saved(spark, sf_dir):
+    """The labelled panel written by month with single-precision floats, and read back."""
+    path = new_path(spark, "panel")
+    d = with_results(spark, sf_dir).where("label is not null and regime_ok = 1").select("ticker", "bar_idx", "bar_ts", "label", "confluence_count", "close")
+    sinks.write_panel(d, path)
+    got = read_stage(spark, path)
+    return got.groupBy(F.date_format("bar_ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("wins"), F.sum("confluence_count").alias("confluence"), F.sum("bar_idx").alias("sum_bar_idx"))
+
+
+@query
+def file_inventory(spark, sf_dir):
+    return universe.file_inventory(spark, sf_dir)
 
 
 @query
@@ -217,40 +258,24 @@ def dollar_volume(spark, sf_dir):
 
 # -- permutation test
 
-#: The SQL of the two queries that have it runs as many fixed sets; the whole job is permutation_*_full.
-DRAWS = 20
-
-
-@query
-def permutation_metrics(spark, sf_dir):
-    draws = fixtures.draw_sets(DRAWS)
-    return rounded(permutation.draw_metrics(permutation.draw_trades(permutation.candidates(with_results(spark, sf_dir), P), draws, P), draws))
-
 
-@query
-def permutation_test(spark, sf_dir):
-    draws = fixtures.draw_sets(DRAWS)
-    cand = permutation.candidates(with_results(spark, sf_dir), P)
-    m = permutation.draw_metrics(permutation.draw_trades(cand, draws, P), draws)
-    base = permutation.draw_trades(cand, [(0, list(P.ratios))], P).agg(F.avg("ret").alias("avg_ret"))
-    return rounded(permutation.permutation_summary(m, base))
-
-
-def drawn(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The metrics of all P.n_permutations random draws, and the candidates."""
+def drawn(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The metrics of all P.n_permutations random draws, the draws, and the candidates."""
     cand = keep(permutation.candidates(with_results(spark, sf_dir), P), "candidates")
     draws = permutation.random_draws(spark, P)
-    return keep(permutation.draw_metrics(permutation.draw_trades(cand, draws, P), draws), "draws"), cand
+    return keep(permutation.draw_metrics(permutation.draw_trades(cand, draws, P), draws), "draws"), draws, cand
 
 
 @query
-def permutation_metrics_full(spark, sf_dir):
-    return rounded(drawn(spark, sf_dir)[0])
+def permutation_metrics(spark, sf_dir):
+    m, draws, _ = drawn(spark, sf_dir)
+    sums = draws.select("draw_id", F.aggregate("ratios", F.lit(0.0), lambda a, x: a + x).alias("ratio_sum"))
+    return rounded(m.join(sums, "draw_id"))
 
 
 @query
-def permutation_test_full(spark, sf_dir):
-    m, cand = drawn(spark, sf_dir)
+def permutation_test(spark, sf_dir):
+    m, _, cand = drawn(spark, sf_dir)
     base = permutation.draw_trades(cand, [(0, list(P.ratios))], P).agg(F.avg("ret").alias("avg_ret"))
     return rounded(permutation.permutation_summary(m, base))
 
@@ -335,6 +360,22 @@ def failure_notebook(spark, sf_dir):
     return rounded(nb(spark, sf_dir), "ticker", "bar_idx", "proba", "pred", "label", "mistake_type", "forward_return", "barrier_touched", "rsi", "nearest_fib_level", "confluence_count")
 
 
+@query
+def notebook_with_scores(spark, sf_dir):
+    """Scores saved as a table of their own, read back and joined to the features."""
+    d, path = with_results(spark, sf_dir), new_path(spark, "scores")
+    sinks.write_scores(scored(spark, sf_dir).select("ticker", "bar_idx", "bar_ts", "proba"), path)
+    return rounded(notebook.build(d, read_stage(spark, path)), "ticker", "bar_idx", "proba", "pred", "label", "mistake_type", "forward_return")
+
+
+@query
+def notebook_saved(spark, sf_dir):
+    """The notebook's counts and returns from its saved CSV."""
+    path = new_path(spark, "notebook") + ".csv"
+    sinks.write_csv(nb(spark, sf_dir), path)
+    return rounded(read_stage(spark, path).groupBy("mistake_type").agg(F.count(F.lit(1)).alias("n"), F.avg("forward_return").alias("mean_forward_return"), F.max("confluence_count").cast("long").alias("most_confluence")))
+
+
 @query
 def mistake_counts(spark, sf_dir):
     return notebook.mistake_counts(nb(spark, sf_dir))
@@ -347,7 +388,7 @@ def fp_returns(spark, sf_dir):
 
 @query
 def attribution_budget(spark, sf_dir):
-    n = nb(spark, sf_dir)
+    n = keep(nb(spark, sf_dir).select("ticker", "bar_idx", "mistake_type"), "notebook")
     return notebook.attribution_rows(n, 12_000).groupBy("mistake_type").agg(F.count(F.lit(1)).alias("n"), F.sum("bar_idx").alias("sum_bar_idx"))
 
 
@@ -401,6 +442,12 @@ def insight_summary(spark, sf_dir):
     return insight.insights(nb(spark, sf_dir))
 
 
+@query
+def insight_effects(spark, sf_dir):
+    """All of the summary that needs no distribution function."""
+    return rounded(insight.insights(nb(spark, sf_dir), correct=False), "feature", "kind", "effect_size", "effect_label", "direction")
+
+
 RULES = [
     {"name": "hot", "predicate": "rsi > 60", "py_expr": "(rsi > 60.0)", "enabled": True},
     {"name": "calm_trend", "predicate": "atr_pct <= 0.02 AND trend_up == 1", "py_expr": "(atr_pct <= 0.02) and (trend_up == 1)", "enabled": True},
@@ -415,6 +462,17 @@ def rule_scores(spark, sf_dir):
     return rounded(rules.score(nb(spark, sf_dir), RULES))
 
 
+@query
+def rules_saved(spark, sf_dir):
+    """Scored rules written as a JSON list and read back."""
+    path = new_path(spark, "rules")
+    s = rules.score(nb(spark, sf_dir), RULES)
+    text = spark.createDataFrame([(r["name"], r["predicate"], r["py_expr"], r["enabled"]) for r in RULES], "name string, predicate string, py_expr string, enabled boolean")
+    full = s.join(text, "name").select("name", "predicate", "py_expr", F.col("blocked_fp").alias("n_blocked_fp"), F.col("blocked_tp").alias("n_blocked_tp"), F.col("ratio").alias("fp_tp_ratio"), "blocked_avg_return", "enabled", F.lit("").alias("notes"))
+    sinks.write_rules(full, path)
+    return rounded(read_rules(spark, path).drop("notes", "predicate", "py_expr"))
+
+
 @query
 def apply_rules(spark, sf_dir):
     d = rules.applied(with_results(spark, sf_dir), RULES)
@@ -423,13 +481,13 @@ def apply_rules(spark, sf_dir):
 
 @query
 def rule_registry(spark, sf_dir):
-    n = nb(spark, sf_dir)
+    n = keep(nb(spark, sf_dir), "notebook")
     return rounded(rules.updated_registry(rules.updated_registry(None, n.where("bar_idx < 300"), RULES), n.where("bar_idx >= 300"), RULES))
 
 
 @query
 def rule_removals(spark, sf_dir):
-    n = nb(spark, sf_dir)
+    n = keep(nb(spark, sf_dir), "notebook")
     return rules.removals(rules.updated_registry(rules.updated_registry(None, n.where("bar_idx < 300"), RULES), n.where("bar_idx >= 300"), RULES), max_silent=2)
 
 

@@ -39,12 +39,3 @@ def score():
     """A probability that SQL can compute, in place of a model's."""
     return 1 / (1 + F.exp(2 - F.col("confluence_count")))
 
-
-def draw_sets(n: int, size: int = 5) -> list[tuple[int, list[float]]]:
-    """draw_id with its ratios: distinct, sorted, the first `size` of twice as many; sets that are too small are left out."""
-    out = []
-    for i in range(n):
-        ratios = sorted({(200 + (i * 7919 + k * k * 104729 + k * 31) % 601) / 1000.0 for k in range(2 * size)})[:size]
-        if len(ratios) == size:
-            out.append((i, ratios))
-    return out
