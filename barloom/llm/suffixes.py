@@ -26,6 +26,7 @@ read. No rows in, no rows out.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,7 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple
 
     def refined(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorts the positions of each bucket by key. New pointers: where the parts of a bucket begin; and which parts have company."""
-        order = np.lexsort((key, pointer[at])) if q else np.argsort(key, kind="stable")
+        order = np.argsort((pointer[at].astype(np.uint64) << U(32)) | key if q else key)
         bucket, key = pointer[at][order], key[order]
         new = np.r_[True, bucket[1:] != bucket[:-1]]
         part = new | np.r_[True, key[1:] != key[:-1]]
@@ -78,11 +79,11 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple
     active, q = p[company], 8
     while 2 * q <= length:
         some = active[active + q < n]
-        moved, company = refined(some, pointer[some + q])
+        moved, company = refined(some, pointer[some + q].astype(np.uint64))
         pointer[some] = moved  # at once: all keys of this step were of q bytes
         active, q = some[company], 2 * q
     if q < length:  # windows alone: the last two strings of q bytes overlap
-        moved, _ = refined(windows, pointer[windows + length - q])
+        moved, _ = refined(windows, pointer[windows + length - q].astype(np.uint64))
         return windows, moved
     return windows, pointer[windows]
 
@@ -265,28 +266,42 @@ def _spans(windows: DataFrame, length: int, shards: DataFrame | None = None) ->
     those of the other pieces."""
 
     def repeated(rows: list[tuple], piece: bool = False) -> pa.RecordBatch:
-        data, starts = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), np.cumsum([0, *[len(r[4]) for r in rows]])
+        # Rows of equal bytes repeat whole, and one of them is refined. The windows of one row differ (they hold their
+        # representative at different places), so a bucket of one such row is final.
+        seen: dict[bytes, int] = {}
+        twin = np.zeros(len(rows), bool)
+        for k, row in enumerate(rows):
+            if (j := seen.setdefault(row[4], k)) != k:
+                twin[[j, k]] = True
+        alone = Counter(rows[k][0] for k in seen.values())
+        some = np.array([k for k in seen.values() if piece or alone[rows[k][0]] > 1], np.int64)
+        data, starts = np.frombuffer(b"".join([rows[k][4] for k in some]), np.uint8), np.cumsum([0, *[len(rows[k][4]) for k in some]])
         p, bucket = repeated_windows(data, starts, length)
         whose = np.searchsorted(starts, p, "right") - 1
         at = p - starts[whose]
+        whose = some[whose]
         order = np.argsort(bucket, kind="stable")
         same = np.r_[False, bucket[order][1:] == bucket[order][:-1]] if len(order) else np.empty(0, bool)
         hit = np.zeros(len(p), bool)
         hit[order] = same | np.r_[same[1:], False] if len(order) else same
+        hit &= ~twin[whose]
         one = order[~same] if piece else order[:0]
         one_row, one_at, one_p = whose[one], at[one], p[one]
         whose, at = whose[hit], at[hit]
         new = np.flatnonzero(np.r_[True, (whose[1:] != whose[:-1]) | (at[1:] != at[:-1] + 1)]) if len(whose) else np.empty(0, np.int64)
         last = np.r_[new[1:], len(whose)] - 1 if len(new) else new
-        r = np.r_[whose[new], one_row].astype(np.int64)
+        full = np.flatnonzero(twin)
+        wide = np.array([len(x[4]) for x in rows], np.int64)[full] - length
+        r = np.r_[full, whose[new], one_row].astype(np.int64)
         col = lambda k, t: np.array([x[k] for x in rows], t)[r]
         start = col(3, np.int64)
-        cols = [col(1, np.int64), col(2, np.int32), (start + np.r_[at[new], one_at]).astype(np.int32), (start + np.r_[at[last], one_at] + length).astype(np.int32)]
+        cols = [col(1, np.int64), col(2, np.int32), (start + np.r_[0 * full, at[new], one_at]).astype(np.int32), (start + np.r_[wide, at[last], one_at] + length).astype(np.int32)]
+        known = len(full) + len(new)
         names = ["text_id", "n", "from", "to"]
         if piece:
             for name, b in (("name", data), ("name2", mix(data + U(7)))):
                 of = refine(b, (length,))[0].view(np.int64)[one_p] if len(one_p) else np.empty(0, np.int64)
-                cols.append(pa.array(np.r_[np.zeros(len(new), np.int64), of], mask=np.arange(len(r)) < len(new)))
+                cols.append(pa.array(np.r_[np.zeros(known, np.int64), of], mask=np.arange(len(r)) < known))
                 names.append(name)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
