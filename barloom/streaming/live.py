@@ -1,8 +1,8 @@
 """Live entry and exit decisions per ticker with Structured Streaming.
 
 State per ticker is bounded: 220 closes, 50 volumes, 14 true ranges, the averages' last values, the swing
-and leg state, and the open position. Bars that are late beyond the watermark, or not after the last
-one seen, are dropped; within a micro-batch bars are put in order.
+and leg state, and the open position. Within a micro-batch bars are put in order; a bar of a later batch
+that is not after the last one seen is dropped, also if the watermark would still admit it.
 """
 
 from __future__ import annotations
