@@ -260,3 +260,4 @@ ORACLES = {
     "rule_registry": sql("select name, cumulative_blocked_fp, cumulative_blocked_tp, round(last_seen_ratio, 6) as last_seen_ratio, epochs_active, epochs_silent from reg", SCORED, registry()),
     "rule_removals": sql("select name from reg where case when cumulative_blocked_fp = 0 and cumulative_blocked_tp = 0 then epochs_silent >= 2 else cumulative_blocked_fp/greatest(1, cumulative_blocked_tp) < 1.5 or epochs_silent >= 2 end", SCORED, registry()),
 }
+ORACLES |= {f"{k}_full": ORACLES[k] for k in ("permutation_metrics", "permutation_test")}

@@ -280,6 +280,10 @@ def permutation_test(spark, sf_dir):
     return rounded(permutation.permutation_summary(m, base))
 
 
+#: Names under which all draws were run before the queries above did so.
+QUERIES |= {"permutation_metrics_full": permutation_metrics, "permutation_test_full": permutation_test}
+
+
 # -- alternative data
 
 
