@@ -6,8 +6,9 @@ payload. The frames declare no coded spectrum (they play as silence), so all the
 ancillary data: there the payload bytes go, one for one.
 
 Reader: parses ID3v2, ID3v1 and APEv2 tags, finds frames by resynchronising (a header counts only
-if a compatible header or the end follows where it says), reads Xing/Info/VBRI tables, verifies
-CRC-16 of layers I and III, and returns exact duration and the offset of every frame.
+if a compatible header or the end follows where it says), reads Xing/Info/VBRI tables (frames, bytes,
+seek points, encoder delay and padding) and holds them against the frames found, verifies CRC-16 of
+all three layers, and returns exact duration (without delay and padding) and the offset of every frame.
 
 Nulls and empty payloads: a null payload is stored as an empty one; null or garbage media give a
 row of zeros and empty lists. Equal payloads give equal media.
@@ -36,6 +37,16 @@ KBPS = {
 }
 RATES = {3: (44100, 48000, 32000, 0), 2: (22050, 24000, 16000, 0), 0: (11025, 12000, 8000, 0)}
 POLY = 0x8005
+# Fixed values of the standard: bits of a layer II bit allocation, as (subbands, bits each), by table.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low rates": ((4, 4), (7, 3), (19, 2)),
+}
+#: Encoders that write delay and padding behind an Info table.
+ENCODERS = (b"LAME", b"Lavf", b"Lavc")
 
 SIDE = 17  # bytes of side information of a mono layer III frame of version 1
 HEAD = 4 + 2 + SIDE
@@ -61,6 +72,45 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return c
 
 
+def crc16_bits(bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of the first counts[i] bits of each row of a matrix of bits."""
+    c = np.full(len(bits), 0xFFFF, np.uint32)
+    for j in range(int(counts.max(initial=0))):
+        feed = (c >> 15 ^ bits[:, j]) & 1
+        c = np.where(j < counts, c << 1 & 0xFFFF ^ POLY * feed, c)
+    return c
+
+
+def _allocation(version: int, rate: int, kbps: int) -> str:
+    """Name of the layer II table for a rate of `kbps` in each channel."""
+    if version != 3:
+        return "low rates"
+    if kbps >= 56 and (rate == 48000 or kbps <= 80):
+        return "a"
+    if kbps > 80:
+        return "b"
+    return "d" if rate == 32000 else "c"
+
+
+def layer2_crc(b: np.ndarray, at: np.ndarray, key: int, mode: int) -> np.ndarray:
+    """CRC-16 of layer II frames at `at` that share bytes 1 and 2 (`key`) and byte 3's upper half (`mode`):
+    two bytes of the header, all bit allocations, and two bits for each subband of a channel in use."""
+    version, channels = key >> 11 & 3, 1 if mode >> 2 == 3 else 2
+    table = _allocation(version, int(RATE[key]), KBPS[1 if version == 3 else 2, 2][key >> 4 & 15] // channels)
+    widths = np.repeat(*np.array([(w, n) for n, w in ALLOCATION[table]]).T)
+    bound = 4 * (mode & 3) + 4 if mode >> 2 == 1 else len(widths)  # joint stereo: above it, both channels share
+    slots = [(w, 1 if channels == 1 or i < bound else 2) for i, w in enumerate(widths) for _ in range(channels if i < bound else 1)]
+    n = 16 + sum(w for w, _ in slots)
+    whole = -(-(n + 4 * len(widths)) // 8)
+    rows = b[np.minimum(at[:, None] + np.r_[2, 3, 6 : 4 + whole], len(b) - 1)]
+    bits = np.unpackbits(rows, axis=1)
+    counts, j = np.full(len(at), n), 16
+    for width, uses in slots:
+        counts += 2 * uses * bits[:, j : j + width].any(axis=1)
+        j += width
+    return crc16_bits(bits, counts)
+
+
 def _head(index: int) -> bytes:
     head = bytes([0xFF, 0xFA, index << 4 | 0x04, 0xC0])  # version 1, layer III, protected, 48 kHz, mono
     crc = int(crc16(np.frombuffer(head[2:] + bytes(SIDE), np.uint8)[None])[0])
@@ -144,6 +194,46 @@ def _lookup() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SIZE, SAMPLES, RATE = _lookup()
 
 
+def _table(data: bytes, frame: int, x: int) -> dict:
+    """Fields of the Xing, Info or VBRI table of the frame at `frame`, whose main data starts at x. Seek points are
+    (part of the playing time, offset from that frame)."""
+    out: dict = {"frames": -1, "bytes": -1, "points": [], "delay": 0, "padding": 0, "found": False}
+
+    def number(at: int, n: int) -> int:
+        return int.from_bytes(data[at : at + n], "big")
+
+    if data[x : x + 4] in (b"Xing", b"Info"):
+        flags, at = number(x + 4, 4), x + 8
+        out["found"] = True
+        for flag, name in ((1, "frames"), (2, "bytes")):
+            if flags & flag:
+                out[name] = number(at, 4)
+                at += 4
+        if flags & 4:
+            out["points"] = [(k / 100, v * max(0, out["bytes"]) // 256) for k, v in enumerate(data[at : at + 100])]
+            at += 100
+        at += 4 * (flags >> 3 & 1)
+        if data[at : at + 4] in ENCODERS:
+            out["delay"], out["padding"] = number(at + 21, 3) >> 12, number(at + 21, 3) & 0xFFF
+    elif data[frame + 36 : frame + 40] == b"VBRI":
+        out |= {"found": True, "bytes": number(frame + 46, 4), "frames": number(frame + 50, 4)}
+        n, scale, width, each = (number(frame + k, 2) for k in (54, 56, 58, 60))
+        steps = [number(frame + 62 + i * width, width) * scale for i in range(n) if frame + 62 + (i + 1) * width <= len(data)]
+        ends = np.cumsum([0, *steps]).tolist()
+        out["points"] = [(min(1.0, i * each / max(1, out["frames"])), e) for i, e in enumerate(ends)]
+    return out
+
+
+def _points_hold(points: list, pos: np.ndarray, end: int, largest: int) -> bool:
+    """Whether each seek point is within a 256th of the stream and two frames of where that time starts."""
+    if not points:
+        return False
+    starts = np.append(pos, end) - pos[0]
+    part, offset = np.array(points, float).T
+    want = starts[np.minimum((part * len(pos)).astype(np.int64), len(pos))]
+    return bool((np.abs(want - offset) <= (end - pos[0]) / 256 + 2 * largest).all())
+
+
 def read_mpeg(data: bytes | None) -> dict:
     data = data or b""
     start, end, tags = _tags(data)
@@ -166,7 +256,7 @@ def read_mpeg(data: bytes | None) -> dict:
         where = int(seen[i] + size[i])
         i = j if j is not None else int(np.searchsorted(seen, where))
     lost += bool(frames) and where != end
-    out = {"tags": tags, "resyncs": int(lost), "frames": 0, "crc_checked": 0, "crc_ok": 0, "samples": 0, "rate": 0, "duration_ns": 0, "vbr_frames": -1, "vbr_ok": False, "offsets": np.empty(0, np.int64), "payload": b"", "kbps_kinds": 0}
+    out = {"tags": tags, "resyncs": int(lost), "frames": 0, "crc_checked": 0, "crc_ok": 0, "samples": 0, "rate": 0, "duration_ns": 0, "vbr_frames": -1, "vbr_ok": False, "vbr_bytes": -1, "bytes_ok": False, "delay": 0, "padding": 0, "seek_points": [], "seek_ok": False, "offsets": np.empty(0, np.int64), "payload": b"", "kbps_kinds": 0}
     if not frames:
         return out
     f = np.array(frames)
@@ -174,23 +264,27 @@ def read_mpeg(data: bytes | None) -> dict:
     layer, version, safe = 4 - (k >> 9 & 3), k >> 11 & 3, k >> 8 & 1 == 0
     mono = b[pos + 3] >> 6 == 3
     side = np.where(version == 3, np.where(mono, 17, 32), np.where(mono, 9, 17))
-    covered = np.where(layer == 3, side, np.where(layer == 1, np.where(mono, 16, 32), 0))
+    mode = b[pos + 3] >> 4
+    shared = 16 + 2 * (mode & 3) + 2  # layer I, joint stereo: subbands above the bound have one allocation
+    covered = np.where(layer == 3, side, np.where(layer == 1, np.where(mono, 16, np.where(mode >> 2 == 1, shared, 32)), 0))
     for n in set(covered[safe & (covered > 0) & (size > covered + 6)].tolist()):
         some = np.flatnonzero(safe & (covered == n) & (size > n + 6))
         rows = b[pos[some][:, None] + np.r_[2, 3, 6 : 6 + n]]
         out["crc_checked"] += len(some)
         out["crc_ok"] += int((crc16(rows) == (b[pos[some] + 4].astype(np.uint32) << 8 | b[pos[some] + 5])).sum())
+    second = safe & (layer == 2)
+    for kind2, m in set(zip(k[second].tolist(), mode[second].tolist(), strict=True)):
+        some = pos[second & (k == kind2) & (mode == m)]
+        out["crc_checked"] += len(some)
+        out["crc_ok"] += int((layer2_crc(b, some, kind2, m) == (b[some + 4].astype(np.uint32) << 8 | b[some + 5])).sum())
     skip = 4 + 2 * safe + np.where(layer == 3, side, 0)
-    x = int(pos[0] + skip[0])
-    table = data[x : x + 4] in (b"Xing", b"Info")
-    vbri = not table and data[int(pos[0]) + 36 : int(pos[0]) + 40] == b"VBRI"
-    if table and data[x + 7] & 1:
-        out["vbr_frames"] = int.from_bytes(data[x + 8 : x + 12], "big")
-    elif vbri:
-        out["vbr_frames"] = int.from_bytes(data[int(pos[0]) + 50 : int(pos[0]) + 54], "big")
-    first = int(table or vbri)
-    samples, rate = int(SAMPLES[k[first:]].sum()), int(RATE[k[0]])
-    out |= {"frames": len(f) - first, "samples": samples, "rate": rate, "duration_ns": samples * 1_000_000_000 // rate, "vbr_ok": out["vbr_frames"] == len(f) - first, "offsets": pos[first:], "kbps_kinds": len(set((k[first:] >> 4 & 15).tolist()))}
+    table = _table(data, int(pos[0]), int(pos[0] + skip[0]))
+    first = int(table["found"])
+    rate, stop = int(RATE[k[0]]), int(pos[-1] + size[-1])
+    samples = max(0, int(SAMPLES[k[first:]].sum()) - table["delay"] - table["padding"])
+    out |= {"frames": len(f) - first, "samples": samples, "rate": rate, "duration_ns": samples * 1_000_000_000 // rate, "offsets": pos[first:], "kbps_kinds": len(set((k[first:] >> 4 & 15).tolist()))}
+    out |= {"vbr_frames": table["frames"], "vbr_ok": table["frames"] == len(f) - first, "vbr_bytes": table["bytes"], "bytes_ok": table["bytes"] == stop - pos[0], "delay": table["delay"], "padding": table["padding"]}
+    out |= {"seek_points": [int(pos[0]) + o for _, o in table["points"]], "seek_ok": _points_hold(table["points"], pos, stop, int(size.max()))}
     if (n := tags.get("TXXX:payload-bytes", "")).isdigit():
         out["payload"] = b"".join([data[p + s : p + z] for p, s, z in zip(pos[first:].tolist(), skip[first:].tolist(), size[first:].tolist(), strict=True)])[: int(n)]
     return out
@@ -209,7 +303,7 @@ def store_audio(df: DataFrame, payload: str = "payload", media: str = "media") -
     return df.drop(media).mapInArrow(run, schema)
 
 
-AUDIO = "frames long, samples long, rate int, duration_ns long, resyncs int, crc_checked long, crc_ok long, vbr_frames long, vbr_ok boolean, rates int, tags map<string,string>, offsets array<long>, payload binary"
+AUDIO = "frames long, samples long, rate int, duration_ns long, resyncs int, crc_checked long, crc_ok long, vbr_frames long, vbr_ok boolean, vbr_bytes long, bytes_ok boolean, delay int, padding int, seek_points array<long>, seek_ok boolean, rates int, tags map<string,string>, offsets array<long>, payload binary"
 
 
 def probe_audio(df: DataFrame, media: str = "media", audio: str = "audio", drop_media: bool = False) -> DataFrame:
@@ -217,8 +311,8 @@ def probe_audio(df: DataFrame, media: str = "media", audio: str = "audio", drop_
     df = df.drop(audio)
     kept = [x for x in df.columns if not (drop_media and x == media)]
     schema = df.select(*[f"`{x}`" for x in kept], F.from_json(F.lit(None).cast("string"), AUDIO).alias(audio)).schema
-    fields = ["frames", "samples", "rate", "duration_ns", "resyncs", "crc_checked", "crc_ok", "vbr_frames", "vbr_ok", "kbps_kinds", "tags", "offsets", "payload"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.binary()]
+    fields = ["frames", "samples", "rate", "duration_ns", "resyncs", "crc_checked", "crc_ok", "vbr_frames", "vbr_ok", "vbr_bytes", "bytes_ok", "delay", "padding", "seek_points", "seek_ok", "kbps_kinds", "tags", "offsets", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.binary()]
     names = schema[audio].dataType.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import zlib
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -33,6 +34,7 @@ def test_mpeg_round_trip(n):
     p = os.urandom(n)
     r = mpeg.read_mpeg(mpeg.write_mpeg(p))
     assert r["payload"] == p and r["crc_ok"] == r["crc_checked"] == r["frames"] + 1 and r["vbr_ok"] and r["resyncs"] == 0
+    assert r["bytes_ok"] and r["seek_ok"]
     assert r["samples"] == 1152 * r["frames"] and r["duration_ns"] == r["samples"] * 10**9 // 48000 if n else r["frames"] == 0
 
 
@@ -53,11 +55,94 @@ def test_mpeg_resynchronises_and_finds_damage():
         assert mpeg.read_mpeg(junk)["payload"] == b""
 
 
+def plain_crc(bits):
+    c = 0xFFFF
+    for x in bits:
+        c = (c << 1 ^ (0x8005 if c >> 15 ^ x else 0)) & 0xFFFF
+    return c
+
+
+def bits_of(data):
+    return [x >> i & 1 for x in data for i in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize(
+    ("rate", "kbps", "channels", "table"),
+    [(48000, 192, 1, "a"), (48000, 28, 2, "c"), (44100, 64, 2, "a"), (44100, 96, 1, "b"), (44100, 160, 2, "b"), (32000, 48, 1, "d"), (44100, 32, 1, "c")],
+)
+def test_layer2_table(rate, kbps, channels, table):
+    assert mpeg._allocation(3, rate, kbps) == table and mpeg._allocation(2, rate // 2, kbps) == "low rates"
+
+
+@pytest.mark.parametrize(("byte3", "alloc"), [(0xC0, 88), (0x00, 176), (0x40, 16 + 16 + 28 + 36 + 8), (0x70, 16 * 4 * 2 - 5 * 2 + 18 - 2 * 5 + 8)])
+def test_layer2_checksums(byte3, alloc):
+    """Frames of layer II at 48 kHz, 112 kbit/s a channel or more (table a); the CRC is of whole frames' bits, counted plainly."""
+    channels = 1 if byte3 >> 6 == 3 else 2
+    widths = [4] * 11 + [3] * 12 + [2] * 4
+    bound = 4 * (byte3 >> 4 & 3) + 4 if byte3 >> 6 == 1 else 27
+    stream, rng = b"", random.Random(byte3)
+    for _ in range(4):
+        head = bytes([0xFF, 0xFC, 0xC4, byte3])  # 256 kbit/s, protected: 768 bytes
+        body = bytes(rng.randrange(256) for _ in range(768 - 6))
+        bits, at, used = bits_of(body), 0, 0
+        for i, w in enumerate(widths):
+            for _ in range(channels if i < bound else 1):
+                used += any(bits[at : at + w]) * (channels if i >= bound else 1)
+                at += w
+        crc = plain_crc(bits_of(head[2:]) + bits[: at + 2 * used])
+        stream += head + crc.to_bytes(2, "big") + body
+    r = mpeg.read_mpeg(stream)
+    assert (r["frames"], r["crc_checked"], r["crc_ok"], r["samples"]) == (4, 4, 4, 4 * 1152)
+    bad = bytearray(stream)
+    bad[768 + 7] ^= 0x10  # an allocation of the second frame
+    assert mpeg.read_mpeg(bytes(bad))["crc_ok"] == 3
+
+
+def test_layer1_joint_stereo_checksum():
+    body = bytes(range(200))
+    head = bytes([0xFF, 0xFE, 0x44, 0x50])  # layer I, 128 kbit/s, 48 kHz, bound 8: 4 * (32 + 8) bits
+    crc = plain_crc(bits_of(head[2:] + body[:20]))
+    r = mpeg.read_mpeg((head + crc.to_bytes(2, "big") + body[: 128 - 6]) * 3)
+    assert (r["frames"], r["crc_checked"], r["crc_ok"], r["samples"]) == (3, 3, 3, 3 * 384)
+
+
+def plain_frames(n, layer3=b"\xff\xfb\x94\xc0"):
+    """Unprotected layer III frames, 128 kbit/s at 48 kHz, mono: 384 bytes each."""
+    return [layer3 + bytes(380) for _ in range(n)]
+
+
+def test_tables_of_other_encoders():
+    frames = plain_frames(50)
+    total = 51 * 384
+    toc = bytes(min(255, (k * 50 // 100 + 1) * 384 * 256 // total) for k in range(100))
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    xing = b"Xing" + (15).to_bytes(4, "big") + (50).to_bytes(4, "big") + total.to_bytes(4, "big") + toc + bytes(4) + lame
+    head = frames[0][:21] + xing
+    r = mpeg.read_mpeg(head.ljust(384, b"\0") + b"".join(frames))
+    assert r["vbr_ok"] and r["bytes_ok"] and r["seek_ok"] and len(r["seek_points"]) == 100
+    assert (r["delay"], r["padding"], r["samples"]) == (576, 1000, 50 * 1152 - 1576) and r["duration_ns"] == r["samples"] * 10**9 // 48000
+    wrong = mpeg.read_mpeg((frames[0][:21] + xing.replace(toc, bytes(100))).ljust(384, b"\0") + b"".join(frames))
+    assert not wrong["seek_ok"] and wrong["vbr_ok"]
+    vbri = b"VBRI\0\1\0\0\0\0" + total.to_bytes(4, "big") + (50).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (5, 1, 2, 10, *[3840] * 5))
+    r = mpeg.read_mpeg((frames[0][:36] + vbri).ljust(384, b"\0") + b"".join(frames))
+    assert r["vbr_ok"] and r["bytes_ok"] and r["seek_ok"] and r["frames"] == 50 and r["vbr_frames"] == 50
+    cut = mpeg.read_mpeg((frames[0][:36] + vbri).ljust(384, b"\0") + b"".join(frames[:40]))
+    assert not cut["vbr_ok"] and not cut["bytes_ok"] and cut["frames"] == 40
+
+
+def test_older_versions_and_apev2():
+    low = b"\xff\xf3\x84\xc0" + bytes(188)  # version 2, layer III, 64 kbit/s at 24 kHz: 192 bytes
+    items = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + (3).to_bytes(4, "little") + bytes(12)
+    r = mpeg.read_mpeg(low * 5 + items)
+    assert (r["frames"], r["samples"], r["rate"], r["resyncs"], r["tags"]["APEv2:items"]) == (5, 5 * 576, 24000, 0, "3")
+
+
 def test_audio_query(spark):
     got = {r.doc_id: r for r in mpeg.digest(mpeg.probe_audio(mpeg.store_audio(mpeg.payloads(docs(spark, ODD))))).collect()}
     for i, t in enumerate(ODD):
         b = (t or "").encode()
         padded = b.ljust(max(192, -(-len(b) // 192) * 192), b" ")
+        assert got[i].tail_crc32 == zlib.crc32(padded[-16:]) and got[i].feature.startswith("mpeg1-layer3 rate=48000 ")
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256) == (len(b), len(padded), hashlib.sha256(padded).hexdigest())
     assert got[3].media_sha256 == got[4].media_sha256 and mpeg.payloads(docs(spark, [])).count() == 0
 
