@@ -17,7 +17,6 @@ texts have one score, from the numbers of labels (1/3 without any, so nothing is
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 from string import punctuation
 
@@ -29,14 +28,14 @@ from pyspark.sql import functions as F
 
 from .arrays import in_utc
 from .common import held_out, small_batches
-from .words import coded, grams
+from .words import SOME, coded, grams
 
 WINDOW, STRIDE = 64, 32
 DW, DC, H = 8, 8, 8
 GRAM_BITS = 17
 GRAMS = 1 << GRAM_BITS
 #: Windows that are read together, and n-grams whose vectors are pooled at once (a token more at most).
-BATCH, POOL = 512, 400_000
+BATCH, POOL = 512, 100_000
 
 
 def normal(token: str) -> str:
@@ -265,7 +264,7 @@ def windows(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Scorer:
     """Scores documents; remembers the inputs of tokens up to a bound."""
 
-    def __init__(self, model: Model, kept: int = 300_000):
+    def __init__(self, model: Model, kept: int = 150_000):
         self.m, self.kept = model, kept
         self.clear()
 
@@ -302,12 +301,13 @@ def log_odds(one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
     return np.clip(np.log(one + 4 / n) - np.log(other + 4 / n), -3, 3) / 3
 
 
-def gram_counts(seen: Counter) -> np.ndarray:
-    """Documents for each n-gram hash, a token's counted for all its n-grams."""
-    out, kinds = np.zeros(GRAMS), list(seen.items())
-    for i in range(0, len(kinds), 20_000):
-        flat, sizes = grams([k for k, _ in kinds[i : i + 20_000]], GRAM_BITS)
-        out += np.bincount(flat, np.repeat([float(n) for _, n in kinds[i : i + 20_000]], sizes), GRAMS)
+def gram_counts(names: list[str], seen: np.ndarray) -> np.ndarray:
+    """Documents for each n-gram hash and label; a token's documents count for all its n-grams."""
+    out = np.zeros((2, GRAMS))
+    for i in range(0, len(names), SOME):
+        flat, sizes = grams(names[i : i + SOME], GRAM_BITS)
+        for y in (0, 1):
+            out[y] += np.bincount(flat, np.repeat(seen[y, i : i + SOME], sizes), GRAMS)
     return out
 
 
@@ -321,20 +321,28 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     kinds, codes, sizes = coded(pa.array(texts, pa.string()))
-    names = [normal(k) for k in kinds]
-    seen: list[Counter] = [Counter(), Counter()]
+    codes = codes.astype(np.int32)
+    pa.default_memory_pool().release_unused()
+    names: dict[str, int] = {}
+    of = np.fromiter((names.setdefault(normal(k), len(names)) for k in kinds), np.int32, len(kinds))
+    seen = np.zeros((2, len(names)))  # documents of each label with a normal token
     for part, label in zip(np.split(codes, np.cumsum(sizes)[:-1]), labels, strict=True):
-        seen[int(label)].update({names[k] for k in np.unique(part).tolist()})
-    words = sorted(w for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 2)
+        seen[int(label), np.unique(of[part])] += 1
+    words = sorted(w for w, k in names.items() if seen[:, k].sum() >= 2)
     model = Model({w: i + 1 for i, w in enumerate(words)}, seed)
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
     if words:  # how much more often toxic documents have a word: where learning starts
-        model.p["word"][1:, 0] = log_odds(np.array([seen[1][w] for w in words]) / n1, np.array([seen[0][w] for w in words]) / n0, n0 + n1)
-        model.p["char"][:, 0] = log_odds(gram_counts(seen[1]) / n1, gram_counts(seen[0]) / n0, n0 + n1)
-    del words, names, seen
+        few = seen[:, [names[w] for w in words]]
+        model.p["word"][1:, 0] = log_odds(few[1] / n1, few[0] / n0, n0 + n1)
+        clean, toxic = gram_counts(list(names), seen)
+        model.p["char"][:, 0] = log_odds(toxic / n1, clean / n0, n0 + n1)
+        del few, clean, toxic
+    del words, names, seen, of
     parts = model.lookup(kinds)
     every, counts = windows(codes, sizes)
     wins = np.split(every, np.cumsum(counts)[:-1])
+    del kinds, codes
+    table = None
     epochs = max(epochs, -(-steps // -(-len(y) // 64)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
@@ -342,6 +350,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
         for i in range(0, len(order), 64):
             some = order[i : i + 64]
             if i % 512 == 0:  # the strongest windows are looked for with the weights of some steps ago
+                del table  # a table is as large as all else: never two at once
                 table = model.inputs(*parts)
             ids = np.concatenate([wins[k] for k in some])
             whose = np.repeat(np.arange(len(some)), [len(wins[k]) for k in some])
@@ -390,5 +399,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
         for b in in_utc(batches):
             logit = np.round(score(b.column("text")).astype(np.float64), 4)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sigmoid(logit)), pa.array(logit)], schema.names)
+        pa.default_memory_pool().release_unused()  # the process waits for its next task
 
     return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
