@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, linededup, mixing, mpeg, ngramjoin, packing, quality, suffixes, toxicity
+from barloom.session import ship
+
+from . import chat, digest, lexical, linededup, mixing, mpeg, ngramjoin, packing, prefixtrie, quality, suffixes, toxicity, winnow
 from .common import documents, held_out, small_batches
 from .oracles import ORACLES
 
@@ -62,7 +64,19 @@ def op10_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_examples(chat.expand_prefixes(turns.unionByName(more)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op2_toxicity, op3_ngram_join, op4_source_mix, op5_quality, op6_exact_digest, op7_line_dedup, op8_best_fit_packing, op9_suffix_dedup, op10_chat_prefixes)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(ship(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpeg_audio, op2_toxicity, op3_ngram_join, op4_source_mix, op5_quality, op6_exact_digest, op7_line_dedup, op8_best_fit_packing, op9_suffix_dedup, op10_chat_prefixes, op11_lexical_search, op12_winnowing, op13_prefix_trie)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

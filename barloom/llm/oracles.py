@@ -61,6 +61,57 @@ select conv_id, max(n)::bigint as n_turns, sha256(string_agg(role || chr(10) ||
 from c group by conv_id
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+with d as (select doc_id, row_number() over () as r, {_TERMS} as terms from documents),
+n as (select doc_id, r, len(terms)::bigint as n from d where len(terms) > 0),
+g as (select count(*)::bigint as docs, sum(n)::bigint as total from n),
+q as (select item_id, term, count(*)::bigint as times from (select item_id, unnest({_TERMS}) as term from benchmark) group by all),
+tf as (select r, term, count(*)::bigint as tf from (select r, unnest(terms) as term from d) where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from (select term, count(*)::bigint as df from tf group by term), g),
+s as (select item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::bigint as score
+    from tf join q using (term) join w using (term) join n using (r), g group by all),
+k as (select *, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 20
+"""
+
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LEAKS = rf"""
+with d as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+i as (select coalesce(item_id::varchar, '') as id, {_WORDS} as w from benchmark),
+u as (select distinct id, least(len(w), 10) as n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda s: array_to_string(w[s:s + least(len(w), 10) - 1], ' '))) as span from i where len(w) > 0),
+p as (select r, n, w, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from u)),
+o as (select r, n, s, id from (select r, n, s, array_to_string(w[s:s + n - 1], ' ') as span from p) join u using (n, span)),
+h as (select r, count(distinct x)::bigint as n_hit from (select distinct r, unnest(range(s, s + n)) as x from o) group by r),
+t as (select r, count(*)::bigint as n_items, sha256(string_agg(id, ',' order by id)) as sha from (select distinct r, id from o) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(sha, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (r) left join t using (r)
+"""
+
+TRIE = r"""
+with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from conversations where conv_id is not null),
+n as (select conv_id, count(*)::bigint as n, conv_id - conv_id % 5 as base, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, case when (a & 1) = 1 then 3988292384::bigint else 0::bigint end) end), 4294967295::bigint) % 9 as h from o group by conv_id),
+b as (select n.*, coalesce(m.n, 0) as n_base from n left join n m on m.conv_id = n.base),
+r as (select b.conv_id, i as d, role, text from b join o on o.conv_id = base where i <= h
+    union all select conv_id, least(h, n_base) + i - h, role, text from b join o using (conv_id) where i > h),
+p as (select conv_id, d, sha256(string_agg(concat(length(role), ' ', role, length(text), ' ', text), '' order by d) over (partition by conv_id order by d)) as k,
+    coalesce(lag(d) over (partition by conv_id order by d), 0) as before, octet_length(encode(text))::bigint as bytes, d = max(d) over (partition by conv_id) as last from r
+    union all select conv_id, 0, '', null, 0, conv_id not in (select conv_id from r) from n),
+v as (select k, d, min(conv_id) as conv_id, count(*)::bigint as n_convs, any_value(bytes) as bytes,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '')) as ends_sha256 from p group by k, d),
+e as (select v.k, v.d, q.k as parent from v join p q on q.conv_id = v.conv_id and q.d = v.d - 1),
+c as (select parent as k, count(*)::bigint as n_children from e group by parent),
+w as (select v.*, coalesce(n_children, 0) as n_children from v left join c using (k)),
+s as (select p.k, (count(*) filter (n_children = 0))::bigint as n_leaves, sum((n_convs - 1) * w.bytes)::bigint as saved_tokens from w join p on p.conv_id = w.conv_id and p.d <= w.d group by p.k)
+select w.conv_id, w.d::bigint as depth, u.conv_id as parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+from w join s using (k) left join e on e.k = w.k left join v u on u.k = e.parent
+"""
+
 AUDIO = None
 
-ORACLES = {"op4_source_mix": MIX, "op7_line_dedup": LINES, "op10_chat_prefixes": CHAT}
+ORACLES = {"op4_source_mix": MIX, "op7_line_dedup": LINES, "op10_chat_prefixes": CHAT, "op11_lexical_search": SEARCH, "op12_winnowing": LEAKS, "op13_prefix_trie": TRIE}
