@@ -503,7 +503,7 @@ def propose_rules(spark, sf_dir):
 # -- learning
 
 #: Few shallow trees, for tests only.
-FEW = {"maxIter": 5, "maxDepth": 3}
+FEW = {"trees": 5, "depth": 3}
 
 
 def learning_panel(spark, sf_dir) -> DataFrame:
