@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,14 @@ def in_utc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.cast(pa.schema([pa.field(f.name, pa.timestamp("us", "UTC")) if pa.types.is_timestamp(f.type) and f.type.tz else f for f in b.schema]))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a Python process stays until its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, WordHashes, column, mix, several, signed, texts
+from .arrays import U, WordHashes, column, give_back, mix, several, signed, texts
 from .common import forget, keep, row_hash, small_batches
 
 #: Up to so many ids are broadcast (about 40 bytes each); more go through a shuffle join.
@@ -320,17 +320,22 @@ def components(links: DataFrame) -> DataFrame:
 
 def bucket_tiles(met: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """key, i, j, part, sid, root, size, sketch: rows of buckets of three or more rows that lie in several components,
-    in tiles (i, j) of bounded size. A bucket of many rows is dealt into parts; each pair of parts is a tile."""
+    in tiles (i, j) of bounded size. Parts are dealt by component: the largest one of a bucket has parts of its own,
+    which meet those of all others but not each other, so linked rows do not travel in pairs."""
     wide = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")  # of two rows the pair is known
     rows = met.join(wide, "key", "left_semi")
     rows = rows.select("key", "sid").unionByName(rows.select("key", F.col("leader").alias("sid")).distinct())
     rows = rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rows = rows.join(sketches.select("sid", "size"), "sid")
-    several_roots = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("low <> high")
-    parts = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("total") * 8 / TILE_BYTES))
-    rows = rows.join(several_roots.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("sid"), "parts").cast("int"))
-    rows = rows.join(sketches.select("sid", "sketch"), "sid")
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, cast(parts as int) - 1)")))
+    each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    deal = each.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root", "bytes")).alias("big"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("roots > 1")
+    others, theirs = F.col("n") - F.col("big.n"), F.col("bytes") - F.col("big.bytes")
+    side = F.least(F.lit(4 * TILE), TILE * TILE / F.least(others, F.lit(TILE)))  # few others meet more rows at once
+    parts = lambda n, most, size: F.greatest(F.ceil(n / most), F.ceil(size * 8 / TILE_BYTES)).cast("int")
+    deal = deal.select("key", "roots", F.col("big.root").alias("big"), parts(F.col("big.n"), side, F.col("big.bytes")).alias("p"), parts(others, TILE, theirs).alias("q"))
+    rows = rows.join(deal, "key").join(sketches.select("sid", "sketch"), "sid")
+    rows = rows.withColumn("part", F.expr("cast(if(root = big, pmod(xxhash64(sid), p), p + pmod(xxhash64(sid), q)) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("if(root = big, sequence(p, p + q - 1), sequence(0, if(roots > 2, p + q, p) - 1))")))
     return rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "root", "size", "sketch")
 
 
@@ -398,6 +403,7 @@ def tile_candidates(tiles: DataFrame, percent: int, last: bool = False) -> DataF
                 held = t.slice(cut).to_batches()
         if held:
             yield from found(pa.Table.from_batches(held))
+        give_back()
 
     return tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid").mapInArrow(run, "a long, b long, bytes long, key long, i int, j int, part int, sid long, root long")
 

@@ -23,10 +23,10 @@ from string import punctuation
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import in_utc
+from .arrays import give_back, in_utc
 from .common import held_out, small_batches
 from .words import SOME, coded, grams
 
@@ -322,7 +322,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
     y = np.array(labels, np.float32)
     kinds, codes, sizes = coded(pa.array(texts, pa.string()))
     codes = codes.astype(np.int32)
-    pa.default_memory_pool().release_unused()
+    give_back()
     names: dict[str, int] = {}
     of = np.fromiter((names.setdefault(normal(k), len(names)) for k in kinds), np.int32, len(kinds))
     seen = np.zeros((2, len(names)))  # documents of each label with a normal token
@@ -342,6 +342,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
     every, counts = windows(codes, sizes)
     wins = np.split(every, np.cumsum(counts)[:-1])
     del kinds, codes
+    give_back()
     table = None
     epochs = max(epochs, -(-steps // -(-len(y) // 64)))
     for epoch in range(epochs):
@@ -362,12 +363,18 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> DataFrame:
-    """doc_id, text, y of at most most[y] documents of label y, none of them held out. One row of each id."""
+#: Characters of the sample's texts of a label, at most.
+SAMPLE_CHARS = 32 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], chars: int = SAMPLE_CHARS) -> DataFrame:
+    """doc_id, text, y of at most most[y] documents of label y, none of them held out. One row of each id. Of the
+    documents of a label, in order of hash, those stay whose texts have at most `chars` characters together."""
     ids = labels.where(~held_out() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     some = [ids.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the sample
     chosen = some[0].unionByName(some[1])  # at most sum(most) rows: a bound for the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).withColumn("upto", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(so_far)).where(F.col("upto") <= chars).select("doc_id", "text", "y")
 
 
 def fit(sample: DataFrame, train: Callable):
@@ -377,8 +384,10 @@ def fit(sample: DataFrame, train: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"]))
-        model = train([r["text"] for r in rows], [r["y"] for r in rows])
+        model = train([r.pop("text") for r in rows], [r["y"] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        del rows, model
+        give_back()
 
     made = sample.repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(made[0]) if made else train([], [])
@@ -399,6 +408,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
         for b in in_utc(batches):
             logit = np.round(score(b.column("text")).astype(np.float64), 4)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sigmoid(logit)), pa.array(logit)], schema.names)
-        pa.default_memory_pool().release_unused()  # the process waits for its next task
+        give_back()
 
     return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)

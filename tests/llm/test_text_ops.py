@@ -465,3 +465,24 @@ def test_pipeline(spark, sf):
     room = packed.where("bin is not null").groupBy("shard", "bin").agg(F.sum("n_words").alias("n"), F.max(F.col("place") + F.col("n_words")).alias("end"))
     assert room.where("n <> `end` or n > 2048").count() == 0 and packed.where("bin is null and n_words > 0").count() == 0
     assert [n for n, _ in p.STAGES] == ["toxicity", "line dedup", "near duplicates", "source mix", "best-fit packing"]
+
+
+def test_strangers_meet_a_large_component_once(spark):
+    met = spark.range(1, 5000).selectExpr("7L as key", "0L as leader", "id as sid").unionByName(spark.createDataFrame([(7, 0, 9999)], "key long, leader long, sid long"))
+    roots = spark.range(5000).selectExpr("id as sid", "0L as root")
+    sketches = spark.range(10_000).selectExpr("id as sid", "300L as size", "cast('x' as binary) as sketch")
+    tiles = ngramjoin.bucket_tiles(met, roots, sketches)
+    assert tiles.select("key", "i", "j").distinct().count() <= 2
+    assert tiles.count() <= 5002 and tiles.where("sid = 9999").count() == tiles.select("i", "j").distinct().count()
+    few = spark.createDataFrame([(7, 0, k) for k in (10_001, 10_002)], "key long, leader long, sid long")
+    tiles = ngramjoin.bucket_tiles(met.unionByName(few), roots, spark.range(10_010).selectExpr("id as sid", "300L as size", "cast('x' as binary) as sketch"))
+    for a, b in ((9999, 10_001), (10_001, 10_002), (3, 10_002), (4999, 9999)):  # every pair of different components shares one tile
+        x, y = (tiles.where(f"sid = {k}").select("i", "j", F.col("part").alias(c)) for k, c in ((a, "x"), (b, "y")))
+        assert x.join(y, ["i", "j"]).where("x <> y or i = j").count() == 1
+
+
+def test_sample_has_a_bound_in_characters(spark):
+    d = spark.createDataFrame([(i, "x" * 100) for i in range(1, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, None), (2, 0)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(d, labels, "toxic", (20, 20), chars=1000).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in got} == {0: 10, 1: 10}
