@@ -1,14 +1,14 @@
 """Permutation test: do the chosen ratios do better than random ones on the same swings?
 
-Only `fib_near` depends on the ratios, so features and outcomes are computed once; each draw then only
-re-selects signals among the bars that can become one at all."""
+Only `fib_near` depends on the ratios, so features and outcomes are computed once; the draws then only
+re-select signals among the bars that can become one at all."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,30 +40,51 @@ def draw_table(spark, draws: DataFrame | list[tuple[int, list[float]]]) -> DataF
     return draws if isinstance(draws, DataFrame) else spark.createDataFrame(draws, "draw_id long, ratios array<double>")
 
 
+#: Draws that are followed together: a ticker's candidates are dealt once for each such block.
+DRAWS_AT_ONCE = 256
+
+
 def draw_trades(cand: DataFrame, draws: DataFrame | list[tuple[int, list[float]]], p: Params = Params()) -> DataFrame:
-    """Trades of every draw. The draws (`n_permutations` rows of a few numbers) are broadcast and meet the candidates
-    in a filtered join; the hits of a draw and ticker follow one another in a sorted partition, so that a draw costs
-    no group of its own."""
-    # As many terms as there are ratios: inside generated code, as a higher-order function is not.
-    level = lambda k: F.col("swing_high") - F.get("ratios", F.lit(k)) * (F.col("swing_high") - F.col("swing_low"))
-    near = reduce(or_, [F.coalesce(F.abs(F.col("close") - level(k)) / F.col("close") < p.proximity_pct, F.lit(False)) for k in range(len(p.ratios))])
-    hits = cand.join(F.broadcast(draw_table(cand.sparkSession, draws)), near).drop("ratios")
-    hits = hits.withColumns({"fib_near": F.lit(1), "confluence_count": F.col("other_flags") + 1})
-    s = trade_rows(hits, entry_signal(p), ("draw_id", "ticker"))
+    """Trades of every draw.
+
+    The draws (`n_permutations` rows of a few numbers) are broadcast. A ticker's candidates pass in order, once per
+    block of draws; each looks at all draws of the block at once: near are those with a ratio near its close, free those
+    whose last trade is over. So no pairs of candidates and draws are made but the trades themselves, a ticker with many
+    bars is several tasks, and memory is one batch and one number per draw."""
+    table = draw_table(cand.sparkSession, draws).collect()  # a row a draw
+    widest = max([len(r.ratios) for r in table], default=0)
+    ids = np.array([r.draw_id for r in table], np.int64)
+    ratios = np.array([[*r.ratios, *[np.nan] * (widest - len(r.ratios))] for r in table]).reshape(len(ids), widest)
+    sent = cand.sparkSession.sparkContext.broadcast((ids, ratios))
+    blocks = max(1, math.ceil(len(ids) / DRAWS_AT_ONCE))
+    hits = cand.withColumns({"fib_near": F.lit(1), "confluence_count": F.col("other_flags") + 1})
+    s = trade_rows(hits, entry_signal(p), ("ticker", "close", "swing_high", "swing_low"))
+    rows = s.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = [c for c in s.columns if c not in ("close", "swing_high", "swing_low")]
+    schema = s.select(F.lit(0).cast("long").alias("draw_id"), *names).schema
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, free = None, -1
+        ids, ratios = sent.value
+        last = some = free = None
         for b in batches:
-            kept = []
-            for i, (draw, ticker, start, end) in enumerate(zip(*[b.column(c).to_pylist() for c in ("draw_id", "ticker", "entry_idx", "exit_idx")], strict=True)):
-                if (draw, ticker) != last:
-                    last, free = (draw, ticker), -1
-                if start - 1 > free:
-                    kept.append(i)
-                    free = end
-            yield b.take(pa.array(kept, pa.int64()))
-
-    return s.repartition("draw_id", "ticker").sortWithinPartitions("draw_id", "ticker", "entry_idx").mapInArrow(pick, s.schema)
+            at, who = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            keys = zip(b.column("ticker").to_pylist(), b.column("block").to_pylist(), strict=True)
+            close, high, low, start, end = (b.column(c).to_numpy(zero_copy_only=False) for c in ("close", "swing_high", "swing_low", "entry_idx", "exit_idx"))
+            for i, key in enumerate(keys):
+                if key != last:
+                    last, some = key, slice(key[1] * DRAWS_AT_ONCE, (key[1] + 1) * DRAWS_AT_ONCE)
+                    free = np.full(len(ids[some]), -1)
+                level = high[i] - ratios[some] * (high[i] - low[i])
+                near = (np.abs(close[i] - level) / close[i] < p.proximity_pct).any(1)
+                taken = np.flatnonzero(near & (free < start[i] - 1))
+                if len(taken):
+                    free[taken] = end[i]
+                    at.append(np.full(len(taken), i))
+                    who.append(ids[some][taken])
+            rows = b.select(names).take(pa.array(np.concatenate(at)))
+            yield pa.record_batch([pa.array(np.concatenate(who)), *rows.columns], names=["draw_id", *names])
+
+    return rows.repartition("ticker", "block").sortWithinPartitions("ticker", "block", "entry_idx").mapInArrow(pick, schema)
 
 
 def draw_metrics(t: DataFrame, draws: DataFrame | list[tuple[int, list[float]]]) -> DataFrame:

@@ -549,10 +549,32 @@ def failure_clusters(spark, sf_dir):
 
 @query
 def live_decisions(spark, sf_dir):
-    """Streams the bars from a folder until they are used up, and reads what was decided."""
+    """Streams the bars from a folder until they are used up, and reads what was decided. A last bar of no ticker, long
+    after all others, lets the watermark pass them."""
     source, sink = new_path(spark, "bars"), new_path(spark, "decisions")
-    fixtures.bars(spark, sf_dir).select("ticker", "bar_ts", "open", "high", "low", "close", "volume").repartition(4, "ticker").write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    b = fixtures.bars(spark, sf_dir).select("ticker", "bar_ts", "open", "high", "low", "close", "volume")
+    b.repartition(4, "ticker").write.parquet(source)
+    end = b.agg((F.max("bar_ts") + F.expr("interval 1 year")).alias("bar_ts"), *[F.lit(1.0).alias(c) for c in b.columns[2:]])
+    end.select(F.lit("").alias("ticker"), *b.columns[1:]).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(b.schema).parquet(source)
     q = live.live_decisions(stream, P).writeStream.format("parquet").option("checkpointLocation", new_path(spark, "stream")).option("path", sink).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(live.DECISION).parquet(sink)
+
+
+@query
+def live_decisions_warm(spark, sf_dir):
+    """The same stream from bar 300 of each ticker on, with the bars before as the state to begin with: counts of
+    decisions by ticker and reason."""
+    source, sink = new_path(spark, "bars"), new_path(spark, "decisions")
+    every = fixtures.bars(spark, sf_dir)
+    cols = ["ticker", "bar_ts", "open", "high", "low", "close", "volume"]
+    b = every.where("bar_idx >= 300").select(*cols)
+    b.repartition(4, "ticker").write.parquet(source)
+    end = b.agg((F.max("bar_ts") + F.expr("interval 1 year")).alias("bar_ts"), *[F.lit(1.0).alias(c) for c in b.columns[2:]])
+    end.select(F.lit("").alias("ticker"), *b.columns[1:]).write.mode("append").parquet(source)
+    history = keep(every.where("bar_idx < 300").select(*cols), "history")
+    stream = spark.readStream.schema(b.schema).parquet(source)
+    q = live.live_decisions(stream, P, history=history).writeStream.format("parquet").option("checkpointLocation", new_path(spark, "stream")).option("path", sink).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(live.DECISION).parquet(sink).groupBy("ticker", "action", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 4).alias("prices"))

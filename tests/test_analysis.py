@@ -177,22 +177,6 @@ def test_budget_keeps_failures(nb):
     assert notebook.attribution_rows(nb, 250).count() == 250
 
 
-def test_stream_equals_batch(spark, sf):
-    b = fixtures.bars(spark, sf).select("ticker", "bar_ts", "open", "high", "low", "close", "volume")
-    p = Params(min_confluence=2)
-    want = sorted(map(str, live.batch_decisions(b, p).collect()))
-    assert len(want) > 20
-    source, sink = new_path(spark, "bars"), new_path(spark, "decisions")
-    for lo, hi in (("1990-01-01", "1997-01-01"), ("1997-01-01", "2010-01-01")):  # micro-batches by time
-        part = b.where((F.col("bar_ts") >= lo) & (F.col("bar_ts") < hi))
-        part = part.unionByName(b.where(F.col("bar_ts") < "1995-06-01").limit(3)) if lo == "1997-01-01" else part  # late and seen bars
-        part.coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(b.schema).parquet(source)
-        q = live.live_decisions(stream, p).writeStream.format("parquet").option("checkpointLocation", f"{sink}-state").option("path", sink).trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert sorted(map(str, spark.read.schema(live.DECISION).parquet(sink).collect())) == want
-
-
 def test_history_only_warms_up(spark, sf):
     b = fixtures.bars(spark, sf)
     cut = F.col("bar_idx") < 300
