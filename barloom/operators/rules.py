@@ -7,9 +7,11 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.scratch import forget, keep
+
 NUMERIC = ("rsi", "atr_pct", "macd_hist", "vol_z", "confluence_count", "retracement_depth", "nearest_fib_dist")
 BINARY = ("trend_up", "regime_ok", "fib_near")
 
@@ -51,16 +53,60 @@ def worthwhile(scored: DataFrame, min_fp: int = 5, min_ratio: float = 2.0, purit
     return scored.where((F.col("blocked_fp") >= min_fp) & (F.col("purity") >= purity) & (F.col("ratio") >= min_ratio)).orderBy(F.desc("ratio"), F.desc("blocked_fp"), "name")
 
 
-def tree_paths(debug: str, features: list[str]) -> list[list[tuple[str, str, float]]]:
-    """Root-to-leaf paths (feature, <= or >, threshold) of a printed decision tree."""
-    paths, at = [], {}
-    for line in debug.splitlines():
-        depth = len(line) - len(line.lstrip())
-        if m := re.search(r"(?:If|Else) \(feature (\d+) (<=|>) ([-\d.eE]+)\)", line):
-            at = {k: v for k, v in at.items() if k < depth} | {depth: (features[int(m[1])], m[2], float(m[3]))}
-        elif "Predict:" in line:
-            paths.append([v for k, v in sorted(at.items()) if k < depth])
-    return paths
+#: Ranges of a feature's values that are summed before the running sums of a range: no window spans all values.
+RANGES = 256
+
+
+def best_splits(rows: DataFrame, cols: list[str], weights: tuple[float, float], least: int) -> dict[int, tuple[str, float]]:
+    """The best split (feature, threshold) of each node, over every threshold between two different values.
+
+    rows: node, y (0 or 1), features without nulls. Class counts are summed per (node, feature, value), then added up in
+    two steps: over ranges of values, and within a range. Gain is that of Gini impurity with classes weighed; a side
+    has at least `least` rows; equal gains go by the order of features, then the smaller threshold."""
+    long = rows.select("node", "y", F.posexplode(F.array(*[F.col(c) for c in cols])).alias("f", "v"))
+    at = [k / RANGES for k in range(1, RANGES)]
+    edges = rows.agg(*[F.percentile_approx(c, at, 10_000).alias(f"e{k}") for k, c in enumerate(cols)]).first()
+    ends = [sorted(set(e or [])) for e in edges]
+    of = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in e]).cast("array<double>") for e in ends]), F.col("f") + 1)
+    sums = long.withColumn("range", F.size(F.filter(of, lambda e: e < F.col("v")))).groupBy("node", "f", "range", "v").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
+    line = Window.partitionBy("node", "f").orderBy("range")
+    before, every = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("node", "f")
+    r = sums.groupBy("node", "f", "range").agg(F.sum("a").alias("ra"), F.sum("n").alias("rn"), F.min("v").alias("low"))  # a few hundred rows a node and feature
+    r = r.select("node", "f", "range", F.coalesce(F.sum("ra").over(before), F.lit(0)).alias("ba"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("bn"), F.sum("ra").over(every).alias("ta"), F.sum("rn").over(every).alias("tn"), F.lead("low").over(line).alias("after"))
+    run = Window.partitionBy("node", "f", "range").orderBy("v")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    d = sums.withColumns({"sa": F.sum("a").over(upto), "sn": F.sum("n").over(upto), "next": F.lead("v").over(run)}).join(r, ["node", "f", "range"])
+    one, zero = weights
+    la, ln = F.col("ba") + F.col("sa"), F.col("bn") + F.col("sn")
+    pure = lambda a, n: ((a * one) * (a * one) + ((n - a) * zero) * ((n - a) * zero)) / (a * one + (n - a) * zero)
+    d = d.select("node", "f", "v", F.coalesce("next", "after").alias("next"), la.alias("la"), ln.alias("ln"), "ta", "tn").where(f"next is not null and ln >= {least} and tn - ln >= {least}")
+    gain = F.round(pure(F.col("la"), F.col("ln")) + pure(F.col("ta") - F.col("la"), F.col("tn") - F.col("ln")) - pure(F.col("ta"), F.col("tn")), 9)
+    d = d.select("node", F.struct(gain.alias("gain"), (-F.col("f")).alias("f"), (-F.col("v")).alias("v"), ((F.col("v") + F.col("next")) / 2).alias("at")).alias("best"))
+    found = d.groupBy("node").agg(F.max("best").alias("best")).where("best.gain > 0").collect()  # a row a node
+    return {x.node: (cols[-x.best.f], x.best.at) for x in found}
+
+
+def tree_paths(rows: DataFrame, cols: list[str], weights: tuple[float, float], least: int, max_depth: int) -> list[list[tuple[str, str, float]]]:
+    """Root-to-leaf paths (feature, <= or >, threshold), left to right, of a tree over rows (y, features)."""
+    splits: dict[int, tuple[str, float]] = {}
+    rows = rows.withColumn("node", F.lit(0))
+    for _ in range(max_depth):
+        found = best_splits(rows, cols, weights, least)
+        if not found:
+            break
+        splits |= found
+        to = F.lit(None).cast("int")  # rows of leaves go
+        for node, (f, at) in found.items():
+            to = F.when(F.col("node") == node, F.when(F.col(f) <= at, 2 * node + 1).otherwise(2 * node + 2)).otherwise(to)
+        rows = rows.withColumn("node", to).where("node is not null")
+
+    def below(node: int, path: list) -> list:
+        if node not in splits:
+            return [path]
+        f, at = splits[node]
+        return below(2 * node + 1, [*path, (f, "<=", at)]) + below(2 * node + 2, [*path, (f, ">", at)])
+
+    return below(0, [])
 
 
 def condition(feature: str, op: str, threshold: float) -> str:
@@ -72,9 +118,6 @@ def condition(feature: str, op: str, threshold: float) -> str:
 def propose(nb: DataFrame, features: list[str] | None = None, max_depth: int = 2, min_fp: int = 5, min_ratio: float = 2.0, purity: float = 0.7) -> DataFrame:
     """Candidate rules, none enabled: leaves of a balanced tree of FP against TP that block enough false
     positives at little cost, scored on the whole notebook."""
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
-
     spark = nb.sparkSession
     cols = features or [c for c in (*NUMERIC, *BINARY) if c in nb.columns]
     schema = "name string, predicate string, py_expr string, n_blocked_fp long, n_blocked_tp long, fp_tp_ratio double, blocked_avg_return double, enabled boolean, notes string"
@@ -82,12 +125,12 @@ def propose(nb: DataFrame, features: list[str] | None = None, max_depth: int = 2
     fp, tp = counts.get("FP", 0), counts.get("TP", 0)
     if fp < min_fp or tp < 5 or not cols:
         return spark.createDataFrame([], schema)
-    d = nb.where("mistake_type in ('FP', 'TP')").select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols], (F.col("mistake_type") == "FP").cast("double").alias("y"))
-    d = d.withColumn("w", F.when(F.col("y") == 1, (fp + tp) / (2 * fp)).otherwise((fp + tp) / (2 * tp)))
-    tree = DecisionTreeClassifier(featuresCol="x", labelCol="y", weightCol="w", maxDepth=max_depth, minInstancesPerNode=max(5, min_fp), seed=42)
-    model = tree.fit(VectorAssembler(inputCols=cols, outputCol="x").transform(d))
-    rules = []
-    for i, path in enumerate(tree_paths(model.toDebugString, cols)):
+    d = nb.where("mistake_type in ('FP', 'TP')").select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols], (F.col("mistake_type") == "FP").cast("long").alias("y"))
+    d = keep(d, "rule-rows")
+    rules, weights = [], ((fp + tp) / (2 * fp), (fp + tp) / (2 * tp))
+    paths = tree_paths(d, cols, weights, max(5, min_fp), max_depth)
+    forget(d)
+    for i, path in enumerate(paths):
         if path:
             parts = [condition(*x) for x in path]
             rules.append({"name": f"rule_{i:02d}", "predicate": " AND ".join(parts), "py_expr": " and ".join(f"({x})" for x in parts)})

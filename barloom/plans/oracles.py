@@ -91,6 +91,42 @@ altw as materialized (select ticker, date, {", ".join(f"arg_max(value, seq) filt
 altl as materialized (select ticker, case isodow(date) when 5 then date + 3 when 6 then date + 2 when 7 then date + 1 else date + 1 end as date, date as source, {", ".join(f"{v} as alt_{v}" for v in METRICS.values())} from altw
     qualify row_number() over (partition by ticker, case isodow(date) when 5 then date + 3 when 6 then date + 2 when 7 then date + 1 else date + 1 end order by source desc) = 1),
 """
+LIVE = """
+lh as materialized (select ticker, bar_idx as t, close, confluence_count, nearest_fib_level, close - 1.5::double*greatest(atr, 1e-8) as stop, close + 2.5::double*greatest(atr, 1e-8) as take from sig where signal and bar_idx >= {first}),
+lx as (select h.ticker, h.t, coalesce(min(case when b.low <= h.stop then b.bar_idx end), 1099511627776) as s, coalesce(min(case when b.high >= h.take then b.bar_idx end), 1099511627776) as k, coalesce(max(case when b.bar_idx = h.t + 20 then b.bar_idx end), 1099511627776) as e
+    from lh h left join bars b on b.ticker = h.ticker and b.bar_idx between h.t + 1 and h.t + 20 group by all),
+ly as materialized (select lh.*, least(s, k, e) as x, case when s = least(s, k, e) then 'stop_hit' when k = least(s, k, e) then 'take_hit' else 'time_stop' end as reason from lh join lx using (ticker, t)),
+ln as materialized (select a.ticker, a.t, b.t as after from ly a asof left join lh b on a.ticker = b.ticker and b.t > a.x),
+lc as (select ticker, min(t) as t from lh group by 1 union all select n.ticker, n.after from lc c join ln n on n.ticker = c.ticker and n.t = c.t where n.after is not null),
+lt as materialized (select ly.* from ly join lc using (ticker, t)),
+ld as (select ticker, bar_date, 'enter_long' as action, lt.close as price, stop, take, confluence_count::int as confluence, nearest_fib_level as nearest_fib, 'fib_confluence' as reason from lt join bars using (ticker) where bar_idx = t
+    union all select ticker, bar_date, 'exit', case reason when 'stop_hit' then stop when 'take_hit' then take else b.close end, stop, take, 0, '', reason from lt join bars b using (ticker) where bar_idx = x),
+"""
+SPLITS = """
+rf as (select unnest(range(10)) as f, unnest(['rsi', 'atr_pct', 'macd_hist', 'vol_z', 'confluence_count', 'retracement_depth', 'nearest_fib_dist', 'trend_up', 'regime_ok', 'fib_near']) as name),
+ra as materialized (select ticker, bar_idx, mistake_type, forward_return, unnest(range(10)) as f, unnest([rsi, atr_pct, macd_hist, vol_z, confluence_count, retracement_depth, nearest_fib_dist, trend_up, regime_ok, fib_near]) as x from nb),
+rl as materialized (select ticker, bar_idx, f, coalesce(x, 0) as v, (mistake_type = 'FP')::int as y from ra where mistake_type in ('FP', 'TP')),
+rw as (select count(*)/2.0::double/sum(y) as one, count(*)/2.0::double/sum(1 - y) as zero from rl where f = 0),
+"""
+#: Gini gain of all thresholds of the nodes in `rows`.
+LEVEL = """
+{p}g as (select node, f, v, sum(y)::double as a, count(*)::double as n from {rows} group by all),
+{p}s as (select node, f, v, lead(v) over w as nv, sum(a) over w as la, sum(n) over w as ln, sum(a) over (partition by node, f) as ta, sum(n) over (partition by node, f) as tn from {p}g window w as (partition by node, f order by v rows unbounded preceding)),
+{p}b as materialized (select node, f, (v + nv)/2 as cut, round(((la*one)*(la*one) + ((ln - la)*zero)*((ln - la)*zero))/(la*one + (ln - la)*zero) + (((ta - la)*one)*((ta - la)*one) + ((tn - ln - ta + la)*zero)*((tn - ln - ta + la)*zero))/((ta - la)*one + (tn - ln - ta + la)*zero)
+    - ((ta*one)*(ta*one) + ((tn - ta)*zero)*((tn - ta)*zero))/(ta*one + (tn - ta)*zero), 9) as gain from {p}s, rw where nv is not null and ln >= 5 and tn - ln >= 5 qualify row_number() over (partition by node order by gain desc, f, v) = 1 and gain > 0),
+"""
+PROPOSED = SPLITS + "r0 as (select *, 0 as node from rl)," + LEVEL.format(p="u", rows="r0") + """
+rn as materialized (select r.ticker, r.bar_idx, case when r.v <= u.cut then 1 else 2 end as node from rl r join ub u on u.f = r.f),
+r1 as (select r.ticker, r.bar_idx, r.f, r.v, r.y, n.node from rl r join rn n using (ticker, bar_idx)),""" + LEVEL.format(p="w", rows="r1") + """
+rs as (select u.f as f1, u.cut as cut1, s.side, w.f as f2, w.cut as cut2, t.side as side2 from ub u, (select unnest([1, 2]) as side) s left join wb w on w.node = s.side left join (select unnest([1, 2]) as side) t on w.node is not null),
+rp as (select row_number() over (order by side, side2) - 1 as leaf, * from rs),
+rc as (select leaf, 1 as k, f1 as f, side as side, cut1 as cut from rp union all select leaf, 2, f2, side2, cut2 from rp where f2 is not null),
+rd as (select leaf, k, f, side, round(cut, 4) as cut, name, f >= 7 as flag from rc join rf using (f)),
+re as (select leaf, count(*) as parts, string_agg(name || case when flag then ' == ' || (side - 1) else case side when 1 then ' <= ' else ' > ' end || cut end, ' AND ' order by k) as predicate,
+    string_agg('(' || name || case when flag then ' == ' || (side - 1) else case side when 1 then ' <= ' else ' > ' end || cut end || ')', ' and ' order by k) as py_expr from rd group by leaf),
+rh as (select leaf, ticker, bar_idx, any_value(mistake_type) as mistake_type, any_value(forward_return) as forward_return, count(*) as met from rd join ra using (f) where case when flag then x = side - 1 when side = 1 then x <= cut else x > cut end group by 1, 2, 3),
+ri as (select leaf, count(*) filter (mistake_type = 'FP') as fp, count(*) filter (mistake_type = 'TP') as tp, avg(forward_return) as back from rh join re using (leaf) where met = parts group by leaf),
+"""
 LAST = "z as (select 1) "
 
 
@@ -260,4 +296,10 @@ ORACLES = {
     "rule_registry": sql("select name, cumulative_blocked_fp, cumulative_blocked_tp, round(last_seen_ratio, 6) as last_seen_ratio, epochs_active, epochs_silent from reg", SCORED, registry()),
     "rule_removals": sql("select name from reg where case when cumulative_blocked_fp = 0 and cumulative_blocked_tp = 0 then epochs_silent >= 2 else cumulative_blocked_fp/greatest(1, cumulative_blocked_tp) < 1.5 or epochs_silent >= 2 end", SCORED, registry()),
 }
+ORACLES |= {
+    "live_decisions": sql(f"select ticker, bar_date, action, {r('price stop take')}, confluence, nearest_fib, reason from ld", LIVE.format(first=219)),
+    "live_decisions_warm": sql("select ticker, action, reason, count(*) as n, round(sum(price), 4) as prices from ld group by 1, 2, 3", LIVE.format(first=300)),
+    "propose_rules": sql("""select 'rule_' || lpad(leaf::varchar, 2, '0') as name, predicate, py_expr, fp as n_blocked_fp, tp as n_blocked_tp, round(fp / greatest(1, tp), 3) as fp_tp_ratio, round(back, 5) as blocked_avg_return, false as enabled, '' as notes
+        from ri join re using (leaf) where fp >= 5 and fp / greatest(1, fp + tp) >= 0.3 and fp / greatest(1, tp) >= 0.5""", SCORED, PROPOSED),
+}
 ORACLES |= {f"{k}_full": ORACLES[k] for k in ("permutation_metrics", "permutation_test")}

@@ -559,7 +559,7 @@ def live_decisions(spark, sf_dir):
     stream = spark.readStream.schema(b.schema).parquet(source)
     q = live.live_decisions(stream, P).writeStream.format("parquet").option("checkpointLocation", new_path(spark, "stream")).option("path", sink).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(live.DECISION).parquet(sink)
+    return rounded(spark.read.schema(live.DECISION).parquet(sink).withColumn("bar_date", F.to_date("bar_ts")), "ticker", "bar_date", "action", "price", "stop", "take", "confluence", "nearest_fib", "reason")
 
 
 @query
