@@ -222,6 +222,8 @@ reg as (select name, e1.blocked_fp + e2.blocked_fp as cumulative_blocked_fp, e1.
 ORACLES = {
     "bars_long": sql("select * from bars"),
     "bars_csv": sql("select * from bars"),
+    "bars_folder": sql("select * from bars"),
+    "bars_file": sql("select * from bars where ticker = 'S00001'"),
     "altdata_csv": f"""select 'S'||lpad(cast(o_custkey % (select count(*) from supplier) as varchar), 5, '0') as ticker, case o_orderpriority {" ".join(f"when '{k}' then '{v}'" for k, v in METRICS.items())} else 'other' end as metric, count(*) as n, round(sum(o_totalprice::double), 2) as total, min(cast(o_orderdate as date)) as first_date, max(cast(o_orderdate as date)) as last_date from orders group by 1, 2""",
     "panel_saved": sql("select strftime(bar_date, '%Y-%m') as month, count(*) as n, sum(label)::bigint as wins, sum(confluence_count)::bigint as confluence, sum(bar_idx)::bigint as sum_bar_idx from sc group by 1", SCORED),
     "notebook_with_scores": sql(f"select ticker, bar_idx, {r('proba')}, pred, label::int as label, mistake_type, {r('forward_return')} from nb", SCORED),

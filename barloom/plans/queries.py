@@ -13,7 +13,7 @@ from barloom.operators import altdata, insight, learning, metrics, notebook, out
 from barloom.params import Params
 from barloom.scratch import keep, new_path
 from barloom.sources import fixtures, sinks
-from barloom.sources.bars import normalise, read_altdata, read_long_bars, read_rules, read_stage, with_bar_index
+from barloom.sources.bars import normalise, read_altdata, read_bar_folder, read_csv_bars, read_long_bars, read_rules, read_stage, with_bar_index
 from barloom.streaming import live
 
 P = Params()
@@ -76,6 +76,27 @@ def bars_csv(spark, sf_dir):
     return numbered(read_long_bars(spark, path, "Ticker"))
 
 
+def folder_of_bars(spark, sf_dir) -> str:
+    """A file a ticker, with two kinds of headers."""
+    path = new_path(spark, "bar-folder")
+    b, odd = exported(spark, sf_dir), F.substring("Ticker", -1, 1).isin("1", "3", "5", "7", "9")
+    sinks.write_bar_folder(b.where(~odd), path, "Ticker")
+    sinks.write_bar_folder(b.where(odd).select("Ticker", F.col("Volume").alias("VOLUME"), F.col("Close").alias("close"), F.col("Date").alias("date"), F.lit("x").alias("note"), "Low", "High", "Open"), path, "Ticker")
+    return path
+
+
+@query
+def bars_folder(spark, sf_dir):
+    """A folder with one CSV file a ticker, of mixed headers, read back."""
+    return numbered(read_bar_folder(spark, folder_of_bars(spark, sf_dir)))
+
+
+@query
+def bars_file(spark, sf_dir):
+    """One ticker's file read back."""
+    return numbered(read_csv_bars(spark, folder_of_bars(spark, sf_dir) + "/S00001.csv", "S00001"))
+
+
 @query
 def altdata_csv(spark, sf_dir):
     """Alternative data written as CSV and read back."""

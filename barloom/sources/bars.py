@@ -6,8 +6,12 @@ Spark takes NaN as greater than every number. Order is never implicit: `bar_idx`
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow.csv import ConvertOptions, ReadOptions, read_csv
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,26 +48,56 @@ def read_csv_bars(spark: SparkSession, path: str, ticker: str = "ALL") -> DataFr
     return normalise(spark.read.csv(path, header=True)).select(F.lit(ticker).alias("ticker"), "*")
 
 
+#: Files up to this size are one row each; larger ones are split by Spark's CSV reader.
+WHOLE_FILE = 64 << 20
+
+
 def read_bar_folder(spark: SparkSession, folder: str, max_tickers: int | None = None) -> DataFrame:
     """One CSV file per ticker; the ticker is the file's name. Files without the price columns are left out.
 
-    A CSV scan over many files maps columns by position, so files are read in groups of equal headers."""
-    first = spark.read.text(f"{folder}/*.csv").select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    heads = first.where("at = 0").groupBy("path", "name").agg(F.first("value").alias("header")).orderBy("name")
-    heads = heads.limit(max_tickers) if max_tickers else heads
+    Files are read whole, many to a task, each with its own header, in one pass; only large files are looked at for
+    their headers first."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+    names = files.select("path", "length", F.regexp_replace(F.url_decode(F.element_at(F.split("path", "/"), -1)), r"\.csv$", "").alias("ticker"), "content")
+    if max_tickers:
+        first = [r.path for r in names.select("path", "ticker").orderBy("ticker").limit(max_tickers).collect()]
+        names = names.where(F.col("path").isin(first))
+    large = [r.path for r in names.where(F.col("length") > WHOLE_FILE).select("path").collect()]
+    schema = "ticker string, date string, " + ", ".join(f"{c} string" for c in PRICES)
+    rows = names.where(F.col("length") <= WHOLE_FILE).select("ticker", "content").mapInArrow(_parsed, schema)
+    out = normalise(rows, "ticker")
+    return out.unionByName(_large_files(spark, large)) if large else out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bars of whole files, as text. A header names the columns in any order and case."""
+    for b in batches:
+        for ticker, content in zip(b.column("ticker"), b.column("content"), strict=True):
+            text = content.as_py()
+            head = next(csv.reader([text.split(b"\n", 1)[0].decode("utf-8-sig", "replace").strip()]), [])
+            named = {c.strip().lower(): i for i, c in reversed(list(enumerate(head)))}
+            if not set(PRICES) <= set(named) or not text.partition(b"\n")[2].strip():
+                continue
+            names = [str(i) for i in range(len(head))]
+            t = read_csv(pa.BufferReader(text), read_options=ReadOptions(column_names=names, skip_rows=1), convert_options=ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=True, null_values=[""]))
+            none = pa.nulls(len(t), pa.string())
+            column = lambda c: t[names[named[c]]].combine_chunks() if c in named else none  # noqa: E731, B023
+            yield from pa.table([pa.array([ticker.as_py()] * len(t), pa.string()), *[column(c) for c in ("date", *PRICES)]], names=["ticker", "date", *PRICES]).to_batches()
+
+
+def _large_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A CSV scan maps columns by position, so files are read in groups of equal headers."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
     groups: dict[str, list[str]] = defaultdict(list)
-    for row in heads.toLocalIterator():
-        groups[row.header].append(row.path)
+    for path in paths:
+        head = lines.where((F.col("path") == path) & (F.col("at") == 0)).first()  # stops after a few lines
+        groups[head.value if head else ""].append(path)
     stem = F.regexp_replace(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)), r"\.csv$", "").alias("ticker")
-    out = None
-    for header, paths in groups.items():
-        if not set(PRICES) <= {c.strip().strip('"').lower() for c in header.split(",")}:
-            continue
-        raw = spark.read.csv(paths, header=True).withColumn("ticker_", stem)
-        part = normalise(raw.drop("ticker", "Ticker").withColumnRenamed("ticker_", "ticker"), "ticker")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError(f"no readable bars in {folder}")
+    out = normalise(spark.createDataFrame([], "ticker string, date string, " + ", ".join(f"{c} string" for c in PRICES)), "ticker")
+    for header, some in groups.items():
+        if set(PRICES) <= {c.strip().strip('"').lower() for c in header.split(",")}:
+            raw = spark.read.csv(some, header=True).withColumn("ticker_", stem)
+            out = out.unionByName(normalise(raw.drop("ticker", "Ticker").withColumnRenamed("ticker_", "ticker"), "ticker"))
     return out
 
 

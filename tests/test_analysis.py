@@ -1,5 +1,6 @@
 """Sources and sinks, insights, rules, learning and streaming."""
 
+import hashlib
 import inspect
 
 import numpy as np
@@ -172,6 +173,33 @@ def test_clusters(nb):
     assert learning.cluster_failures(nb.limit(2), ["rsi"]).where("cluster_id is not null").count() == 0
 
 
+def test_clusters_equal_plain_numpy(nb):
+    cols, k, seeds = ["rsi", "atr_pct", "vol_z"], 4, 3
+    got = learning.cluster_failures(nb, cols, n_clusters=k, seeds=seeds).where("mistake_type = 'FP'").toPandas()
+    x = got[cols].to_numpy(float)
+    for j in range(x.shape[1]):
+        v = np.sort(x[~np.isnan(x[:, j]), j])
+        x[np.isnan(x[:, j]), j] = v[(len(v) + 1) // 2 - 1]
+    x = (x - x.mean(0)) / x.std(0)
+    keys = list(zip(got.ticker, got.bar_idx, strict=True))
+    far = lambda c: ((x[:, None] - np.array(c)) ** 2).sum(2)
+    runs = []
+    for s in range(seeds):
+        c = []
+        for step in range(k):
+            u = np.array([(int(hashlib.md5(f"{s}:{step}:{t}:{b}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 for t, b in keys])
+            c.append(x[np.argmin(-np.log(u) / (np.maximum(far(c).min(1), 1e-300) if c else 1.0))])
+        for _ in range(300):
+            own = far(c).argmin(1)
+            new = [x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)]
+            moved = ((np.array(new) - np.array(c)) ** 2).sum()
+            c = new
+            if moved <= 1e-4:
+                break
+        runs.append((round(far(c).min(1).sum(), 6), s, far(c).argmin(1)))
+    assert got.cluster_id.tolist() == min(runs, key=lambda r: r[:2])[2].tolist()
+
+
 def test_budget_keeps_failures(nb):
     assert notebook.attribution_rows(nb, 10).groupBy("mistake_type").count().collect()[0]["count"] == 200
     assert notebook.attribution_rows(nb, 250).count() == 250
