@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, column, mix, several, texts
+from .arrays import U, column, mix, texts
 from .common import forget, keep, small_batches
 
 SEED = 64  # bytes of a representative
@@ -189,33 +189,16 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
     return docs.where(F.col("n") >= length).select("text_id", "n", "text").mapInArrow(run, "key long, text_id long, n int, pos int")
 
 
-def _meeting(seeds: DataFrame, big: int = 0) -> DataFrame:
-    """text_id, n, pos of the representatives in buckets (of a key, or of key and key2) of two or more. With `big`, a
-    bucket also gives its key as text_id, with n = -1, for each `big` rows that it has."""
+def _meeting(seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """text_id, n, pos of the representatives in buckets (of a key, or of key and key2) of two or more (some several
+    times), the buckets (keys, rows), and the kept representatives. Which buckets have company comes from partial aggregation, so a bucket that
+    holds most rows is counted everywhere; its rows are then found by a semi join, whose skew Spark splits."""
     keys = [c for c in ("key", "key2") if c in seeds.columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, over = ["text_id", "n", "pos"], [np.empty(0, np.int64)]
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            last, n = None, 0
-            for b in batches:
-                if big and b.num_rows:
-                    k = column(b, "key")
-                    start = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], np.arange(len(k)), 0))
-                    rank = np.arange(len(k)) - start + np.where((start == 0) & (k == last), n, 0) + 1
-                    over.append(k[rank % big == 0])
-                    last, n = k[-1], rank[-1]
-                yield b
-
-        for _, first, other in several(counted(), keys, names):
-            f = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in first])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[x[f], y]) for x, y in zip(first, other, strict=True)], names)
-        large = np.concatenate(over)
-        if len(large):
-            yield pa.RecordBatch.from_arrays([pa.array(large), pa.array(np.full(len(large), -1, np.int32)), pa.array(np.zeros(len(large), np.int32))], names)
-
-    return seeds.repartition("key").sortWithinPartitions(*keys, "text_id", "n", "pos").mapInArrow(run, "text_id long, n int, pos int")
+    seeds = keep(seeds, "representatives")
+    ends = [f(c).alias(f"{c}_{k}") for c in ("text_id", "n", "pos") for k, f in (("low", F.min), ("high", F.max))]
+    buckets = seeds.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *ends).where("text_id_low <> text_id_high or n_low <> n_high or pos_low <> pos_high")
+    buckets = keep(buckets.select(*keys, "rows"), "buckets")
+    return seeds.join(_sized(buckets.select(*keys), F.lit(24)), keys, "left_semi").select("text_id", "n", "pos"), buckets, seeds
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
@@ -258,8 +241,8 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text_id", "n", "text", "marks").mapInArrow(run, "key long, text_id long, n int, start int, bytes binary, to int")
 
 
-def _spans(windows: DataFrame, length: int, shards: DataFrame | None = None) -> DataFrame:
-    """text_id, n, from, to: bytes covered by windows that start more than once.
+def _spans(windows: DataFrame, length: int, shards: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """text_id, n, from, to: bytes covered by windows that start more than once; and the tables kept for it.
 
     shards: key, shards of the buckets that one task should not hold. Their texts are dealt over so many tasks, which
     refine them in pieces: what repeats in a piece is settled there, and one window of each identifier goes on to meet
@@ -341,13 +324,13 @@ def _spans(windows: DataFrame, length: int, shards: DataFrame | None = None) ->
 
     schema, order = "text_id long, n int, from int, to int", ["key", "text_id", "n", "start"]
     if shards is None:
-        return windows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
-    w = keep(windows.join(F.broadcast(shards), "key", "left"), "windows")
+        return windows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema), []
+    w = keep(windows.join(_sized(shards, F.lit(24)), "key", "left"), "windows")
     small = w.where("shards is null or `to` is not null").drop("shards").repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
     large = w.where("shards is not null and `to` is null").withColumn("shard", F.pmod(F.xxhash64("text_id"), "shards")).repartition("key", "shard").sortWithinPartitions("key", "shard", *order[1:])
     found = keep(large.select(*order, "bytes").mapInArrow(pieces, f"{schema}, name long, name2 long"), "pieces")
-    met = _meeting(found.where("name is not null").select(F.col("name").alias("key"), F.col("name2").alias("key2"), "text_id", "n", F.col("from").alias("pos")))
-    return small.unionByName(found.where("name is null").drop("name", "name2")).unionByName(met.select("text_id", "n", F.col("pos").alias("from"), (F.col("pos") + length).cast("int").alias("to")))
+    met, *tables = _meeting(found.where("name is not null").select(F.col("name").alias("key"), F.col("name2").alias("key2"), "text_id", "n", F.col("from").alias("pos")))
+    return small.unionByName(found.where("name is null").drop("name", "name2")).unionByName(met.select("text_id", "n", F.col("pos").alias("from"), (F.col("pos") + length).cast("int").alias("to"))), [w, found, *tables]
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -390,12 +373,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, big: int = BIG) -> DataFr
     """text_id, n, froms, tos: what is removed from each text that loses something. docs: see _named."""
     d = docs
     small_batches(docs.sparkSession, 256)
-    met = _meeting(_seeds(d, length), big)
-    marks = keep(met.groupBy("text_id", "n").agg(F.collect_list("pos").alias("marks")), "marks")
-    shards = marks.where("n < 0").select(F.col("text_id").alias("key"), (F.size("marks") + 1).alias("shards"))
-    windows = _windows(d.join(marks.where("n >= 0"), ["text_id", "n"]), length)
-    spans = _spans(windows, length, None if shards.isEmpty() else shards)
-    parts = keep(_merged(spans), "spans").withColumn("copies", F.lit(0).cast("long"))
+    met, buckets, seeds = _meeting(_seeds(d, length))
+    marks = keep(met.groupBy("text_id", "n").agg(F.collect_set("pos").alias("marks")), "marks")
+    shards = buckets.where(F.col("rows") >= big).select("key", F.expr(f"cast(rows div {big} + 1 as int)").alias("shards"))
+    windows = _windows(d.join(marks, ["text_id", "n"]), length)
+    forget(seeds)
+    spans, tables = _spans(windows, length, None if shards.isEmpty() else shards)
+    parts = keep(_merged(spans), "spans")
+    forget(buckets, *tables)
+    parts = parts.withColumn("copies", F.lit(0).cast("long"))
     none = F.array().cast("array<int>")
     copies = d.where(F.col("n") >= length).groupBy("text_id", "n").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("text_id", "n", none.alias("froms"), none.alias("tos"), "copies")
     both = parts.unionByName(copies).groupBy("text_id", "n").agg(F.max("copies").alias("copies"), F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
