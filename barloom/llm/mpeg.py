@@ -139,28 +139,50 @@ def write_mpeg(payload: bytes) -> bytes:
     ends, n = np.cumsum([0, *sizes]), max(1, len(sizes))
     toc = bytes(int(ends[k * n // 100 if sizes else 0] * 256 // max(1, total + first)) for k in range(100))
     info = b"Info" + (7).to_bytes(4, "big") + len(sizes).to_bytes(4, "big") + (total + first).to_bytes(4, "big") + toc
-    head = HEADS[5]
+    head = bytes([0xFF, 0xFB, 5 << 4 | 0x04, 0xC0]) + bytes(SIDE)  # unprotected: readers look for the table right behind the side information
     text = b"\x03payload-bytes\x00" + str(len(payload)).encode()
     tag = b"TXXX" + len(text).to_bytes(4, "big") + b"\0\0" + text
     return b"".join([b"ID3\x03\0\0", _syncsafe(len(tag)), tag, head, info, bytes(first - len(head) - len(info)), *frames])
 
 
+def _plain(b: bytes) -> int:
+    """A number of seven bits a byte."""
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3] if len(b) == 4 else 0
+
+
+def _id3(version: int, flags: int, body: bytes) -> dict[str, str]:
+    """Text fields of an ID3v2 tag: three-letter frames of 2.2, extended headers, unsynchronised tags and frames."""
+    found: dict[str, str] = {}
+    if version == 2 and flags & 0x40:  # a compression that was never defined
+        return found
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40:
+        at = _plain(body[:4]) if version >= 4 else 4 + int.from_bytes(body[:4], "big")
+    names, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at : at + names].strip(b"\0"):
+        raw = body[at + names : at + 2 * names]
+        n = _plain(raw) if version >= 4 else int.from_bytes(raw, "big")
+        key, text = body[at : at + names].decode("latin-1"), body[at + head : at + head + n]
+        if version >= 4:
+            text = text[4:] if body[at + 9] & 1 else text  # its length without unsynchronisation
+            text = text.replace(b"\xff\0", b"\xff") if body[at + 9] & 2 or flags & 0x80 else text
+        if key[0] == "T" and text:
+            parts = text[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(text[0], 3)], "replace").split("\0")
+            own = key in ("TXXX", "TXX")
+            found[f"{key}:{parts[0]}" if own else key] = parts[-1] if own else parts[0]
+        at += head + n
+    return found
+
+
 def _tags(data: bytes) -> tuple[int, int, dict[str, str]]:
     """Where audio starts and ends, and the tags' text fields."""
     start, end, found = 0, len(data), {}
     while data[start : start + 3] == b"ID3" and start + 10 <= len(data):
-        b = data[start + 6 : start + 10]
-        size = b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-        at, stop, version = start + 10, min(len(data), start + 10 + size), data[start + 3]
-        while at + 10 <= stop and data[at : at + 4].strip(b"\0"):
-            raw = data[at + 4 : at + 8]
-            n = int.from_bytes(raw, "big") if version < 4 else raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
-            key, body = data[at : at + 4].decode("latin-1"), data[at + 10 : at + 10 + n]
-            if key[0] == "T" and body:
-                parts = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace").split("\0")
-                found[f"{key}:{parts[0]}" if key == "TXXX" else key] = parts[-1] if key == "TXXX" else parts[0]
-            at += 10 + n
-        start = min(len(data), start + 10 + size + (10 if data[start + 5] & 0x10 else 0))
+        size, flags = _plain(data[start + 6 : start + 10]), data[start + 5]
+        found |= _id3(data[start + 3], flags, data[start + 10 : start + 10 + size])
+        start = min(len(data), start + 10 + size + (10 if flags & 0x10 else 0))
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
@@ -279,6 +301,8 @@ def read_mpeg(data: bytes | None) -> dict:
         out["crc_ok"] += int((layer2_crc(b, some, kind2, m) == (b[some + 4].astype(np.uint32) << 8 | b[some + 5])).sum())
     skip = 4 + 2 * safe + np.where(layer == 3, side, 0)
     table = _table(data, int(pos[0]), int(pos[0] + skip[0]))
+    if safe[0] and not table["found"]:  # common encoders leave it where it stands in unprotected frames
+        table = _table(data, int(pos[0]), int(pos[0] + skip[0]) - 2)
     first = int(table["found"])
     rate, stop = int(RATE[k[0]]), int(pos[-1] + size[-1])
     samples = max(0, int(SAMPLES[k[first:]].sum()) - table["delay"] - table["padding"])
