@@ -49,7 +49,7 @@ STEPS = 8
 #: Rows and bytes of sets on each side of a tile; a column with more row pairs than LIGHT is multiplied densely, CHUNK columns at once.
 TILE, TILE_BYTES, LIGHT, CHUNK = 1024, 16 << 20, 16, 2048
 #: Pairs for each row of a tile from which its rows are multiplied as a whole.
-DENSE = 4
+DENSE = 1
 #: Bits of a sketch for each n-gram in which two sets of its size may differ.
 SKETCH = 8
 NO_ID = -(1 << 63)
@@ -383,6 +383,9 @@ def tile_candidates(tiles: DataFrame, percent: int, last: bool = False) -> DataF
             order = order[np.r_[True, np.diff(each[order]) > 0]] if len(order) else order
             r, q = np.r_[r[~some], each[order]], np.r_[q[~some], other[order]]
         a, b = np.minimum(sid[r], sid[q]), np.maximum(sid[r], sid[q])
+        once = np.lexsort((b, a))  # a pair that shares several blocks lies in as many tiles
+        once = once[np.r_[True, (a[once[1:]] != a[once[:-1]]) | (b[once[1:]] != b[once[:-1]])]] if len(r) else once
+        a, b, r, q = a[once], b[once], r[once], q[once]
         if len(r):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(8 * np.maximum(size[r], size[q])), *[pa.nulls(len(r), k) for k in kinds[3:]]], names)
         if len(whole):
