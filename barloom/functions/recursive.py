@@ -1,4 +1,5 @@
-"""The sequential part of a ticker: exponential averages and confirmed swing pivots, in one grouped pass.
+"""The sequential part of a ticker: exponential averages and confirmed swing pivots, in one pass
+over rows sorted by ticker and bar.
 
 Input: ticker, bar_idx, high, low, close (and more, which passes through). Adds ema_fast, ema_slow, macd,
 macd_sig, macd_hist, rsi; pivot (1 low, -1 high, 0 none) and pivot_confirmed_at at the pivot's bar; and at
@@ -7,9 +8,12 @@ the bar where a pivot is confirmed: confirmed_pivot, confirmed_pivot_idx, confir
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -57,28 +61,66 @@ ADDED = T.StructType(
 )
 
 
+#: Rows that a task passes on at once, more only if one key has more.
+AT_ONCE = 100_000
+
+
+def _starts(t: pa.Table, by: tuple[str, ...]) -> np.ndarray:
+    """Where the rows of each key begin, in a table sorted by the keys."""
+    new = np.zeros(max(0, t.num_rows - 1), bool)
+    for c in by:
+        x = t[c].combine_chunks()
+        none = np.asarray(x.is_null())
+        new |= np.asarray(pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)), False)) | (none[1:] != none[:-1])
+    return np.r_[0, np.flatnonzero(new) + 1] if t.num_rows else np.empty(0, np.int64)
+
+
 def with_sequential(bars: DataFrame, p: Params = Params(), by: tuple[str, ...] = ("ticker",)) -> DataFrame:
-    """One exchange by ticker; a ticker's arrays must fit a task (16 bytes a bar and column)."""
+    """One exchange by ticker; many tickers pass through a call. A ticker's arrays must fit a task (16 bytes a bar and
+    column)."""
     schema = T.StructType([*bars.schema.fields, *ADDED.fields])
 
-    def run(t: pa.Table) -> pa.Table:
-        t = in_utc(t).sort_by("bar_idx")
-        close, n = t["close"].to_numpy(), len(t)
-        fast, slow = ema(close, p.macd_fast), ema(close, p.macd_slow)
-        line = fast - slow
-        signal = ema(line, p.macd_signal)
+    def added(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        n = t.num_rows
+        closes, lows, highs = (t[c].to_numpy() for c in ("close", "low", "high"))
+        out = np.full((6, n), np.nan)
         pivot, confirmed_at = np.zeros(n, np.int32), np.full(n, -1, np.int64)
         kind, idx, price = np.zeros(n, np.int32), np.full(n, -1, np.int64), np.full(n, np.nan)
-        low, high = t["low"].to_numpy(), t["high"].to_numpy()
-        for at, sign, confirmed in pivots(close, p.zigzag_pct, p.confirm_bars):
-            pivot[at], confirmed_at[at] = sign, confirmed
-            if confirmed < n:
-                kind[confirmed], idx[confirmed], price[confirmed] = sign, at, low[at] if sign > 0 else high[at]
+        for a, z in zip(starts, np.r_[starts[1:], n], strict=True):
+            close = closes[a:z]
+            fast, slow = ema(close, p.macd_fast), ema(close, p.macd_slow)
+            line = fast - slow
+            signal = ema(line, p.macd_signal)
+            out[:, a:z] = fast, slow, line, signal, line - signal, rsi(close, p.rsi_len)
+            for at, sign, confirmed in pivots(close, p.zigzag_pct, p.confirm_bars):
+                pivot[a + at], confirmed_at[a + at] = sign, confirmed
+                if a + confirmed < z:
+                    kind[a + confirmed], idx[a + confirmed], price[a + confirmed] = sign, at, (lows if sign > 0 else highs)[a + at]
         none = kind == 0
-        columns = [fast, slow, line, signal, line - signal, rsi(close, p.rsi_len), pivot, confirmed_at]
-        arrays = [pa.array(c, from_pandas=True) for c in columns] + [pa.array(kind, mask=none), pa.array(idx, mask=none), pa.array(price, mask=none)]
-        for f, a in zip(ADDED.fields, arrays, strict=True):
-            t = t.append_column(f.name, a)
+        arrays = [*[pa.array(c, from_pandas=True) for c in out], pa.array(pivot), pa.array(confirmed_at), pa.array(kind, mask=none), pa.array(idx, mask=none), pa.array(price, mask=none)]
+        t = in_utc(t)
+        for f, x in zip(ADDED.fields, arrays, strict=True):
+            t = t.append_column(f.name, x)
         return t
 
-    return bars.groupBy(*by).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n < AT_ONCE:
+                continue
+            t = pa.Table.from_batches(held)
+            starts = _starts(t, by)
+            if len(starts) > 1:  # the last key may go on
+                yield from added(t.slice(0, starts[-1]), starts[:-1]).combine_chunks().to_batches()
+                held = t.slice(starts[-1]).combine_chunks().to_batches()
+            n = sum(x.num_rows for x in held) if len(starts) > 1 else n // 2  # of one long key so far: look again later
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from added(t, _starts(t, by)).combine_chunks().to_batches()
+
+    return bars.repartition(*by).sortWithinPartitions(*by, "bar_idx").mapInArrow(run, schema)

@@ -1,10 +1,14 @@
 """Invariants of swings, legs, outcomes and trades; values by hand."""
 
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions import recursive
 from barloom.functions.recursive import pivots, with_sequential
 from barloom.operators import outcomes, panel, signals, universe
 from barloom.params import Params
@@ -103,3 +107,26 @@ def test_missing_columns_are_named(spark):
 def test_sequential_keeps_rows(spark):
     b = spark.createDataFrame(walk(150))
     assert with_sequential(b).count() == 150
+
+
+@pytest.mark.parametrize("at_once", [1, 70, 100_000])
+def test_tickers_pass_together_as_alone(spark, monkeypatch, at_once):
+    """Any number of rows a call, batches that cut tickers, two keys and null ones."""
+    monkeypatch.setattr(recursive, "AT_ONCE", at_once)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        rng = random.Random(4)
+        close = {k: [100 * math.exp(sum(rng.gauss(0, 0.02) for _ in range(1)) + i * 0.001) for i in range(n)] for k, n in (("a", 150), ("b", 1), ("c", 200), (None, 90), ("e", 64))}
+        rows = [(k, g, i, c * 1.01, c * 0.99, c) for k, cs in close.items() for g in (0, 1) for i, c in enumerate(cs[g * 7 :])]
+        d = spark.createDataFrame(rows, "ticker string, grp int, bar_idx long, high double, low double, close double").repartition(3)
+        got = recursive.with_sequential(d, by=("ticker", "grp")).toPandas()
+        assert len(got) == len(rows)
+        for (k, g), t in got.groupby(["ticker", "grp"], dropna=False):
+            t = t.sort_values("bar_idx")
+            c = t.close.to_numpy()
+            assert np.allclose(t.ema_fast, recursive.ema(c, 12)) and np.allclose(t.rsi, recursive.rsi(c, 14), equal_nan=True)
+            want = recursive.pivots(c, 0.05, 2)
+            assert [(r.bar_idx, r.pivot, r.pivot_confirmed_at) for r in t[t["pivot"] != 0].itertuples()] == [(a, s, z) for a, s, z in sorted(want)]
+            assert [(r.bar_idx, int(r.confirmed_pivot), int(r.confirmed_pivot_idx)) for r in t[t.confirmed_pivot.notna()].itertuples()] == [(z, s, a) for a, s, z in want if z < len(c)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
