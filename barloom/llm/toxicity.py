@@ -2,8 +2,9 @@
 
 A token is a vector of its word (embedded if the training sample has it twice or more) and one of its
 characters: attention pools the embeddings of its hashed 3- to 6-grams. Two GRUs read a window of tokens, forwards and backwards; attention
-pools their states into the window's logit. A document's logit is the largest of its windows, which
-overlap by half (a passage of up to 33 tokens is whole in one) and cover the whole text.
+pools their states into the window's logit. A document's logit is the largest of its windows. These overlap by half
+and cover the whole text; where the strongest is not far from toxic, all windows around it are read at steps of two, so
+that a passage lies whole in one.
 
 Training: a bounded sample of labelled documents, at most sample[0] clean and sample[1] toxic ones (in
 order of a hash of the id, never held-out ones; one row of each id), read whole: each step looks through all
@@ -31,6 +32,8 @@ from .common import held_out, small_batches
 from .words import SOME, coded, grams
 
 WINDOW, STRIDE = 64, 32
+#: A text whose strongest window has this logit is looked at again around it, window by window at this step.
+LOOK_AGAIN, FINE = -3.0, 2
 DW, DC, H = 8, 8, 8
 GRAM_BITS = 17
 GRAMS = 1 << GRAM_BITS
@@ -247,18 +250,36 @@ class Model:
         self.p[k][rows] -= rate * (m[rows] / (1 - 0.9**self.steps)) / (np.sqrt(s[rows] / (1 - 0.99**self.steps)) + 1e-6)
 
 
+def cut(codes: np.ndarray, first: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """(windows, WINDOW) tokens from each `first` on, `left` of them at most; -1 after the last one."""
+    out = np.full((len(first), WINDOW), -1, np.int32)
+    for t in range(WINDOW):
+        some = left > t
+        out[some, t] = codes[first[some] + t]
+    return out
+
+
 def windows(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(windows, WINDOW) tokens, -1 after a text's last one, and how many windows each text has (one at least)."""
     counts = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1)
     owner = np.repeat(np.arange(len(sizes)), counts)
     start = (np.arange(len(owner)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)) * STRIDE
-    left = (sizes[owner] - start).clip(max=WINDOW)
-    out = np.full((len(owner), WINDOW), -1, np.int32)
-    first = np.cumsum([0, *sizes[:-1]])[owner] + start
-    for t in range(WINDOW):
-        some = left > t
-        out[some, t] = codes[first[some] + t]
-    return out, counts
+    return cut(codes, np.cumsum([0, *sizes[:-1]])[owner] + start, (sizes[owner] - start).clip(max=WINDOW)), counts
+
+
+def closer(sizes: np.ndarray, counts: np.ndarray, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts whose strongest window (the first of equal ones) reaches LOOK_AGAIN, and the starts of all windows at
+    steps of FINE that overlap it by more than the next ones do."""
+    ends = np.cumsum(counts)
+    best = np.maximum.reduceat(logits, ends - counts)
+    text, start = [], []
+    for k in np.flatnonzero((best >= LOOK_AGAIN) & (sizes > WINDOW)).tolist():
+        at = int(np.argmax(np.round(logits[ends[k] - counts[k] : ends[k]], 3))) * STRIDE
+        around = np.arange(max(0, at - STRIDE + FINE), min(int(sizes[k]) - WINDOW, at + STRIDE - FINE) + 1)
+        around = around[(around - at) % FINE == 0]
+        text.append(np.full(len(around), k))
+        start.append(around)
+    return np.concatenate([np.empty(0, np.int64), *text]), np.concatenate([np.empty(0, np.int64), *start])
 
 
 class Scorer:
@@ -293,7 +314,13 @@ class Scorer:
         if len(codes):
             codes = self.rows(kinds)[codes]
         ids, counts = windows(codes, sizes)
-        return np.maximum.reduceat(self.m.window_logits(self.table, ids), np.cumsum([0, *counts[:-1]]))
+        logits = self.m.window_logits(self.table, ids)
+        best = np.maximum.reduceat(logits, np.cumsum([0, *counts[:-1]]))
+        text, start = closer(sizes, counts, logits)
+        if len(text):
+            first = np.cumsum([0, *sizes[:-1]])
+            np.maximum.at(best, text, self.m.window_logits(self.table, cut(codes, first[text] + start, np.full(len(text), WINDOW))))
+        return best
 
 
 def log_odds(one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:

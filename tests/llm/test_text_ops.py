@@ -317,15 +317,21 @@ def plain_score(m, text):
     starts = [0]
     while starts[-1] + toxicity.WINDOW < len(tokens):
         starts.append(starts[-1] + toxicity.STRIDE)
-    logits = []
-    for i in starts:
+    if not tokens:
+        return float(p["bias"][0])
+
+    def window(i):
         xs = [vector(t) for t in tokens[i : i + toxicity.WINDOW]]
-        if not xs:
-            return float(p["bias"][0])
         hs = np.hstack([np.array(read(xs, "f")), np.array(read(xs[::-1], "b"))[::-1]])
         a = np.exp(hs @ p["att"])
-        logits.append(float((a / a.sum()) @ (hs @ p["out"]) + p["bias"][0]))
-    return max(logits)
+        return float((a / a.sum()) @ (hs @ p["out"]) + p["bias"][0])
+
+    logits = [window(i) for i in starts]
+    if max(logits) < toxicity.LOOK_AGAIN or len(tokens) <= toxicity.WINDOW:
+        return max(logits)
+    at = starts[int(np.argmax(np.round(logits, 3)))]
+    near = [i for i in range(at - toxicity.STRIDE + 1, at + toxicity.STRIDE) if (i - at) % toxicity.FINE == 0 and 0 <= i <= len(tokens) - toxicity.WINDOW]
+    return max(logits + [window(i) for i in near])
 
 
 def test_toxicity_scores_equal_a_plain_loop(spark):
@@ -341,6 +347,14 @@ def test_toxicity_scores_equal_a_plain_loop(spark):
     assert got[9].toxicity == got[len(texts) - 4].toxicity == got[len(texts) - 3].toxicity
 
 
+def test_a_passage_between_two_windows_is_looked_at_again():
+    """Windows at steps of FINE around the strongest one, and none for texts that are far from toxic or short."""
+    sizes, counts = np.array([200, 200, 64, 70]), np.array([6, 6, 1, 2])
+    logits = np.array([-9, -9, 1, 1, -9, -9, *[-3.1] * 6, 5, 5, 4], np.float32)
+    text, start = toxicity.closer(sizes, counts, logits)
+    assert set(text) == {0, 3} and start[text == 0].tolist() == [k for k in range(34, 95, 2)] and start[text == 3].tolist() == [0, 2, 4, 6]
+
+
 def test_quality_scores_equal_a_plain_loop(spark):
     rng = np.random.default_rng(3)
     weights = rng.standard_normal(1 << quality.BITS).astype(np.float32)
