@@ -559,6 +559,15 @@ def model_attribution(spark, sf_dir):
     return notebook.mean_attribution(learning.attributions(model, d))
 
 
+@query
+def model_topk(spark, sf_dir):
+    """What pushed the final model's score up and down: the notebook's rows within the attribution budget, with the
+    strongest Shapley values of each."""
+    model, d = final_model(spark, sf_dir)
+    rows = keep(notebook.attribution_rows(nb(spark, sf_dir)), "budget")
+    return notebook.top_attributions(learning.attributions(model, d.join(rows, ["ticker", "bar_idx"])))
+
+
 @query
 def failure_clusters(spark, sf_dir):
     got = learning.cluster_failures(nb(spark, sf_dir), ["rsi", "atr_pct", "macd_hist", "vol_z"])
