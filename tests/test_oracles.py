@@ -11,7 +11,7 @@ from barloom.plans.queries import QUERIES  # noqa: E402
 
 TABLES = "lineitem orders supplier".split()
 #: Those that cover the others' work; the rest run with TEST_ALL=1.
-CORE = ["bars_long", "bars_csv", "altdata_csv", "panel_saved", "notebook_with_scores", "notebook_saved", "rules_saved", "insight_effects", "permutation_metrics", "moving_averages", "bollinger", "atr", "volume_z", "rsi", "pivots", "active_leg_levels", "confluence", "barrier_labels", "trades", "ticker_performance", "walk_forward_performance", "ticker_stats", "filter_sweep", "permutation_test", "asof_altdata", "panel_positions", "fold_assignment", "binary_metrics", "failure_notebook", "insight_categorical", "rule_registry", "holm"]
+CORE = ["bars_long", "bars_csv", "bars_folder", "propose_rules", "live_decisions", "altdata_csv", "panel_saved", "notebook_with_scores", "notebook_saved", "rules_saved", "insight_effects", "permutation_metrics", "moving_averages", "bollinger", "atr", "volume_z", "rsi", "pivots", "active_leg_levels", "confluence", "barrier_labels", "trades", "ticker_performance", "walk_forward_performance", "ticker_stats", "filter_sweep", "permutation_test", "asof_altdata", "panel_positions", "fold_assignment", "binary_metrics", "failure_notebook", "insight_categorical", "rule_registry", "holm"]
 
 
 @pytest.fixture(scope="module")
