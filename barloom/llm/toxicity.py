@@ -23,13 +23,14 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import give_back, in_utc
 from .common import held_out, small_batches
-from .words import SOME, coded, grams
+from .words import SOME, coded, grams, spans
 
 WINDOW, STRIDE = 64, 32
 #: A text whose strongest window has this logit is looked at again around it, window by window at this step.
@@ -39,6 +40,8 @@ GRAM_BITS = 17
 GRAMS = 1 << GRAM_BITS
 #: Windows that are read together, and n-grams whose vectors are pooled at once (a token more at most).
 BATCH, POOL = 512, 100_000
+#: Bytes of texts that are split into tokens at once, and tokens whose windows are made at once (a text more at most).
+TOGETHER, TOKENS = 1 << 20, 1 << 20
 
 
 def normal(token: str) -> str:
@@ -168,8 +171,7 @@ class Model:
         p, kinds = self.p, np.unique(ids[ids >= 0])
         local = np.searchsorted(kinds, np.maximum(ids, 0).clip(min=kinds[0] if len(kinds) else 0)).T
         mask = (ids >= 0).astype(np.float32).T
-        word, size, starts = parts[0][kinds], parts[2][kinds], np.cumsum(parts[2])[kinds] - parts[2][kinds]
-        flat = parts[1][np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        word, flat, size = parts_of(parts, kinds)
         v = self.vectors(word, flat, size)
         x = v[local.clip(max=len(kinds) - 1)] * mask[:, :, None]
         n = len(mask)
@@ -250,6 +252,12 @@ class Model:
         self.p[k][rows] -= rate * (m[rows] / (1 - 0.9**self.steps)) / (np.sqrt(s[rows] / (1 - 0.99**self.steps)) + 1e-6)
 
 
+def parts_of(parts: tuple[np.ndarray, ...], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of some kinds (see Model.lookup)."""
+    size, starts = parts[2][kinds], np.cumsum(parts[2])[kinds] - parts[2][kinds]
+    return parts[0][kinds], parts[1][np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
 def cut(codes: np.ndarray, first: np.ndarray, left: np.ndarray) -> np.ndarray:
     """(windows, WINDOW) tokens from each `first` on, `left` of them at most; -1 after the last one."""
     out = np.full((len(first), WINDOW), -1, np.int32)
@@ -282,37 +290,61 @@ def closer(sizes: np.ndarray, counts: np.ndarray, logits: np.ndarray) -> tuple[n
     return np.concatenate([np.empty(0, np.int64), *text]), np.concatenate([np.empty(0, np.int64), *start])
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in turn, of at most TOGETHER bytes (a text more at most)."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + TOGETHER, "right")))
+        yield texts.slice(i, j - i)
+        i = j
+
+
 class Scorer:
-    """Scores documents; remembers the inputs of tokens up to a bound."""
+    """Scores documents; remembers the inputs of tokens up to a bound (one slice's tokens, if these are more)."""
 
     def __init__(self, model: Model, kept: int = 150_000):
         self.m, self.kept = model, kept
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, least: int = 0) -> None:
+        """Room for so many tokens at least. A last row stays empty: no token."""
         self.kinds: dict[str, int] = {}
-        self.table = tuple(np.zeros((1 << 14, 3 * H), np.float32) for _ in "fb")
+        self.table = tuple(np.zeros((max(self.kept, least) + 1, 3 * H), np.float32) for _ in "fb")  # takes memory as it fills
+
+    def fits(self, kinds: list[str]) -> bool:
+        return len(self.kinds) + sum(k not in self.kinds for k in kinds) < len(self.table[0])
 
     def rows(self, kinds: list[str]) -> np.ndarray:
-        """Rows of the table for different tokens."""
-        if len(self.kinds) > self.kept:
-            self.clear()
+        """Rows of the table for different tokens, which fit it."""
         at, old = self.kinds, len(self.kinds)
-        out = np.fromiter((at.setdefault(k, len(at)) for k in kinds), np.int64, len(kinds))
-        if len(at) > old:
-            fresh = [k for k, i in zip(kinds, out.tolist(), strict=True) if i >= old]
-            while len(at) >= len(self.table[0]):  # the last row stays empty: no token
-                self.table = tuple(np.vstack([t, np.zeros_like(t)]) for t in self.table)
-            for t, x in zip(self.table, self.m.inputs(*self.m.lookup(fresh)), strict=True):
-                t[old : len(at)] = x[:-1]
+        out = np.fromiter((at.setdefault(k, len(at)) for k in kinds), np.int32, len(kinds))
+        fresh = [k for k, i in zip(kinds, out.tolist(), strict=True) if i >= old]
+        for i, j in spans(fresh):  # some at a time: n-grams are many
+            for t, x in zip(self.table, self.m.inputs(*self.m.lookup(fresh[i:j])), strict=True):
+                t[old + i : old + j] = x[:-1]
         return out
 
+    def read(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Tokens, as rows of the table, and sizes of some texts after others, as long as the table holds their rows."""
+        held, tokens = [], 0
+        for some in slices(texts):
+            kinds, codes, sizes = coded(some)
+            if not (fits := self.fits(kinds)) or tokens + len(codes) > TOKENS:
+                if held:
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    held, tokens = [], 0
+                if not fits:
+                    self.clear(len(kinds))
+            held.append((self.rows(kinds)[codes], sizes))
+            tokens += len(codes)
+        if held:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        kinds, codes, sizes = coded(texts)
-        if not len(sizes):
-            return np.empty(0)
-        if len(codes):
-            codes = self.rows(kinds)[codes]
+        return np.concatenate([np.empty(0), *(self.best(*x) for x in self.read(texts))])
+
+    def best(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         ids, counts = windows(codes, sizes)
         logits = self.m.window_logits(self.table, ids)
         best = np.maximum.reduceat(logits, np.cumsum([0, *counts[:-1]]))
@@ -379,10 +411,12 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, steps: in
             some = order[i : i + 64]
             if i % 512 == 0:  # the strongest windows are looked for with the weights of some steps ago
                 del table  # a table is as large as all else: never two at once
-                table = model.inputs(*parts)
+                near = np.unique(np.concatenate([wins[k] for k in order[i : i + 512]]))
+                near = near[near >= 0]
+                table = model.inputs(*parts_of(parts, near))
             ids = np.concatenate([wins[k] for k in some])
             whose = np.repeat(np.arange(len(some)), [len(wins[k]) for k in some])
-            logit = model.window_logits(table, ids)
+            logit = model.window_logits(table, np.where(ids < 0, -1, np.searchsorted(near, ids)))
             best = np.lexsort((-logit, whose))
             best = best[np.r_[True, np.diff(whose[best]) > 0]]
             model.step(ids[best], parts, y[some], speed)

@@ -43,9 +43,8 @@ def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return kinds, codes, sizes
 
 
-def grams(kinds: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (of `bits` bits) of the 3- to 6-grams of the characters of each (marked) token, one after
-    another, and how many each has."""
+def spans(kinds: list[str]) -> list[tuple[int, int]]:
+    """Where to cut tokens, so that each part has at most SOME of them and CHARS characters (a token more at most)."""
     cuts, chars = [0], 0
     for i, k in enumerate(kinds):
         chars += len(k)
@@ -53,7 +52,13 @@ def grams(kinds: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
             cuts.append(i + 1)
             chars = 0
     cuts.append(len(kinds))
-    parts = [_grams(kinds[i:j], bits) for i, j in zip(cuts, cuts[1:], strict=False) if j > i] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+    return [(i, j) for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+
+
+def grams(kinds: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (of `bits` bits) of the 3- to 6-grams of the characters of each (marked) token, one after
+    another, and how many each has."""
+    parts = [_grams(kinds[i:j], bits) for i, j in spans(kinds)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -507,3 +508,31 @@ def test_sample_has_a_bound_in_characters(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, None), (2, 0)], "doc_id long, toxic int")
     got = toxicity.labelled_sample(d, labels, "toxic", (20, 20), chars=1000).groupBy("y").count().collect()
     assert {r.y: r["count"] for r in got} == {0: 10, 1: 10}
+
+
+def test_toxicity_holds_a_part_of_a_batch_at_a_time(monkeypatch):
+    """Batches of more different tokens than the table holds: memory stays bounded, scores are those of each text alone."""
+    batch = pa.array([" ".join(f"{i}w{k}" for k in range(120)) + " the moron" for i in range(2000)] + [None, ""])
+    m = toxicity.Model({"moron": 1, "the": 2}, 5)
+    score = toxicity.Scorer(m, kept=100_000)
+    tracemalloc.start()
+    try:
+        got = score(batch)
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+    assert len(score.kinds) <= 100_000 and len(got) == len(batch)
+    some = [0, 1, 999, 1998, 1999, 2000, 2001]
+    assert np.round([score(batch.slice(i, 1))[0] for i in some], 4).tolist() == np.round(got[some], 4).tolist()
+    for together, tokens, kept in ((100, 10, 5), (5_000, 700, 300), (1 << 30, 1 << 30, 0)):
+        monkeypatch.setattr(toxicity, "TOGETHER", together)
+        monkeypatch.setattr(toxicity, "TOKENS", tokens)
+        assert np.round(toxicity.Scorer(m, kept)(batch[1900:]), 4).tolist() == np.round(got[1900:], 4).tolist()
+
+
+def test_toxicity_trains_with_tables_of_the_next_documents(monkeypatch):
+    """The windows of 512 documents are looked through with a table of their own tokens, not of all."""
+    made, inputs = [], toxicity.Model.inputs
+    monkeypatch.setattr(toxicity.Model, "inputs", lambda m, rows, *parts: made.append(len(rows)) or inputs(m, rows, *parts))
+    toxicity.train([f"only{i} the moron" if i % 2 else None if i % 4 else f"only{i} the" for i in range(1100)], [i % 2 for i in range(1100)], epochs=1, steps=1)
+    assert len(made) == 3 and max(made) <= 514
