@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from barloom.operators.signals import TIE
 from barloom.params import Params, level_name
 
 DECISION = "ticker string, bar_ts timestamp, action string, price double, stop double, take double, confluence int, nearest_fib string, reason string"
@@ -30,6 +31,11 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 WARM_UP = 220
 
 
+def above(a: float, b: float) -> bool:
+    """a > b, as the flags of a batch have it."""
+    return a - b > TIE * abs(b)
+
+
 @dataclass
 class Live:
     """One ticker; its fields are the columns of its state. feed() takes the next bar and returns a decision or None."""
@@ -118,11 +124,11 @@ class Live:
             return None
         c = np.array(self.closes)
         ma20, ma50, ma200 = (c[-n:].mean() for n in (20, 50, 200))
-        trend = ma20 > ma50 > ma200
+        trend = above(ma20, ma50) and above(ma50, ma200)
         window, volumes = c[-p.bb_len :], np.array(self.volumes)
         z = (volume - volumes.mean()) / (volumes.std(ddof=1) + 1e-12) if len(volumes) == p.vol_lookback else math.nan
         flags = [
-            True, trend, old_rsi is not None and old_rsi < p.rsi_oversold and self.rsi > old_rsi, self.hist > 0 and old_hist is not None and self.hist > old_hist,
+            True, trend, old_rsi is not None and old_rsi < p.rsi_oversold and above(self.rsi, old_rsi), self.hist > 0 and old_hist is not None and self.hist > old_hist,
             close < (window.mean() - p.bb_k * window.std(ddof=1)) * 1.01, z > p.vol_z_threshold,
         ]
         count = sum(map(bool, flags))

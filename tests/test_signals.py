@@ -28,6 +28,16 @@ def features(spark):
     return signals.prepare(spark.createDataFrame(pd.concat([walk(), walk(seed=3).assign(ticker="B")])), Params()).cache()
 
 
+def test_equal_averages_are_no_trend(spark):
+    """Prices that repeat every ten bars: averages over 20 and 50 bars are equal, whatever their sums round to."""
+    t = walk(400, 5)
+    again = 100 + np.array([0.11, 3.37, 1.53, 2.29, 0.71, 4.13, 3.91, 1.07, 2.83, 0.19])
+    for c, f in (("open", 1.0), ("high", 1.01), ("low", 0.99), ("close", 1.0)):
+        t[c] = np.r_[np.full(200, 80.0), np.resize(again, 200)] * f
+    got = signals.prepare(spark.createDataFrame(t), Params()).where("bar_idx >= 250 and bar_idx < 390")
+    assert got.where("ma50 > ma200").count() > 100 and got.where("trend_up = 1").count() == 0
+
+
 def test_pivots_alternate_and_confirm_later():
     got = pivots(walk().close.to_numpy(), 0.05, 2)
     assert len(got) > 3
