@@ -5,7 +5,11 @@ A rule is a row (name, predicate, py_expr, ...); its expression is Spark SQL ove
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,45 +57,116 @@ def worthwhile(scored: DataFrame, min_fp: int = 5, min_ratio: float = 2.0, purit
     return scored.where((F.col("blocked_fp") >= min_fp) & (F.col("purity") >= purity) & (F.col("ratio") >= min_ratio)).orderBy(F.desc("ratio"), F.desc("blocked_fp"), "name")
 
 
-#: Ranges of a feature's values that are summed before the running sums of a range: no window spans all values.
+#: Ranges of a feature's values; only ranges that may hold the best split are looked at value by value.
 RANGES = 256
 
 
-def best_splits(rows: DataFrame, cols: list[str], weights: tuple[float, float], least: int) -> dict[int, tuple[str, float]]:
-    """The best split (feature, threshold) of each node, over every threshold between two different values.
-
-    rows: node, y (0 or 1), features without nulls. Class counts are summed per (node, feature, value), then added up in
-    two steps: over ranges of values, and within a range. Gain is that of Gini impurity with classes weighed; a side
-    has at least `least` rows; equal gains go by the order of features, then the smaller threshold."""
-    long = rows.select("node", "y", F.posexplode(F.array(*[F.col(c) for c in cols])).alias("f", "v"))
+def range_ends(rows: DataFrame, cols: list[str]) -> list[np.ndarray]:
+    """Upper ends of each feature's ranges but the last, near its quantiles. Any ends give the same splits."""
     at = [k / RANGES for k in range(1, RANGES)]
     edges = rows.agg(*[F.percentile_approx(c, at, 10_000).alias(f"e{k}") for k, c in enumerate(cols)]).first()
-    ends = [sorted(set(e or [])) for e in edges]
-    of = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in e]).cast("array<double>") for e in ends]), F.col("f") + 1)
-    sums = long.withColumn("range", F.size(F.filter(of, lambda e: e < F.col("v")))).groupBy("node", "f", "range", "v").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
-    line = Window.partitionBy("node", "f").orderBy("range")
-    before, every = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("node", "f")
-    r = sums.groupBy("node", "f", "range").agg(F.sum("a").alias("ra"), F.sum("n").alias("rn"), F.min("v").alias("low"))  # a few hundred rows a node and feature
-    r = r.select("node", "f", "range", F.coalesce(F.sum("ra").over(before), F.lit(0)).alias("ba"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("bn"), F.sum("ra").over(every).alias("ta"), F.sum("rn").over(every).alias("tn"), F.lead("low").over(line).alias("after"))
-    run = Window.partitionBy("node", "f", "range").orderBy("v")
-    upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    d = sums.withColumns({"sa": F.sum("a").over(upto), "sn": F.sum("n").over(upto), "next": F.lead("v").over(run)}).join(r, ["node", "f", "range"])
+    return [np.unique(np.array(e or [], np.float64)) for e in edges]
+
+
+def _cells(ends: list[np.ndarray], b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(f, values, cell of each row) for each feature of a batch (node, y, features); a cell is node * RANGES + range."""
+    node = b.column(0).to_numpy().astype(np.int64)
+    for f, e in enumerate(ends):
+        v = b.column(f + 2).to_numpy()
+        yield f, v, node * RANGES + np.searchsorted(e, v, side="left")
+
+
+def _range_sums(ends: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, f, range, a, n, low, high of a batch's rows."""
+    for b in batches:
+        y = b.column(1).to_numpy()
+        for f, v, cell in _cells(ends, b):
+            order = np.lexsort((v, cell))
+            at, first, n = np.unique(cell[order], return_index=True, return_counts=True)
+            if len(at):
+                a, v = np.add.reduceat(y[order], first), v[order]
+                yield pa.record_batch([pa.array((at // RANGES).astype(np.int32)), pa.array(np.full(len(at), f, np.int32)), pa.array((at % RANGES).astype(np.int32)), pa.array(a), pa.array(n), pa.array(v[first]), pa.array(v[first + n - 1])], names=["node", "f", "range", "a", "n", "low", "high"])
+
+
+def _range_values(ends: list[np.ndarray], wanted: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, f, range, v, y of rows whose cell is wanted (a sorted array for each feature)."""
+    for b in batches:
+        y = b.column(1).to_numpy()
+        for f, v, cell in _cells(ends, b):
+            i = np.flatnonzero(np.isin(cell, wanted[f]))
+            if len(i):
+                yield pa.record_batch([pa.array((cell[i] // RANGES).astype(np.int32)), pa.array(np.full(len(i), f, np.int32)), pa.array((cell[i] % RANGES).astype(np.int32)), pa.array(v[i]), pa.array(y[i])], names=["node", "f", "range", "v", "y"])
+
+
+def _pure(a, n, weights: tuple[float, float]):
+    """Sum of squared class weights over their sum; the more, the purer."""
     one, zero = weights
-    la, ln = F.col("ba") + F.col("sa"), F.col("bn") + F.col("sn")
-    pure = lambda a, n: ((a * one) * (a * one) + ((n - a) * zero) * ((n - a) * zero)) / (a * one + (n - a) * zero)
-    d = d.select("node", "f", "v", F.coalesce("next", "after").alias("next"), la.alias("la"), ln.alias("ln"), "ta", "tn").where(f"next is not null and ln >= {least} and tn - ln >= {least}")
-    gain = F.round(pure(F.col("la"), F.col("ln")) + pure(F.col("ta") - F.col("la"), F.col("tn") - F.col("ln")) - pure(F.col("ta"), F.col("tn")), 9)
-    d = d.select("node", F.struct(gain.alias("gain"), (-F.col("f")).alias("f"), (-F.col("v")).alias("v"), ((F.col("v") + F.col("next")) / 2).alias("at")).alias("best"))
-    found = d.groupBy("node").agg(F.max("best").alias("best")).where("best.gain > 0").collect()  # a row a node
+    return ((a * one) * (a * one) + ((n - a) * zero) * ((n - a) * zero)) / (a * one + (n - a) * zero)
+
+
+def _gain(la, ln, ta, tn, weights: tuple[float, float]):
+    return _pure(la, ln, weights) + _pure(ta - la, tn - ln, weights) - _pure(ta, tn, weights)
+
+
+def _open_ranges(sums: list, weights: tuple[float, float], least: int) -> tuple[list[tuple], list[tuple]]:
+    """Splits between ranges (node, f, v, next, la, ln, ta, tn), and the ranges (node, f, range, rows of class 1 and rows
+    before, ta, tn) inside of which a split may gain as much: the gain is convex in the class counts on the left, so
+    inside a range it is at most that of a corner, where either class has passed none or all of the range's rows."""
+    lines: dict[tuple[int, int], list] = {}
+    for r in sorted(sums, key=lambda r: (r.node, r.f, r.range)):
+        lines.setdefault((r.node, r.f), []).append(r)
+    some = lambda a, n, ta, tn: float(_gain(a, n, ta, tn, weights)) if 0 < n < tn else 0.0
+    between, inside, best = [], [], {}
+    for (node, f), line in lines.items():
+        ta, tn, la, ln = sum(r.a for r in line), sum(r.n for r in line), 0, 0
+        for r, after in zip(line, [*line[1:], None], strict=True):
+            if r.low < r.high:
+                corners = [(la + a, ln + a + z) for a in (0, r.a) for z in (0, r.n - r.a)]
+                inside.append((max(some(a, n, ta, tn) for a, n in corners), (node, f, r.range, la, ln, ta, tn)))
+            la, ln = la + r.a, ln + r.n
+            if after is not None and ln >= least and tn - ln >= least:
+                between.append((node, f, r.high, after.low, la, ln, ta, tn))
+                best[node] = max(best.get(node, 0.0), some(la, ln, ta, tn))
+    slack = lambda node: 1e-6 + 1e-9 * best.get(node, 0.0)  # gains are compared after rounding
+    return between, [x for bound, x in inside if bound >= best.get(x[0], 0.0) - slack(x[0])]
+
+
+def best_splits(rows: DataFrame, cols: list[str], weights: tuple[float, float], least: int, ends: list[np.ndarray] | None = None) -> dict[int, tuple[str, float]]:
+    """The best split (feature, threshold) of each node, over every threshold between two different values.
+
+    rows: node, y (0 or 1), features without nulls. Class counts are summed over ranges of values first; they rule out
+    most ranges, and only the rest are summed by value, with running sums inside a range. Gain is that of Gini impurity
+    with classes weighed; a side has at least `least` rows; equal gains go by the order of features, then the smaller
+    threshold."""
+    spark, ends = rows.sparkSession, ends if ends is not None else range_ends(rows, cols)
+    d = rows.select(F.col("node").cast("int").alias("node"), F.col("y").cast("long").alias("y"), *cols)
+    sums = d.mapInArrow(partial(_range_sums, ends), "node int, f int, range int, a long, n long, low double, high double")
+    sums = sums.groupBy("node", "f", "range").agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()  # a few hundred rows a node and feature
+    between, inside = _open_ranges(sums, weights, least)
+    at = spark.createDataFrame(between, "node int, f int, v double, next double, la long, ln long, ta long, tn long")
+    if inside:
+        wanted = [np.array(sorted(x[0] * RANGES + x[2] for x in inside if x[1] == f), np.int64) for f in range(len(cols))]
+        v = d.mapInArrow(partial(_range_values, ends, wanted), "node int, f int, range int, v double, y long").groupBy("node", "f", "range", "v").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
+        run = Window.partitionBy("node", "f", "range").orderBy("v")
+        upto = run.rowsBetween(Window.unboundedPreceding, 0)
+        v = v.withColumns({"sa": F.sum("a").over(upto), "sn": F.sum("n").over(upto), "next": F.lead("v").over(run)}).where("next is not null")
+        r = spark.createDataFrame(inside, "node int, f int, range int, ba long, bn long, ta long, tn long")
+        at = at.unionByName(v.join(F.broadcast(r), ["node", "f", "range"]).select("node", "f", "v", "next", (F.col("ba") + F.col("sa")).alias("la"), (F.col("bn") + F.col("sn")).alias("ln"), "ta", "tn"))
+    c = F.col
+    at = at.where(f"ln >= {least} and tn - ln >= {least}")
+    gain = F.round(_gain(c("la"), c("ln"), c("ta"), c("tn"), weights), 9)
+    at = at.select("node", F.struct(gain.alias("gain"), (-c("f")).alias("f"), (-c("v")).alias("v"), ((c("v") + c("next")) / 2).alias("at")).alias("best"))
+    found = at.groupBy("node").agg(F.max("best").alias("best")).where("best.gain > 0").collect()  # a row a node
     return {x.node: (cols[-x.best.f], x.best.at) for x in found}
 
 
 def tree_paths(rows: DataFrame, cols: list[str], weights: tuple[float, float], least: int, max_depth: int) -> list[list[tuple[str, str, float]]]:
     """Root-to-leaf paths (feature, <= or >, threshold), left to right, of a tree over rows (y, features)."""
     splits: dict[int, tuple[str, float]] = {}
+    ends = range_ends(rows, cols)
     rows = rows.withColumn("node", F.lit(0))
     for _ in range(max_depth):
-        found = best_splits(rows, cols, weights, least)
+        found = best_splits(rows, cols, weights, least, ends)
         if not found:
             break
         splits |= found
@@ -121,6 +196,7 @@ def propose(nb: DataFrame, features: list[str] | None = None, max_depth: int = 2
     spark = nb.sparkSession
     cols = features or [c for c in (*NUMERIC, *BINARY) if c in nb.columns]
     schema = "name string, predicate string, py_expr string, n_blocked_fp long, n_blocked_tp long, fp_tp_ratio double, blocked_avg_return double, enabled boolean, notes string"
+    nb = keep(nb.select("mistake_type", "forward_return", *[c for c in dict.fromkeys(cols) if c != "forward_return"]), "notebook")  # read three times
     counts = {r.mistake_type: r.n for r in nb.groupBy("mistake_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     fp, tp = counts.get("FP", 0), counts.get("TP", 0)
     if fp < min_fp or tp < 5 or not cols:

@@ -2,6 +2,7 @@
 
 import hashlib
 import inspect
+import random
 
 import numpy as np
 import pandas as pd
@@ -210,3 +211,50 @@ def test_history_only_warms_up(spark, sf):
     cut = F.col("bar_idx") < 300
     got = live.batch_decisions(b.where(~cut), Params(min_confluence=2), history=b.where(cut))
     assert got.count() > 0 and got.join(b.where(cut), ["ticker", "bar_ts"], "left_semi").count() == 0
+
+
+def counted(d):
+    """`d`, and an accumulator of the rows that were computed of it."""
+    seen = d.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return d.mapInArrow(run, d.schema), seen
+
+
+def noisy_notebook(spark, n=3000):
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        rsi, kind = round(rng.gauss(50, 12), 3), rng.choice(["FP", "TP", "TN"])
+        rows.append(("A", i, "FP" if kind == "TP" and rsi > 61.5 else kind, rsi, round(rng.gauss(0, 1), 4), int(rng.random() < 0.3), rng.gauss(0, 0.02)))
+    return spark.createDataFrame(rows, "ticker string, bar_idx long, mistake_type string, rsi double, vol_z double, trend_up int, forward_return double")
+
+
+def test_rules_are_proposed_from_one_computation_of_the_notebook(spark):
+    nb = noisy_notebook(spark)
+    d, seen = counted(nb)
+    got = rules.propose(d, min_ratio=0.5, purity=0.3).collect()
+    assert got and seen.value == 3000
+
+
+def test_splits_equal_all_thresholds_tried(spark):
+    """Two nodes, features of many values and of two; ranges that are ruled out lose no better split."""
+    cols, weights, least = ["rsi", "vol_z", "trend_up"], (1.2, 0.9), 7
+    d = noisy_notebook(spark).select(*[F.col(c).cast("double").alias(c) for c in cols], (F.col("mistake_type") == "FP").cast("long").alias("y"), (F.col("bar_idx") % 2).cast("int").alias("node")).cache()
+    got = rules.best_splits(d, cols, weights, least)
+    pure = lambda a, n: ((a * 1.2) ** 2 + ((n - a) * 0.9) ** 2) / (a * 1.2 + (n - a) * 0.9)
+    for node in (0, 1):
+        rows, best = d.where(f"node = {node}").collect(), (0.0, None)
+        ta, tn = sum(r.y for r in rows), len(rows)
+        for c in cols:
+            line, la = sorted((r[c], r.y) for r in rows), 0
+            for i, ((v, y), (w, _)) in enumerate(zip(line, line[1:], strict=False), 1):
+                la += y
+                if v < w and i >= least and tn - i >= least:
+                    gain = round(pure(la, i) + pure(ta - la, tn - i) - pure(ta, tn), 9)
+                    best = max(best, (gain, (c, (v + w) / 2)), key=lambda x: x[0])
+        assert got[node] == best[1]
