@@ -258,3 +258,9 @@ def test_splits_equal_all_thresholds_tried(spark):
                     gain = round(pure(la, i) + pure(ta - la, tn - i) - pure(ta, tn), 9)
                     best = max(best, (gain, (c, (v + w) / 2)), key=lambda x: x[0])
         assert got[node] == best[1]
+
+
+def test_clusters_come_from_one_computation_of_the_notebook(spark):
+    d, seen = counted(noisy_notebook(spark, 600))
+    got = notebook.cluster_summary(learning.cluster_failures(d, ["rsi", "vol_z"], n_clusters=3, seeds=2, rounds=3)).collect()
+    assert len(got) == 3 and seen.value == 600
