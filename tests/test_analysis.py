@@ -264,3 +264,11 @@ def test_clusters_come_from_one_computation_of_the_notebook(spark):
     d, seen = counted(noisy_notebook(spark, 600))
     got = notebook.cluster_summary(learning.cluster_failures(d, ["rsi", "vol_z"], n_clusters=3, seeds=2, rounds=3)).collect()
     assert len(got) == 3 and seen.value == 600
+
+
+def test_strongest_attributions_come_from_one_computation(spark):
+    rows = [("A", 0, "a", 0.1), ("A", 0, "b", 0.3), ("A", 0, "c", 0.1), ("A", 0, "d", -0.2), ("A", 1, "a", 0.0), ("B", 0, "b", -0.5), ("B", 0, "a", -0.5), ("B", 0, "c", -0.7)]
+    d, seen = counted(spark.createDataFrame(rows, "ticker string, bar_idx long, feature string, value double"))
+    got = {(r.ticker, r.bar_idx): (r.top_pos_features, r.top_neg_features) for r in notebook.top_attributions(d, 2).collect()}
+    assert got == {("A", 0): ("b=+0.300;a=+0.100", "d=-0.200"), ("A", 1): ("", ""), ("B", 0): ("", "c=-0.700;a=-0.500")}
+    assert seen.value == len(rows)
