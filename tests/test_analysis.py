@@ -272,3 +272,20 @@ def test_strongest_attributions_come_from_one_computation(spark):
     got = {(r.ticker, r.bar_idx): (r.top_pos_features, r.top_neg_features) for r in notebook.top_attributions(d, 2).collect()}
     assert got == {("A", 0): ("b=+0.300;a=+0.100", "d=-0.200"), ("A", 1): ("", ""), ("B", 0): ("", "c=-0.700;a=-0.500")}
     assert seen.value == len(rows)
+
+
+@pytest.mark.parametrize("name", ["attribution_topk", "notebook_with_scores"])
+def test_queries_compute_their_bars_once(spark, sf, monkeypatch, name):
+    """Two steps that read the same rows read a kept table."""
+    from barloom.plans import queries as registered
+
+    seen = []
+
+    def counted_results(*args):
+        d, n = counted(registered.outcomes.with_outcomes(registered.prepared(spark, sf), registered.P))
+        seen.append(n)
+        return d
+
+    monkeypatch.setattr(registered, "with_results", counted_results)
+    assert registered.QUERIES[name](spark, sf).count() > 0
+    assert sum(n.value for n in seen) == 5334
